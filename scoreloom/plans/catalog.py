@@ -1,7 +1,8 @@
 """Query catalog: each query is a Spark plan over the given tables, with SQL for the same result where SQL fits.
 
 The column spec fixes names and types on both sides: ``l`` long, ``s`` string, ``b`` boolean, ``d`` double
-rounded to 6 digits, ``dN`` double rounded to N digits.
+rounded to 6 digits, ``dN`` double rounded to N digits. Both engines add the same small shift before rounding, so that
+values lying exactly between two roundings (means of few two-digit numbers) do not depend on the last bit.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ class Query:
 
 CATALOG: dict[str, Query] = {}
 
+_TIE_SHIFT = 0.03
+
 
 def _spark_cast(name: str, kind: str) -> Column:
     col = F.col(name)
@@ -33,7 +36,7 @@ def _spark_cast(name: str, kind: str) -> Column:
     if kind == "b":
         return col.cast("boolean").alias(name)
     digits = int(kind[1:] or 6)
-    return (F.round(col.cast("double"), digits) + F.lit(0.0)).alias(name)
+    return (F.round(col.cast("double") + F.lit(_TIE_SHIFT / 10**digits), digits) + F.lit(0.0)).alias(name)
 
 
 def _sql_cast(name: str, kind: str) -> str:
@@ -44,7 +47,8 @@ def _sql_cast(name: str, kind: str) -> str:
     if kind == "b":
         return f"CAST({name} AS BOOLEAN) AS {name}"
     digits = int(kind[1:] or 6)
-    return f"round(CAST({name} AS DOUBLE), {digits}) + 0.0::DOUBLE AS {name}"
+    shift = f"{_TIE_SHIFT / 10**digits:.12f}::DOUBLE"
+    return f"round(CAST({name} AS DOUBLE) + {shift}, {digits}) + 0.0::DOUBLE AS {name}"
 
 
 def register(name: str, spec: str, sql: str | None = None):

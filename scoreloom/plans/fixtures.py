@@ -74,3 +74,35 @@ def per_token(df: DataFrame, *columns: str, row: str = "vec_id") -> DataFrame:
     zipped = F.arrays_zip(*[F.col(c) for c in columns])
     flat = df.select(row, F.posexplode(zipped).alias("i", "z"))
     return flat.select(row, (F.col("i") + 1).alias("t"), *[F.col("z")[c].alias(c) for c in columns])
+
+
+EVAL_SQL = """
+evals AS (
+  SELECT l_orderkey, l_linenumber AS views, p_type AS type, p_brand AS family, 'b' || CAST(l_suppkey % 2 AS VARCHAR) AS budget,
+         CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE WHEN l_returnflag = 'R' THEN l_discount * 5 ELSE 0.0::DOUBLE END AS score,
+         CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS correct,
+         CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS answered,
+         CAST(l_quantity AS BIGINT) AS tokens, CASE WHEN l_quantity >= 49 THEN 1 ELSE 0 END AS truncated,
+         substr('ABCD', CAST(l_linenumber % 4 + 1 AS INTEGER), 1) AS gold,
+         substr('ABCDE', CAST(l_suppkey % 5 + 1 AS INTEGER), 1) AS pred,
+         CAST(l_suppkey % 5 AS BIGINT) AS extra
+  FROM lineitem JOIN part ON l_partkey = p_partkey)
+"""
+
+
+def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as scored benchmark rows: type and family from the part, verdicts from the flags."""
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    flag = F.col("l_returnflag")
+    return li.join(p, li.l_partkey == p.p_partkey).select(
+        "l_orderkey", F.col("l_linenumber").alias("views"), F.col("p_type").alias("type"), F.col("p_brand").alias("family"),
+        F.concat(F.lit("b"), (F.col("l_suppkey") % 2).cast("string")).alias("budget"),
+        F.when(flag == "A", 1.0).when(flag == "R", F.col("l_discount") * 5).otherwise(0.0).alias("score"),
+        (flag == "A").cast("int").alias("correct"),
+        (F.col("l_linestatus") == "F").cast("int").alias("answered"),
+        F.col("l_quantity").cast("bigint").alias("tokens"),
+        (F.col("l_quantity") >= 49).cast("int").alias("truncated"),
+        F.substring(F.lit("ABCD"), (F.col("l_linenumber") % 4 + 1).cast("int"), F.lit(1)).alias("gold"),
+        F.substring(F.lit("ABCDE"), (F.col("l_suppkey") % 5 + 1).cast("int"), F.lit(1)).alias("pred"),
+        (F.col("l_suppkey") % 5).alias("extra"),
+    )
