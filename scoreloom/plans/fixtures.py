@@ -106,3 +106,43 @@ def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(F.lit("ABCDE"), (F.col("l_suppkey") % 5 + 1).cast("int"), F.lit(1)).alias("pred"),
         (F.col("l_suppkey") % 5).alias("extra"),
     )
+
+
+PLAN_SQL = """
+lines AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS mx, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey),
+plan AS (
+  SELECT o_orderkey AS id, o_orderpriority AS source, CAST(o_custkey % 400 AS VARCHAR) AS scene, o_orderstatus AS question_type,
+    CAST(coalesce(n, 0) AS INTEGER) AS n_views,
+    CASE WHEN coalesce(n, 0) >= 2 AND o_custkey % 5 = 0 THEN [0]
+         WHEN coalesce(n, 0) >= 3 AND o_custkey % 5 = 1 THEN [1, CAST(n AS INTEGER) - 1] ELSE []::INTEGER[] END AS required,
+    CASE WHEN coalesce(n, 0) >= 2 AND o_custkey % 5 = 0 THEN 'From the first image, see Frame-0 here.'
+         WHEN coalesce(n, 0) >= 3 AND o_custkey % 5 = 1 THEN 'Compare Frame-1 with Frame-' || (n - 1) || ' and Frame-1.' ELSE 'Where is the door?' END AS body,
+    CASE o_custkey % 11 WHEN 3 THEN 'it is Frame-2' WHEN 4 THEN 'the second view' ELSE 'left' END AS answer,
+    o_totalprice AS price
+  FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey)
+"""
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as plan rows: priority = source, customer group = scene, number of lines = album size."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, sf_dir, "orders")
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("int")
+    five, eleven = F.col("o_custkey") % 5, F.col("o_custkey") % 11
+    anchor, pair = (n >= 2) & (five == 0), (n >= 3) & (five == 1)
+    return o.join(lines, o.o_orderkey == lines.l_orderkey, "left").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"),
+        (F.col("o_custkey") % 400).cast("string").alias("scene"), F.col("o_orderstatus").alias("question_type"),
+        n.alias("n_views"),
+        F.when(anchor, F.array(F.lit(0))).when(pair, F.array(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")).alias("required"),
+        F.when(anchor, "From the first image, see Frame-0 here.")
+        .when(pair, F.concat(F.lit("Compare Frame-1 with Frame-"), (n - 1).cast("string"), F.lit(" and Frame-1.")))
+        .otherwise("Where is the door?").alias("body"),
+        F.when(eleven == 3, "it is Frame-2").when(eleven == 4, "the second view").otherwise("left").alias("answer"),
+        F.col("o_totalprice").alias("price"),
+    )
+
+
+def csv(arr):
+    """An array as comma-joined text, so results stay flat."""
+    return F.array_join(F.transform(arr, lambda x: x.cast("string")), ",")
