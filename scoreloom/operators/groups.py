@@ -78,6 +78,32 @@ def with_group_stats(
     return lookup_by_group(df, stats, keys, "__size", "inner", rows_per_task).drop("__size")
 
 
+def _bucket_offsets(tagged: DataFrame, keys: Sequence[str], names: Sequence[str], total: Column) -> DataFrame:
+    """Sum of ``total`` over all earlier buckets of the key, one row per (keys, buckets).
+
+    Bucket columns form levels: each level adds up the buckets before it inside its parent bucket, so the window of a level
+    sees the distinct buckets of one parent only.
+    """
+    finest = tagged.groupBy(*keys, *names).agg(total.alias("__t"))
+    out = None
+    for depth in range(len(names), 0, -1):
+        level = finest if depth == len(names) else finest.groupBy(*keys, *names[:depth]).agg(F.sum("__t").alias("__t"))
+        before = (
+            Window.partitionBy(*keys, *names[: depth - 1]).orderBy(names[depth - 1])
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        shifted = level.select(*keys, *names[:depth], F.coalesce(F.sum("__t").over(before), F.lit(0)).alias(f"__o{depth}"))
+        out = shifted if out is None else join_null_safe(out, shifted, [*keys, *names[:depth]], "inner")
+    total_offset = sum((F.col(f"__o{d}") for d in range(2, len(names) + 1)), F.col("__o1"))
+    return out.select(*keys, *names, total_offset.alias("__off"))
+
+
+def _tag(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    for alias, expr in columns.items():
+        df = df.withColumn(alias, expr)
+    return df
+
+
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,17 +115,11 @@ def ranked(
 
     ``buckets`` names coarse ascending expressions that agree with the leading sort order (the first digits
     of a hash, ``pos`` divided by a constant, a negated score). Rows are ranked inside (keys, buckets) and shifted by
-    the number of rows in earlier buckets; only the bucket counts go through the per-key window.
+    the number of rows in earlier buckets; only bucket counts go through wider windows.
     """
-    tagged = df
-    for alias, expr in buckets.items():
-        tagged = tagged.withColumn(alias, expr)
+    tagged = _tag(df, buckets)
     names = list(buckets)
-    counts = tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__c"))
-    before = (
-        Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = counts.select(*keys, *names, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    offsets = _bucket_offsets(tagged, keys, names, F.count(F.lit(1)))
     local = Window.partitionBy(*keys, *names).orderBy(*order)
     out = join_null_safe(
         tagged.withColumn("__rn", F.row_number().over(local)), offsets, [*keys, *names], "inner"
@@ -115,21 +135,17 @@ def running_sum(
     buckets: dict[str, Column],
     name: str = "running",
 ) -> DataFrame:
-    """Inclusive running sum per key, two-level like :func:`ranked`."""
-    tagged = df.withColumn("__v", value)
-    for alias, expr in buckets.items():
-        tagged = tagged.withColumn(alias, expr)
+    """Inclusive running sum per key, bucketed like :func:`ranked`."""
+    tagged = _tag(df.withColumn("__v", value), buckets)
     names = list(buckets)
-    totals = tagged.groupBy(*keys, *names).agg(F.sum("__v").alias("__t"))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *names, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off"))
+    offsets = _bucket_offsets(tagged, keys, names, F.sum("__v"))
     local = (
         Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
     out = join_null_safe(
-        tagged.withColumn("__run", F.sum("__v").over(local)), offsets, [*keys, *names], "inner"
+        tagged.withColumn("__part", F.sum("__v").over(local)), offsets, [*keys, *names], "inner"
     )
-    return out.withColumn(name, F.col("__run") + F.col("__off")).drop("__v", "__run", "__off", *names)
+    return out.withColumn(name, F.col("__part") + F.col("__off")).drop("__v", "__part", "__off", *names)
 
 
 def order_statistics(
