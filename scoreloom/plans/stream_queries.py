@@ -1,0 +1,71 @@
+"""Streaming queries: T1-T4, each run to completion over the given events and read back from its sink."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scoreloom.operators import prep as pp
+from scoreloom.plans.catalog import register, table
+from scoreloom.plans.fixtures import ROLLOUT_SQL, rollouts
+from scoreloom.session import scratch_path
+from scoreloom.streaming import rollouts as st
+
+
+def _replayed(spark, df, order, files=4):
+    path = st.replay_files(df, order, files)
+    return st.rollout_stream(spark, path, spark.read.parquet(path).schema)
+
+
+@register("t1_ingest_rollouts", "data_source:s lag:l samples:l stale_samples:l", f"""
+WITH {ROLLOUT_SQL}, x AS (SELECT data_source, (SELECT max(step) FROM rollouts) - step AS lag FROM rollouts)
+SELECT data_source, lag, count(*) AS samples, sum(CASE WHEN lag >= 1 THEN 1 ELSE 0 END) AS stale_samples FROM x WHERE lag <= 20 GROUP BY ALL""")
+def _t1(spark, sf):
+    r = rollouts(spark, sf).select("pos", "data_source", F.col("step").alias("param_version"))
+    current = r.agg(F.max("param_version").alias("version"))
+    stream = st.ingest_rollouts(_replayed(spark, r, "pos"), current, max_lag=20)
+    out = scratch_path(spark, "ingest")
+    st.run_available(stream, out, scratch_path(spark, "ingest-checkpoint"))
+    return st.stale_counts(spark.read.parquet(out), keys=("data_source", "lag"))
+
+
+@register("t2_stream_metrics", "step:l name:s mean:d weighted_mean:d min:d max:d last:d n:l", f"""
+WITH {ROLLOUT_SQL} SELECT step, data_source AS name, avg(score) AS mean, sum(score * length) / sum(length) AS weighted_mean, min(score) AS min, max(score) AS max, arg_max(score, ts) AS last, count(*) AS n
+FROM rollouts GROUP BY step, data_source""")
+def _t2(spark, sf):
+    r = rollouts(spark, sf).select(
+        F.col("ts").cast("timestamp").alias("ts"), "step", F.col("data_source").alias("name"), F.col("score").alias("value"), F.col("length").alias("samples"))
+    stream = st.stream_metrics(_replayed(spark, r, "ts"))
+    out = scratch_path(spark, "metrics")
+    st.run_available(stream, out, scratch_path(spark, "metrics-checkpoint"), mode="update")
+    m = st.latest_emits(spark, out, ["w", "step", "name"])
+    per = m.groupBy("step", "name").agg(
+        F.sum("sum").alias("s"), F.sum("n").alias("n"), F.sum("weighted").alias("ws"), F.sum("samples").alias("w"),
+        F.min("min").alias("min"), F.max("max").alias("max"), F.max_by("last", "w").alias("last"))
+    return per.select("step", "name", (F.col("s") / F.col("n")).alias("mean"), (F.col("ws") / F.col("w")).alias("weighted_mean"), "min", "max", "last", "n")
+
+
+@register("t3_grow_dataset", "conv_id:l turn:l copy:l text:s", """
+SELECT conv_id, turn, c AS copy, text FROM conversations, range(0, 2) t(c) WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 60""")
+def _t3(spark, sf):
+    c = table(spark, sf, "conversations")
+    out = scratch_path(spark, "grown")
+    st.grow(
+        _replayed(spark, c, "conv_id", 3), out, scratch_path(spark, "grown-checkpoint"),
+        lambda b: b.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), pp.token_count(F.col("text")), 60,
+    )
+    return spark.read.parquet(out).select("conv_id", "turn", "copy", "text")
+
+
+@register("t4_adaptive_kl", "step:l coef:d coef_after:d", f"""
+WITH RECURSIVE {ROLLOUT_SQL}, s AS (SELECT step, avg(score) AS kl, count(*) AS n, row_number() OVER (ORDER BY step) AS i FROM rollouts GROUP BY step),
+f AS (SELECT i, step, 0.2::DOUBLE AS coef, 0.2::DOUBLE * (1 + greatest(least(kl / 10.0::DOUBLE - 1, 0.2), -0.2) * n / 10000.0) AS coef_after FROM s WHERE i = 1
+  UNION ALL SELECT s.i, s.step, f.coef_after, f.coef_after * (1 + greatest(least(kl / 10.0::DOUBLE - 1, 0.2), -0.2) * n / 10000.0) FROM s JOIN f ON s.i = f.i + 1)
+SELECT step, coef, coef_after FROM f""")
+def _t4(spark, sf):
+    steps = rollouts(spark, sf).groupBy("step").agg(F.avg("score").alias("kl"), F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("kl"))
+    out = scratch_path(spark, "kl")
+    # Files are consumed oldest first; one file per batch keeps the steps in order.
+    path = st.replay_files(steps, "step", 1)
+    stream = st.rollout_stream(spark, path, spark.read.parquet(path).schema)
+    st.run_available(st.adaptive_kl(stream, 0.2, 10.0, 10000.0), out, scratch_path(spark, "kl-checkpoint"))
+    return spark.read.parquet(out).select("step", "coef", "coef_after")
