@@ -219,6 +219,11 @@ def is_terse(response: Column) -> Column:
     return F.coalesce(lone(clean) | lone(last), F.lit(False))
 
 
+def _share_met(error: Column) -> Column:
+    hits = sum(((error <= F.lit(1 - t)).cast("int") for t in MRA_THRESHOLDS), F.lit(0))
+    return hits / F.lit(float(len(MRA_THRESHOLDS)))
+
+
 def relative_accuracy(pred: Column, gold: Column, at_zero: str = "exact") -> Column:
     """Share of the ten thresholds met by the relative error.
 
@@ -227,8 +232,7 @@ def relative_accuracy(pred: Column, gold: Column, at_zero: str = "exact") -> Col
     error = F.abs(pred - gold) / F.abs(F.nullif(gold, F.lit(0.0)))
     if at_zero == "absolute":
         error = F.when(gold == 0, F.abs(pred - gold)).otherwise(error)
-    hits = sum(((error <= F.lit(1 - t)).cast("int") for t in MRA_THRESHOLDS), F.lit(0))
-    score = hits / F.lit(float(len(MRA_THRESHOLDS)))
+    score = _share_met(error)
     return F.when(gold == 0, (pred == 0).cast("double")).otherwise(score) if at_zero == "exact" else score
 
 
@@ -242,28 +246,29 @@ ACTION_AXES = (
 )
 
 
-def _action_entries(text: Column) -> Column:
-    return F.transform(F.split(text, ","), lambda item: F.struct(
+def _action_axes(text: Column) -> Column:
+    """The five signed axes of an action list, null when an entry cannot be read; a repeated key takes its last value."""
+    entries = F.transform(F.split(text, ","), lambda item: F.struct(
         trim_all(F.substring_index(item, ":", 1)).alias("k"),
         F.when(F.size(F.split(item, ":")) == 2, F.trim(F.substring_index(item, ":", -1)).try_cast("double")).alias("v"),
     ))
 
+    def axes(found: Column) -> Column:
+        at = lambda key: F.coalesce(
+            F.try_element_at(F.filter(found, lambda e: e["k"] == key), F.lit(-1))["v"], F.lit(0.0))
+        return F.when(
+            ~F.exists(found, lambda e: e["v"].isNull()), F.array(*[at(a) - at(b) for a, b in ACTION_AXES])
+        )
 
-def action_vector_mra(pred: Column, gold: Column) -> Column:
-    """Mean accuracy over five signed axes of ``key:value`` lists (R6), relative to the predicted value; 0 if unreadable."""
-
-    def at(entries: Column, key: str) -> Column:
-        hits = F.filter(entries, lambda e: e["k"] == key)
-        return F.coalesce(F.try_element_at(hits, F.lit(-1))["v"], F.lit(0.0))
+    return let(entries, axes)
 
-    def score(p: Column, g: Column) -> Column:
-        parts = [
-            relative_accuracy(at(g, a) - at(g, b), at(p, a) - at(p, b), "absolute") for a, b in ACTION_AXES
-        ]
-        broken = F.exists(p, lambda e: e["v"].isNull()) | F.exists(g, lambda e: e["v"].isNull())
-        return F.when(broken, F.lit(0.0)).otherwise(sum(parts, F.lit(0.0)) / len(parts))
 
-    return F.coalesce(let(_action_entries(pred), lambda p: let(_action_entries(gold), lambda g: score(p, g))), F.lit(0.0))
+def action_vector_mra(pred: Column, gold: Column) -> Column:
+    """Mean accuracy over five signed axes of ``key:value`` lists (R6), relative to the predicted value; 0 if unreadable."""
+    errors = F.zip_with(_action_axes(pred), _action_axes(gold), lambda p, g: F.when(p == 0, F.abs(g - p)).otherwise(
+        F.abs(g - p) / F.abs(F.nullif(p, F.lit(0.0)))))
+    total = F.aggregate(F.transform(errors, _share_met), F.lit(0.0), lambda a, x: a + x)
+    return F.coalesce(total / len(ACTION_AXES), F.lit(0.0))
 
 
 def coordinate_distance(pred: Column, gold: Column) -> Column:
@@ -453,7 +458,7 @@ DROPPED_EXPRESSIONS = (
     "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet",
     "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets",
     "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}",
-    "\\mathrm{th}", "^\\circ", "^{\\circ}", "\;", ",\\!", "{,}", "\"", "\\dots",
+    "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", "\"", "\\dots",
 )
 
 
@@ -661,7 +666,7 @@ def failure_tag(score: Column, truncated: Column, answered: Column, recovered: C
 
 def trust_label(response: Column, options: Column | None, is_choice: Column) -> Column:
     """First reason to trust the rule result: a closed box, a terse answer, an unambiguous option line; else empty."""
-    tail = verdict_line(answer_line(response), options).isNotNull()
+    tail = let(answer_line(response), lambda line: verdict_line(line, options).isNotNull())
     return (
         F.when(boxed(response).isNotNull(), "boxed").when(is_choice & is_terse(response), "terse")
         .when(~is_choice & is_terse(response), "terse").when(is_choice & tail, "mca_tail").otherwise("")

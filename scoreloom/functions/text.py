@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scoreloom.functions.arrays import let
+
 # Media placeholders and view reference formats.
 IMAGE_TOKEN = "<image>"
 VIDEO_TOKEN = "<video>"
@@ -22,6 +24,26 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def word_grams(text: Column, n: int) -> Column:
+    """Hashes of all runs of ``n`` words."""
+    return let(words(text), lambda ws: F.when(
+        F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.xxhash64(F.slice(ws, i, n)))
+    ).otherwise(F.array().cast("array<bigint>")))
+
+
+_BLOCK = 64
+
+
+def char_grams(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters. The text is cut into overlapping blocks first, as reaching position i costs i steps."""
+    size = F.length(text)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((size - n) / _BLOCK).cast("int")), lambda b: F.substring(
+        text, b * _BLOCK + 1, F.lit(_BLOCK + n - 1)))
+    runs = F.transform(blocks, lambda block: F.transform(
+        F.sequence(F.lit(1), F.length(block) - n + 1), lambda i: F.substring(block, i, F.lit(n))))
+    return F.when(size >= n, F.flatten(runs)).otherwise(F.array().cast("array<string>"))
+
+
 def frame_refs(text: Column) -> Column:
     """Distinct 0-based ``Frame-N`` references in ascending order."""
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(FRAME_REF), F.lit(1)), lambda x: x.cast("int"))))

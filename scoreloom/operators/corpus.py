@@ -126,11 +126,12 @@ def corpus_bleu(df: DataFrame, id_col: str, n: int = 4, hyp: str = "hyp", refs:
 
 def corpus_chrf(df: DataFrame, id_col: str, order: int = 6, beta: float = 2.0, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
     """Corpus chrF from summed character n-gram matches, averaged over the effective orders."""
-    chars = lambda c: F.filter(F.split(F.regexp_replace(F.col(c), r"\s+", ""), ""), lambda x: x != "")
+    def of_order(text: Column, k: int) -> Column:
+        return F.transform(tx.char_grams(text, k), lambda g: F.struct(F.lit(k).alias("k"), g.alias("gram")))
 
     def grams(side: str, name: str) -> DataFrame:
-        base = df.select(id_col, chars(side).alias("w"))
-        flat = base.select(id_col, F.explode(_all_grams(F.col("w"), order)).alias("e"))
+        base = df.select(id_col, F.regexp_replace(F.col(side), r"\s+", "").alias("w"))
+        flat = base.select(id_col, F.explode(F.concat(*[of_order(F.col("w"), k) for k in range(1, order + 1)])).alias("e"))
         return flat.groupBy(id_col, F.col("e.k").alias("k"), F.col("e.gram").alias("gram")).agg(F.count(F.lit(1)).alias(name))
 
     both = grams(hyp, "h").join(grams(ref, "r"), [id_col, "k", "gram"], "full_outer")

@@ -7,8 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.arrays import let
-from scoreloom.functions.text import words
+from scoreloom.functions.text import char_grams, word_grams, words
 from scoreloom.operators.groups import (
     join_null_safe,
     lookup_by_group,
@@ -188,21 +187,6 @@ def leak_rates(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).withColumn("copy_pct", F.col("exact_gt_copy") * 100 / F.col("responses"))
 
 
-def _grams(pieces: Column, n: int, glue: str) -> Column:
-    return let(pieces, lambda xs: F.when(
-        F.size(xs) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(xs) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(xs, i, n), glue))),
-    ).otherwise(F.array().cast("array<bigint>")))
-
-
-def _word_grams(text: Column, n: int) -> Column:
-    return _grams(words(text), n, " ")
-
-
-def _char_grams(text: Column, n: int) -> Column:
-    return _grams(F.split(text, ""), n, "")
-
-
 def contained_passages(
     docs: DataFrame, passages: DataFrame, doc_id: str, passage_id: str, doc_text: str = "text", passage_text: str = "text",
     gram: int = 4, min_len: int = 8,
@@ -217,7 +201,7 @@ def contained_passages(
     parts = words(F.col("ptext"))
     g = g.withColumn("inner", F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), " "))
     g = g.withColumn("long", F.size(parts) >= gram + 2)
-    grams = g.filter("long").select("pid", "ptext", F.explode(F.array_distinct(_word_grams(F.col("inner"), gram))).alias("key"))
+    grams = g.filter("long").select("pid", "ptext", F.explode(F.array_distinct(word_grams(F.col("inner"), gram))).alias("key"))
     frequency = grams.groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
     best = grams.join(frequency, "key").groupBy("pid").agg(
         F.min_by(F.struct("key", "ptext"), F.struct("freq", "key")).alias("b")
@@ -233,8 +217,8 @@ def contained_passages(
         flat = d.select("did", F.explode(F.array_distinct(doc_grams)).alias("key"))
         return flat.join(keys.select("key", "pid"), "key").select("did", "pid")
 
-    pairs = candidates(long_keys, _word_grams(F.col("dtext"), gram)).unionByName(
-        candidates(short_keys, _char_grams(F.col("dtext"), min_len))
+    pairs = candidates(long_keys, word_grams(F.col("dtext"), gram)).unionByName(
+        candidates(short_keys, F.transform(char_grams(F.col("dtext"), min_len), lambda c: F.xxhash64(c)))
     ).distinct()
     checked = pairs.join(d, "did").join(g.select("pid", "ptext"), "pid").filter(F.col("dtext").contains(F.col("ptext")))
     return checked.select(F.col("did").alias(doc_id), F.col("pid").alias(passage_id))

@@ -105,13 +105,14 @@ def retarget(
 
 def retarget_stats(plan: DataFrame, keys: Sequence[str] = (), per_view_tokens: int = 192) -> DataFrame:
     """Budget report of a retargeted plan: counts, mean views and ratio, token load."""
-    kept = plan.filter(F.col("reason").isNull())
-    n, k = F.size("teacher_views"), F.col("k_views")
-    return kept.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"), F.sum((n < F.col("n_views")).cast("long")).alias("truncated_albums"),
+    # Conditional aggregates instead of a filter, which Spark would push below the view choice and evaluate twice.
+    kept = F.col("reason").isNull()
+    n, k = F.when(kept, F.size("teacher_views")), F.when(kept, F.col("k_views"))
+    return plan.groupBy(*keys).agg(
+        F.count(n).alias("samples"), F.sum((n < F.col("n_views")).cast("long")).alias("truncated_albums"),
         F.avg(k).alias("mean_k"), F.avg(n).alias("mean_teacher_views"), F.avg(n / k).alias("mean_ratio"),
         (F.avg(k) * per_view_tokens).alias("student_tokens_mean"), (F.max(n) * per_view_tokens).alias("teacher_tokens_max"),
-    )
+    ).filter(F.col("samples") > 0)
 
 
 def farthest_extras(keys: Column, pool: Column, k: Column) -> Column:

@@ -71,5 +71,10 @@ def register(name: str, spec: str, sql: str | None = None):
     return wrap
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table. ``spread`` is for work that is heavy per row: a table stored in fewer splits than the cluster has cores is
+    dealt out over all of them; a large table has enough splits and is read as it lies.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df

@@ -53,7 +53,7 @@ gc AS (SELECT id, ref, k, gram, count(*) AS c FROM gr GROUP BY ALL)
 
 
 def _captions(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = table(spark, sf, "conversations", spread=True)
     s = lambda a, n: F.substring("text", a, n)
     df = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), s(1, 120).alias("pred"), F.array(s(20, 120), s(60, 100)).alias("refs"),
                   F.when(F.col("turn") % 4 < 3, 0.6).otherwise(0.2).alias("iou"))
@@ -98,7 +98,7 @@ g AS (SELECT id, k, h[i:i + k - 1] AS gram, 1 AS h, 0 AS r FROM (SELECT *, unnes
 s AS (SELECT id, k, gram, sum(h) AS h, sum(r) AS r FROM g GROUP BY ALL), k AS (SELECT k, sum(h) AS h, sum(r) AS r, sum(least(h, r)) AS m FROM s GROUP BY k),
 p AS (SELECT avg(m / h) AS p, avg(m / r) AS q FROM k WHERE h > 0 AND r > 0) SELECT 100 * 5 * p * q / (4 * p + q) AS chrf FROM p""")
 def _g25f(spark, sf):
-    c = table(spark, sf, "conversations").select(
+    c = table(spark, sf, "conversations", spread=True).select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.substring("text", 1, 120).alias("hyp"), F.substring("text", 20, 120).alias("ref"))
     return cp.corpus_chrf(c, "id")
 

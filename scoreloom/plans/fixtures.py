@@ -49,7 +49,7 @@ tok AS (
 
 def token_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as token series of 64 positions with a trailing mask; the second policy reads the vector backwards."""
-    e = table(spark, sf_dir, "embeddings")
+    e = table(spark, sf_dir, "embeddings", spread=True)
     v = F.col("e")
     back = F.reverse(v)
     base = e.select(
@@ -90,9 +90,9 @@ evals AS (
 """
 
 
-def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evals(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Order lines as scored benchmark rows: type and family from the part, verdicts from the flags."""
-    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    li, p = table(spark, sf_dir, "lineitem", spread), table(spark, sf_dir, "part")
     flag = F.col("l_returnflag")
     return li.join(p, li.l_partkey == p.p_partkey).select(
         "l_orderkey", F.col("l_linenumber").alias("views"), F.col("p_type").alias("type"), F.col("p_brand").alias("family"),
@@ -126,7 +126,7 @@ plan AS (
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as plan rows: priority = source, customer group = scene, number of lines = album size."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", spread=True)
     n = F.coalesce(F.col("n"), F.lit(0)).cast("int")
     five, eleven = F.col("o_custkey") % 5, F.col("o_custkey") % 11
     anchor, pair = (n >= 2) & (five == 0), (n >= 3) & (five == 1)

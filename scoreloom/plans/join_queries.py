@@ -120,7 +120,7 @@ SELECT source, count(*) AS responses, sum(CASE WHEN regexp_matches(text, '(?i)re
  100.0 * sum(CASE WHEN has AND length(gold) >= 8 AND contains(text, gold) THEN 1 ELSE 0 END) / count(*) AS copy_pct FROM g GROUP BY source""")
 def _j8(spark, sf):
     i = F.col("doc_id")
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents", spread=True)
     resp = docs.select(
         i.alias("sample_id"), "source",
         F.when(i % 6 == 0, F.concat("text", F.lit(" see the Reference solution"))).otherwise(F.col("text")).alias("response"),
@@ -140,7 +140,7 @@ def _j8c(spark, sf):
     p = b.select("item_id", F.substring("text", 2, 60).alias("text")).unionByName(
         b.filter("item_id % 2 = 0").select((F.col("item_id") + 100000).alias("item_id"), F.substring("text", 5, 12).alias("text"))
     )
-    return jn.contained_passages(table(spark, sf, "documents"), p, "doc_id", "item_id")
+    return jn.contained_passages(table(spark, sf, "documents", spread=True), p, "doc_id", "item_id")
 
 
 @register("j9_exclude_scenes", "o_orderkey:l o_custkey:l", """
@@ -206,8 +206,8 @@ def _j11s(spark, sf):
 
 
 def _boxes(spark, sf):
-    li = table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") % 2000).alias("image"), F.col("l_returnflag").alias("label"),
+    li = table(spark, sf, "lineitem", spread=True).select(
+        F.floor(F.col("l_orderkey") / 8).alias("image"), F.col("l_returnflag").alias("label"),
         F.xxhash64("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice").alias("h"),
         F.array(
             (F.col("l_quantity") % 10).cast("double"), (F.col("l_suppkey") % 3).cast("double"), F.lit(0.0),

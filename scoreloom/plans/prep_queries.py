@@ -225,7 +225,7 @@ _WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''
 @register("p13_filter_overlong", "doc_id:l", f"SELECT doc_id FROM documents WHERE doc_id % 50 <> 0 AND {_WORDS} <= 300")
 def _p13(spark, sf):
     n = F.when(F.col("doc_id") % 50 != 0, pp.token_count(F.col("text")))
-    return pp.filter_overlong(table(spark, sf, "documents"), 300, n)
+    return pp.filter_overlong(table(spark, sf, "documents", spread=True), 300, n)
 
 
 @register("p13_length_audit", "lang:s rows:l min:l p50:l p99:l max:l over_prompt:l over_model:l", f"""
@@ -233,7 +233,7 @@ WITH w AS (SELECT lang, {_WORDS} AS n FROM documents)
 SELECT lang, count(*) AS rows, min(n) AS min, CAST(floor(quantile_cont(n, 0.5)) AS BIGINT) AS p50, CAST(floor(quantile_cont(n, 0.99)) AS BIGINT) AS p99, max(n) AS max,
  sum(CASE WHEN n > 300 THEN 1 ELSE 0 END) AS over_prompt, sum(CASE WHEN n + 50 > 400 THEN 1 ELSE 0 END) AS over_model FROM w GROUP BY lang""")
 def _p13a(spark, sf):
-    return pp.length_audit(table(spark, sf, "documents"), pp.token_count(F.col("text")), 300, 50, 400, ["lang"])
+    return pp.length_audit(table(spark, sf, "documents", spread=True), pp.token_count(F.col("text")), 300, 50, 400, ["lang"])
 
 
 @register("p14_sample_length", "conv_id:l length:l signed:l", f"""

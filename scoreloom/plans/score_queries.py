@@ -26,7 +26,7 @@ pr AS (SELECT p_partkey AS id, p_name AS name, p_type AS type, p_size AS size, s
 
 def _parts(spark, sf):
     k = F.col("p_partkey") % 4
-    return table(spark, sf, "part").select(
+    return table(spark, sf, "part", spread=True).select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_size").alias("size"),
         F.substring(F.lit("ABCD"), (k + 1).cast("int"), F.lit(1)).alias("letter"),
         F.array(*[F.lit(x) for x in ("A. small", "B. medium", "C. large", "D. other")]).alias("opts"),
@@ -296,7 +296,7 @@ def _r13(spark, sf):
     x, pred = F.col("extra"), F.col("pred")
     resp = F.when(x == 0, _c("\\boxed{", pred, "}")).when(x == 1, _c("thus\n", F.translate(pred, "E", "D"))).when(x == 2, _c("x\n(A)")).otherwise("no idea at all")
     opts = F.array(*[F.lit(f"{c}. option {c.lower()}") for c in "ABCD"])
-    e = evals(spark, sf)
+    e = evals(spark, sf, spread=True)
     return e.select(
         sc.failure_tag(F.col("score"), F.col("truncated") == 1, F.col("answered") == 1, x == 1).alias("tag"),
         sc.trust_label(resp, opts, F.lit(True)).alias("trust"),
