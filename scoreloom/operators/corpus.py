@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import text as tx
+from scoreloom.functions.hashing import hash_unit, poisson_count, stable_hash
 from scoreloom.operators.groups import lookup_by_group, ranked, scalar_row
 from scoreloom.operators.joins import pos_bucket
 from scoreloom.operators.metrics import register_metric
@@ -217,12 +218,7 @@ def bootstrap_stderr(
     Every row gets a Poisson(1) count per replicate from a hash, which is the bootstrap for large tables without moving rows;
     ``statistic`` maps the count column to an aggregate.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("__rep")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    count, total, mass = F.lit(0), math.exp(-1), math.exp(-1)
-    for k in range(1, 12):
-        count = count + (u >= total).cast("int")
-        mass /= k
-        total += mass
+    count = poisson_count(hash_unit(stable_hash(id_col, "__rep", seed=seed)))
     reps = df.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("__w", count)
     per = reps.groupBy(*keys, "__rep").agg(statistic(F.col("__w")).alias("__s"))
     return per.groupBy(*keys).agg(F.stddev_samp("__s").alias("stderr"))
@@ -336,12 +332,7 @@ def composition_regression(
     centre = scalar_row(means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda e: e["mean"]).alias("mu")))["mu"]
     base = base.withColumn("mu", centre).withColumn("c", F.zip_with("x", "mu", lambda a, b: a - b))
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates)))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(step), F.col("rep")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    count, total, mass = F.lit(0), math.exp(-1), math.exp(-1)
-    for k in range(1, 10):
-        count = count + (u >= total).cast("int")
-        mass /= k
-        total += mass
+    count = poisson_count(hash_unit(stable_hash(step, "rep", seed=seed)))
     rows = base.withColumn("rep", reps).withColumn("w", F.when(F.col("rep") == 0, F.lit(1)).otherwise(count))
     outer = F.flatten(F.transform("c", lambda a, i: F.transform(F.col("c"), lambda b, j: F.struct(i.alias("i"), j.alias("j"), (a * b).alias("v")))))
     right = F.transform("c", lambda a, i: F.struct(i.alias("i"), F.lit(-1).alias("j"), (a * F.col("y")).alias("v")))

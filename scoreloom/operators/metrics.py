@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import arrays as A
+from scoreloom.functions.hashing import hash_int, stable_hash
 from scoreloom.operators.groups import (
     join_null_safe,
     linear_percentiles,
@@ -219,7 +220,7 @@ def bootstrap_draws(
         sizes.withColumn("__size", size)
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
         .withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("__size").cast("int"))))
-        .withColumn("__rank", F.pmod(F.xxhash64(F.lit(seed), *keys, "draw", "slot"), F.col("__n")) + 1)
+        .withColumn("__rank", F.pmod(hash_int(stable_hash(*keys, "draw", "slot", seed=seed)), F.col("__n")) + 1)
         .drop("__n", "__size")
     )
     return join_null_safe(plan, rows, [*keys, "__rank"], "inner").drop("__rank")

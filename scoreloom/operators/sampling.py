@@ -7,26 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions.hashing import hash_bucket, hash_unit, stable_hash
 from scoreloom.operators.groups import join_null_safe, lookup_by_group, ranked, running_sum, scalar_row
 from scoreloom.operators.joins import POS_BLOCK, pos_bucket
 
 
-def stable_hash(*parts: Column | str, seed: int | str = 0) -> Column:
-    """MD5 of seed and parts as 32 hex digits: the random order of a draw."""
-    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.md5(F.concat_ws("/", F.lit(str(seed)), *[c.cast("string") for c in cols]))
-
-
-def hash_bucket(h: Column) -> Column:
-    """The leading four hex digits: 65,536 even ranges in hash order."""
-    return F.substring(h, 1, 4)
-
-
-def hash_unit(h: Column) -> Column:
-    """The leading 12 hex digits as a number in [0, 1)."""
-    return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-
-
 def keep_first(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: dict[str, Column], target: Column
 ) -> DataFrame:
@@ -112,10 +97,12 @@ def spot_check(
     return picked.withColumn("__o", rank).orderBy("__o", "__h", id_col).limit(total).drop("__h", "__o")
 
 
-def audit_sample(df: DataFrame, fraction: float, id_col: str, condition: Column | None = None) -> DataFrame:
+def audit_sample(
+    df: DataFrame, fraction: float, id_col: str, condition: Column | None = None, seed: int = 0
+) -> DataFrame:
     """A stable share of the accepted rows (SMP4)."""
     pool = df if condition is None else df.filter(condition)
-    return pool.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return pool.filter(hash_unit(stable_hash(id_col, seed=seed)) < fraction)
 
 
 def limit_rows(df: DataFrame, n: int, how: str, pos: str, seed: int = 0) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import geometry as geo
 from scoreloom.functions import text as tx
+from scoreloom.functions.hashing import hash_int, stable_hash
 from scoreloom.operators.joins import POS_BLOCK, require
 from scoreloom.operators.groups import ranked
-from scoreloom.operators.sampling import stable_hash
+
 
 
 def album(n: Column) -> Column:
@@ -203,7 +204,7 @@ def fewshot(
     total = numbered.agg(F.max("__rank").alias("m")).scalar()
     wanted = docs.select(doc_id).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n))))
     # Consecutive positions from a hashed start never repeat within a document.
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), total)
+    start = F.pmod(hash_int(stable_hash(doc_id, seed=seed)), total)
     wanted = wanted.withColumn("__rank", (start + F.col("slot")) % total + 1)
     got = wanted.join(numbered, "__rank").filter(F.col(pool_id) != F.col(doc_id))
     ctx = got.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("slot", F.col(example).alias("e")))).alias("l"))

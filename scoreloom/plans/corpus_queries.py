@@ -139,7 +139,14 @@ def _g26c(spark, sf):
     return cp.combined_stderr(_subtasks(spark, sf))
 
 
-@register("g26_bootstrap_stderr", "data_source:s stderr:d")
+# Running sums of the Poisson(1) probabilities, written out by the same recurrence in SQL.
+_POISSON = "len(list_filter(list_transform(range(0, 12), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-1.0::DOUBLE) / gamma(j + 1)))), lambda t: u >= t))"
+
+
+@register("g26_bootstrap_stderr", "data_source:s stderr:d", f"""
+WITH {ROLLOUT_SQL}, d AS (SELECT data_source, rep, score, CAST('0x' || substr(md5('0/' || pos || '/' || rep), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM rollouts, range(1, 41) t(rep)),
+w AS (SELECT data_source, rep, score, {_POISSON} AS w FROM d), s AS (SELECT data_source, rep, sum(score * w) / sum(w) AS m FROM w GROUP BY ALL)
+SELECT data_source, stddev_samp(m) AS stderr FROM s GROUP BY data_source""")
 def _g26b(spark, sf):
     mean = lambda w: F.sum(F.col("score") * w) / F.sum(w)
     return cp.bootstrap_stderr(rollouts(spark, sf), "pos", mean, replicates=40, keys=["data_source"])

@@ -87,7 +87,17 @@ def _g4(spark, sf):
     return mt.best_at_n(rollouts(spark, sf), uid="user_id")
 
 
-@register("g4_bootstrap_best", "data_source:s best_mean:d best_std:d worst_mean:d worst_std:d")
+_DRAWS = """
+WITH """ + ROLLOUT_SQL + """, r AS (SELECT *, CAST(k % 4 AS VARCHAR) AS pred, row_number() OVER (PARTITION BY data_source, user_id ORDER BY pos) AS rn, count(*) OVER (PARTITION BY data_source, user_id) AS n FROM rollouts),
+g AS (SELECT DISTINCT data_source, user_id, n FROM r),
+d AS (SELECT data_source, user_id, draw, slot, CAST('0x' || substr(md5('42/' || data_source || '/' || user_id || '/' || draw || '/' || slot), 1, 12) AS BIGINT) % n + 1 AS rn FROM g, range(1, {n_draws}) a(draw), range(1, 5) b(slot)),
+x AS (SELECT d.*, r.score, r.pred FROM d JOIN r ON d.data_source = r.data_source AND d.user_id = r.user_id AND d.rn = r.rn),"""
+
+
+@register("g4_bootstrap_best", "data_source:s best_mean:d best_std:d worst_mean:d worst_std:d", _DRAWS.replace("{n_draws}", "41") + """
+p AS (SELECT data_source, user_id, draw, max(score) AS hi, min(score) AS lo FROM x GROUP BY ALL),
+u AS (SELECT data_source, user_id, avg(hi) AS bm, stddev_pop(hi) AS bs, avg(lo) AS wm, stddev_pop(lo) AS ws FROM p GROUP BY ALL)
+SELECT data_source, avg(bm) AS best_mean, avg(bs) AS best_std, avg(wm) AS worst_mean, avg(ws) AS worst_std FROM u GROUP BY data_source""")
 def _g4b(spark, sf):
     return mt.bootstrap_best(rollouts(spark, sf), 4, draws=40, uid="user_id")
 
@@ -100,7 +110,10 @@ def _g5(spark, sf):
     return mt.majority_value(r, ["data_source", "user_id"])
 
 
-@register("g5_bootstrap_majority", "data_source:s maj_mean:d maj_std:d")
+@register("g5_bootstrap_majority", "data_source:s maj_mean:d maj_std:d", _DRAWS.replace("{n_draws}", "31") + """
+v AS (SELECT data_source, user_id, draw, pred, count(*) AS c, min(slot) AS s, arg_min(score, slot) AS val FROM x GROUP BY ALL),
+m AS (SELECT data_source, user_id, draw, val FROM v QUALIFY row_number() OVER (PARTITION BY data_source, user_id, draw ORDER BY c DESC, s) = 1),
+u AS (SELECT data_source, user_id, avg(val) AS a, stddev_pop(val) AS b FROM m GROUP BY ALL) SELECT data_source, avg(a) AS maj_mean, avg(b) AS maj_std FROM u GROUP BY data_source""")
 def _g5b(spark, sf):
     r = rollouts(spark, sf).withColumn("pred", (F.col("k") % 4).cast("string"))
     return mt.bootstrap_majority(r, 4, draws=30, uid="user_id")

@@ -49,7 +49,10 @@ def _smp3(spark, sf):
     return sm.spot_check(e, [("high", F.col("value") > 150, 15), ("error", F.col("event_type") == "error", 20)], "event_id", 50)
 
 
-@register("smp4_audit_sample", "event_id:l")
+_UNIT = "CAST('0x' || substr(md5({}), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
+
+
+@register("smp4_audit_sample", "event_id:l", f"SELECT event_id FROM events WHERE value > 1 AND {_UNIT.format("'0/' || event_id")} < 0.02")
 def _smp4(spark, sf):
     return sm.audit_sample(table(spark, sf, "events"), 0.02, "event_id", F.col("value") > 1)
 
@@ -87,7 +90,10 @@ def _smp6(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register("smp6_resample_draws", "draw:l pos:l score:d")
+@register("smp6_resample_draws", "draw:l pos:l score:d", f"""
+WITH {ROLLOUT_SQL}, c AS (SELECT pos, score, sum(score + 1e-8::DOUBLE) OVER (ORDER BY pos) AS hi FROM rollouts), t AS (SELECT max(hi) AS t FROM c),
+d AS (SELECT pos AS draw, {_UNIT.format("'0/' || pos")} * t AS u FROM rollouts, t)
+SELECT d.draw, c.pos, c.score FROM d ASOF JOIN c ON d.u < c.hi""")
 def _smp6d(spark, sf):
     r = sm.resample_weights(rollouts(spark, sf).select("pos", "score"), "pow", 1.0)
     return sm.resample_weighted(r, "pos")
@@ -160,7 +166,18 @@ def _v3s(spark, sf):
     return vw.retarget_stats(vw.retarget(plans(spark, sf), 6, [], student="half"), ["source"])
 
 
-@register("v4_farthest_extras", "id:l extras:s")
+def _far(taken: str, pool: str) -> str:
+    return f"""-(list_max(list_transform({pool}, lambda v: {{'d': list_min(list_transform({taken}, lambda o: abs(v - o))), 'neg': -v}})).neg)"""
+
+
+@register("v4_farthest_extras", "id:l extras:s", f"""
+WITH {PLAN_SQL}, p0 AS (SELECT id, required AS t0, list_filter(CAST(range(0, n_views) AS INTEGER[]), lambda v: NOT list_contains(required, v)) AS q0 FROM plan WHERE len(required) > 0),
+p1 AS (SELECT id, t0, q0, CASE WHEN len(q0) > 0 THEN {_far('t0', 'q0')} END AS e1 FROM p0),
+p2 AS (SELECT *, list_append(t0, e1) AS t1, list_filter(q0, lambda v: v <> e1) AS q1 FROM p1),
+p3 AS (SELECT *, CASE WHEN len(q1) > 0 THEN {_far('t1', 'q1')} END AS e2 FROM p2),
+p4 AS (SELECT *, list_append(t1, e2) AS t2, list_filter(q1, lambda v: v <> e2) AS q2 FROM p3),
+p5 AS (SELECT *, CASE WHEN len(q2) > 0 THEN {_far('t2', 'q2')} END AS e3 FROM p4)
+SELECT id, concat_ws(',', e1, e2, e3) AS extras FROM p5""")
 def _v4(spark, sf):
     p = plans(spark, sf).filter("size(required) > 0")
     pool = F.filter(vw.album(F.col("n_views")), lambda v: ~F.array_contains(F.col("required"), v))
@@ -215,7 +232,11 @@ def _v8(spark, sf):
     return vw.fewshot(d, pool, 3)
 
 
-@register("v8_fewshot_random", "doc_id:l context:s")
+@register("v8_fewshot_random", "doc_id:l context:s", """
+WITH n AS (SELECT p_partkey AS id, p_name, row_number() OVER (ORDER BY p_partkey) AS r, count(*) OVER () AS total FROM part),
+w AS (SELECT id AS doc_id, slot, (CAST('0x' || substr(md5('0/' || id), 1, 12) AS BIGINT) % total + slot) % total + 1 AS r FROM n, range(0, 4) t(slot)),
+g AS (SELECT w.doc_id, p_name, slot, row_number() OVER (PARTITION BY w.doc_id ORDER BY slot) AS k FROM w JOIN n ON w.r = n.r WHERE n.id <> w.doc_id)
+SELECT doc_id, string_agg(p_name, chr(10) || chr(10) ORDER BY slot) AS context FROM g WHERE k <= 3 GROUP BY doc_id""")
 def _v8r(spark, sf):
     d = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), "p_name")
     pool = d.select(F.col("doc_id").alias("pool_id"), F.col("p_name").alias("example"))

@@ -268,25 +268,26 @@ def _r11(spark, sf):
     )
 
 
-@register("r12_filter_chains", "uid:s strict:s mapped:s vote:s choice:s", f"""
-WITH {ROLLOUT_SQL}, r AS (SELECT uid, pos, ' N' || (k % 4) || ' x #### ' || k AS t, k, row_number() OVER (PARTITION BY uid ORDER BY pos) AS rn FROM rollouts),
-g AS (SELECT uid, string_agg(CAST(k AS VARCHAR), ',' ORDER BY pos) AS strict, string_agg(CASE k % 4 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'many' END, ',' ORDER BY pos) AS mapped,
- string_agg(CASE k % 4 WHEN 0 THEN '(A)' WHEN 1 THEN '(B)' ELSE '[invalid]' END, ',' ORDER BY pos) AS choice FROM r GROUP BY uid),
-c AS (SELECT uid, k % 4 AS v, count(*) AS c, min(pos) AS p FROM r GROUP BY ALL), v AS (SELECT uid, 'n' || v AS vote FROM c QUALIFY row_number() OVER (PARTITION BY uid ORDER BY c DESC, p) = 1)
-SELECT g.uid, strict, mapped, vote, choice FROM g JOIN v ON g.uid = v.uid""")
+@register("r12_filter_chains", "id:l strict:s mapped:s vote:s choice:s first:s", f"""
+WITH {_P}, k AS (SELECT id, [size, size + id % 4, id % 5, size] AS ks FROM pr), m AS (SELECT id, ks, list_transform(ks, lambda x: x % 4) AS ms FROM k),
+c AS (SELECT id, v, count(*) AS c, min(i) AS p FROM (SELECT id, unnest(ms) AS v, unnest(range(1, 5)) AS i FROM m) GROUP BY ALL),
+v AS (SELECT id, 'n' || v AS vote FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, p) = 1)
+SELECT m.id, array_to_string(ks, ',') AS strict, array_to_string(list_transform(ms, lambda x: CASE x WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'many' END), ',') AS mapped, vote,
+ array_to_string(list_transform(ms, lambda x: CASE x WHEN 0 THEN '(A)' WHEN 1 THEN '(B)' ELSE '[invalid]' END), ',') AS choice, ks[1] || ',' || ks[2] AS first FROM m JOIN v ON m.id = v.id""")
 def _r12(spark, sf):
-    k = F.col("k")
-    r = rollouts(spark, sf).select("uid", "pos", _c(" N", k % 4, " x #### ", k).alias("t"))
-    df = r.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda e: e["t"]).alias("resps"))
+    size, i = F.col("size"), F.col("id")
+    ks = F.array(size.cast("bigint"), size + i % 4, i % 5, size.cast("bigint"))
+    df = _parts(spark, sf).select("id", F.transform(ks, lambda k: _c(" N", k % 4, " x #### ", k)).alias("resps"))
     df = df.withColumn("choices", F.array(F.lit("n0"), F.lit("N1")))
     chains = {
-        "strict": [("regex", {}), ("take_first_k", {"k": 1})][:1],
+        "strict": [("regex", {})],
         "mapped": [("remove_whitespace", {}), ("regex", {"pattern": r"^(N\d)"}), ("map", {"mapping": {"N0": "zero", "N1": "one"}, "default": "many"})],
         "vote": [("regex", {"pattern": r"(N\d)"}), ("lowercase", {}), ("majority_vote", {})],
         "choice": [("choice_text", {"choices": F.col("choices"), "pattern": r"@@(\d)", "ignore_case": True})],
+        "first": [("take_first_k", {"k": 2}), ("regex", {})],
     }
     out = sc.apply_filters(df, chains)
-    return out.select("uid", *[F.array_join(c, ",").alias(c) for c in chains])
+    return out.select("id", *[F.array_join(c, ",").alias(c) for c in chains])
 
 
 @register("r13_failure_tag", "tag:s trust:s n:l", f"""
@@ -312,11 +313,12 @@ def _r14(spark, sf):
 
 
 @register("r15_eval_rewards", "data_source:s test_score:d rows:l", f"""
-WITH {ROLLOUT_SQL}, r AS (SELECT data_source, user_id, avg(CASE WHEN k % 4 = user_id % 4 THEN 1 ELSE 0 END) AS m FROM rollouts GROUP BY ALL) SELECT data_source, avg(m) AS test_score, count(*) AS rows FROM r GROUP BY data_source""")
+WITH {_P}, r AS (SELECT type, (CASE WHEN size % 4 = id % 3 THEN 1 ELSE 0 END + CASE WHEN id % 5 = id % 3 THEN 1 ELSE 0 END + CASE WHEN 1 = id % 3 THEN 1 ELSE 0 END) / 3.0::DOUBLE AS m FROM pr)
+SELECT type AS data_source, avg(m) AS test_score, count(*) AS rows FROM r GROUP BY type""")
 def _r15(spark, sf):
-    r = rollouts(spark, sf).groupBy("data_source", "user_id").agg(F.collect_list(_c("#### ", F.col("k") % 4)).alias("responses"))
-    r = r.withColumn("gold", (F.col("user_id") % 4).cast("string"))
-    return sc.eval_rewards(r, sc.hash_reward)
+    responses = F.array(_c("so #### ", F.col("size") % 4), _c("#### ", F.col("id") % 5), F.lit("#### 1"))
+    p = _parts(spark, sf).select(F.col("type").alias("data_source"), responses.alias("responses"), (F.col("id") % 3).cast("string").alias("gold"))
+    return sc.eval_rewards(p, sc.hash_reward)
 
 
 @register("r16_row_hash", "doc_id:l doc_hash:s", """

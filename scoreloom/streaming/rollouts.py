@@ -44,11 +44,11 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
 def ingest_rollouts(
     stream: DataFrame, current: DataFrame, version: str = "param_version", max_lag: int | None = None
 ) -> DataFrame:
-    """Version lag of every sample (T1) by a stream-static join with the one-row table ``current`` (column ``version``).
+    """Version lag of every sample (T1) by a stream-static join with the newest ``version`` of ``current``, one row.
 
     A sample is stale from lag 1 on and still used; ``max_lag`` drops samples that lag further behind.
     """
-    now = F.broadcast(current.select(F.lit(1).alias("__one"), F.col("version").alias("__now")))
+    now = F.broadcast(current.agg(F.max("version").alias("__now")).withColumn("__one", F.lit(1)))
     out = stream.withColumn("__one", F.lit(1)).join(now, "__one").drop("__one")
     out = out.withColumn("lag", F.col("__now") - F.col(version)).withColumn("stale", F.col("lag") >= 1).drop("__now")
     return out if max_lag is None else out.filter(F.col("lag") <= max_lag)

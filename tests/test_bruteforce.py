@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloom.functions.hashing import hash_unit, stable_hash
 from scoreloom.operators import corpus as cp
 from scoreloom.operators import joins as jn
 from scoreloom.operators import metrics as mt
@@ -100,7 +101,7 @@ def test_weighted_draws_fall_into_their_intervals(spark):
     df = spark.createDataFrame([(i, w) for i, w in enumerate(weights)], "pos long, weight double")
     rows = sm.resample_weighted(df, "pos").collect()
     assert sorted(r["draw"] for r in rows) == list(range(400))
-    units = {r["pos"]: r["u"] for r in df.select("pos", sm.hash_unit(sm.stable_hash("pos")).alias("u")).collect()}
+    units = {r["pos"]: r["u"] for r in df.select("pos", hash_unit(stable_hash("pos")).alias("u")).collect()}
     edges = np.cumsum(weights)
     for r in rows:
         assert r["pos"] == int(np.searchsorted(edges, units[r["draw"]] * edges[-1], side="right"))
