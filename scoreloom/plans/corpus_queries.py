@@ -103,7 +103,14 @@ def _g25f(spark, sf):
     return cp.corpus_chrf(c, "id")
 
 
-@register("g25_rouge_l", "id:l rouge_l:d")
+@register("g25_rouge_l", "id:l rouge_l:d", f"""
+WITH RECURSIVE {_CAP_SQL}, sp AS (SELECT id, ref, string_split('sos ' || lower(replace(replace(t, '.', ' . '), ',', ' , ')) || ' eos', ' ') AS w FROM txt),
+pr AS (SELECT h.id, r.ref, h.w AS c, r.w AS r FROM sp h JOIN sp r ON h.id = r.id AND r.ref >= 0 WHERE h.ref = -1),
+dp AS (SELECT id, ref, c, r, 0 AS i, list_transform(range(0, len(r) + 1), lambda x: CAST(0 AS BIGINT)) AS row FROM pr
+  UNION ALL SELECT id, ref, c, r, i + 1, list_reduce(list_transform(range(1, len(r) + 1), lambda j: [j]),
+    lambda acc, x: list_append(acc, CASE WHEN r[x[1]] = c[i + 1] THEN row[x[1]] + 1 ELSE greatest(acc[x[1]], row[x[1] + 1]) END), [CAST(0 AS BIGINT)]) FROM dp WHERE i < len(c)),
+f AS (SELECT id, ref, row[len(r) + 1] / len(c)::DOUBLE AS p, row[len(r) + 1] / len(r)::DOUBLE AS q FROM dp WHERE i = len(c)), m AS (SELECT id, max(p) AS p, max(q) AS q FROM f GROUP BY id)
+SELECT id, CASE WHEN p <> 0 AND q <> 0 THEN (1 + 1.2::DOUBLE * 1.2) * p * q / (q + 1.2::DOUBLE * 1.2 * p) ELSE 0 END AS rouge_l FROM m""")
 def _g25r(spark, sf):
     c = _captions(spark, sf)
     return c.select("id", cp.rouge_l(F.col("hyp"), F.col("ref_list")).alias("rouge_l"))

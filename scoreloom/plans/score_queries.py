@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from scoreloom.functions import scoring as sc
+from scoreloom.functions.vqa import vqa_form
+from scoreloom.operators import spec as sp
 from scoreloom.plans.catalog import register, table
 from scoreloom.plans.fixtures import EVAL_SQL, ROLLOUT_SQL, evals, rollouts
 
@@ -327,3 +329,33 @@ def _r16(spark, sf):
     return table(spark, sf, "documents").select("doc_id", sc.row_hash("doc_id", "lang", "source").alias("doc_hash"))
 
 
+
+
+@register("r9_vqa_form", "id:l answer:s", f"""
+WITH {_P} SELECT id, CASE id % 4 WHEN 0 THEN name || ' 3' WHEN 1 THEN 'left right ' || name WHEN 2 THEN 'don''t ' || name ELSE size || '.5 ' || type_l END AS answer FROM (SELECT *, lower(type) AS type_l FROM pr)""")
+def _r9v(spark, sf):
+    name = F.col("name")
+    k = F.col("id") % 4
+    text = (F.when(k == 0, _c("The ", F.upper(name), ", three.")).when(k == 1, _c("left/right; a ", name, "!"))
+            .when(k == 2, _c("dont ", name, "?")).otherwise(_c("an ", F.col("size"), ".5 (", F.col("type"), ")")))
+    return _parts(spark, sf).select("id", vqa_form(text).alias("answer"))
+
+
+@register("spec_task_evaluation", "task:s metric:s value:d stderr:d8 size:l", f"""
+WITH {_P}, t AS (SELECT 'sizes' AS task, CASE WHEN size % 4 = id % 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em, (size % 4)::DOUBLE AS digit FROM pr WHERE size > 5),
+m AS (SELECT task, 'exact' AS metric, em AS v FROM t UNION ALL SELECT task, 'digit', digit FROM t),
+r AS (SELECT task, metric, avg(v) AS value, stddev_samp(v) / sqrt(count(*)) AS stderr, count(*) AS size FROM m GROUP BY ALL)
+SELECT * FROM r UNION ALL SELECT 'all', metric, value, stderr, size FROM r""")
+def _spec(spark, sf):
+    docs = _parts(spark, sf).withColumnRenamed("id", "doc_id").withColumn("gold", (F.col("doc_id") % 4).cast("string"))
+    resp = docs.select("doc_id", F.array(_c("so #### ", F.col("size") % 4), F.lit("#### 9")).alias("resps"))
+    task = sp.TaskSpec(
+        "sizes", ["exact", "digit"],
+        lambda df: df.withColumn("exact", sc.exact_match(F.get("strict", F.lit(0)), F.col("gold"))).withColumn(
+            "digit", F.get("strict", F.lit(0)).cast("double")),
+        process_docs=lambda df: df.filter("size > 5"), filters={"strict": [("regex", {}), ("take_first", {})]},
+    )
+    results = sp.evaluate(task, docs, resp)
+    groups = sp.evaluate_groups(sp.GroupSpec({"all": {"sizes": None}}), results)
+    flat = groups.select(F.col("group").alias("task"), "metric", "value", "stderr", F.col("samples").alias("size"))
+    return results.select("task", "metric", "value", "stderr", "size").unionByName(flat)
