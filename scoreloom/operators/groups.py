@@ -164,17 +164,17 @@ def order_statistics(
     counts = (
         df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     )
-    ks = [*keys] or ["__all"]
-    if not keys:
-        counts = counts.withColumn("__all", F.lit(1))
-    run = running_sum(counts, ks, [F.col(value)], F.col("__c"), {"__vb": vb}, "__hi")
-    sizes = counts.groupBy(*ks).agg(F.sum("__c").alias("n"))
-    run = lookup_by_group(run, sizes, ks, "n", "inner")
+    run = running_sum(counts, keys, [F.col(value)], F.col("__c"), {"__vb": vb}, "__hi")
+    sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("n"))
+    if keys:
+        run = lookup_by_group(run, sizes, keys, "n", "inner")
+    else:
+        run = run.withColumn("n", scalar_row(sizes)["n"])
     lo, hi = F.col("__hi") - F.col("__c"), F.col("__hi")
     aggs = [
         F.max(F.when((idx >= lo) & (idx < hi), F.col(value))).alias(alias) for alias, idx in picks.items()
     ]
-    return run.groupBy(*ks).agg(F.max("n").alias("n"), *aggs).drop("__all")
+    return run.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
 
 
 def linear_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float]) -> DataFrame:
