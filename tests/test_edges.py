@@ -180,3 +180,28 @@ def test_judge_never_reopens(spark):
     rep = spark.createDataFrame([(r[0], 0, r[4], r[5]) for r in rows], "row_index int, reply_pos int, verdict string, number double")
     got = {r["row_index"]: (r["final_score"], r["judge_source"]) for r in jn.merge_judge(df, rep, F.col("number")).collect()}
     assert got == {1: (1.0, "rule"), 2: (1.0, "judge_verdict"), 3: (0.0, "judge_no_number")}
+
+
+def _plan_row(spark, student_body):
+    return spark.sql(f"""SELECT 1 AS id, 's' AS source, 'd' AS dataset, 'x' AS subset, 'sc' AS scene, 'q' AS question_type, 3 AS n_views,
+        array(0, 2) AS view_indices, cast(null AS array<int>) AS teacher_views, '\\nWhere?' AS body, '{student_body}' AS student_body,
+        cast(null AS string) AS teacher_body, 'left' AS answer, 'bare' AS header_style, 'hash' AS view_selection, 'weak' AS privilege_bucket,
+        false AS answer_view_sensitive, 'train' AS split,
+        transform(sequence(0, 2), v -> named_struct('cache', concat('c', v))) AS frames""")
+
+
+def test_training_rows_of_both_arms(spark):
+    rows = {r["arm"]: r for r in training.training_rows(_plan_row(spark, "\\nHere?"), "root", system="be brief", pixels=(1, 9)).collect()}
+    main, plain = rows["main"], rows["noprivilege"]
+    assert main["prompt"][1]["content"] == "<image><image>Here?" and main["prompt"][0]["role"] == "system"
+    assert main["teacher_prompt"][1]["content"] == "<image><image><image>Where?"
+    assert plain["teacher_prompt"] == plain["prompt"] and plain["extra_info"]["privilege_bucket"] == "none"
+    assert [i["path"] for i in main["images"]] == ["root/c0", "root/c2"] and main["images"][0]["max_pixels"] == 9
+    assert len(main["teacher_images"]) == 3 and len(plain["teacher_images"]) == 2
+
+
+def test_training_rows_refuse_mismatches(spark):
+    with pytest.raises(Exception, match="student placeholder"):
+        training.training_rows(_plan_row(spark, "see <image>"), "root").collect()
+    with pytest.raises(Exception, match="view counts"):
+        training.training_rows(_plan_row(spark, "x"), "root", require_equal_views=True).collect()
