@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scoreloom.operators import joins as jn
 from scoreloom.operators import sampling as sm
 from scoreloom.operators import views as vw
 from scoreloom.plans.catalog import register, table
@@ -73,7 +74,8 @@ def _s3(spark, sf):
 
 
 def _training(spark, sf):
-    p = vw.choose_views(plans(spark, sf)).filter("k_views is not null")
+    # The kept plan feeds the scene ranking, the holdout and the rows: it is written once instead of being derived three times.
+    p = jn.cut_lineage(spark, vw.choose_views(plans(spark, sf)).filter("k_views is not null"), "plan")
     p = sm.holdout_by_scene(p, pos="id", cap=40)
     n = F.col("n_views")
     frame = lambda v: F.struct(F.concat_ws("/", F.lit("m"), "scene", v.cast("string")).alias("src"), F.concat_ws("/", "scene", v.cast("string")).alias("cache"),
