@@ -4,7 +4,7 @@ Every training text is cut into overlapping passages and every passage queries t
 the passage holds, divided by the sum of all its terms, so that one threshold serves items of any length. Retrieval is block-max WAND:
 an upper bound from the best impact of each term sends most passages away before any posting is read; the rest walk the postings by
 pivots, skip blocks whose best impacts cannot reach the threshold, and give every item above it. A retrieved item counts as a leak only
-if the text around the passage also holds enough of the item's question and of its answer, as word shingles.
+if the text around the passage holds enough of the item's word shingles, and enough words of its question and of its answer each.
 
 The index covers one shard of the items; shards are bounded by their postings, so what is broadcast never grows with the documents, and a
 larger benchmark is a few more passes over the texts.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 #: Least share of an item's BM25 sum that retrieves it.
 THRESHOLD = 0.5
-#: Words of a shingle, and the least share of the question's and of the answer's shingles that the text must hold.
-SHINGLE, OVERLAP = 5, 0.8
+#: Words of a shingle, the least share of an item's shingles, and the least share of the distinct words of its question and of its answer.
+SHINGLE, OVERLAP, WORD_OVERLAP = 5, 0.8, 0.5
 #: Words of a passage step; a passage is as many steps as the longest item needs, and one more.
 STEP = 32
 #: Postings per block, and postings of an index shard (about 100 bytes each in a worker).
@@ -57,8 +57,9 @@ def shingles(words: Sequence[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
 class Item:
     item_id: int
     n_words: int
-    question: set[tuple[str, ...]]
-    answer: set[tuple[str, ...]]
+    runs: set[tuple[str, ...]]
+    question: set[str]
+    answer: set[str]
 
 
 @dataclass
@@ -79,13 +80,15 @@ class Index:
             self.block_best.append([max(x for _, x in b) for b in blocks])
 
 
-def build_index(rows: Sequence[tuple[int, str, str]], frequency: Counter, n_items: int, mean_words: float) -> Index:
-    """Index of ``(item_id, question, answer)``; ``frequency`` and the other numbers describe all items, also those of other shards."""
+def build_index(rows: Sequence[tuple[int, str, str, bool]], frequency: Counter, n_items: int, mean_words: float) -> Index:
+    """Index of ``(item_id, question, answer, one text)``; ``frequency`` and the other numbers describe all items, also those of other shards."""
     items, terms, postings = [], {}, []
-    for number, (item_id, question, answer) in enumerate(rows):
+    for number, (item_id, question, answer, joined) in enumerate(rows):
         q, a = words_of(question), words_of(answer)
         words = q if question == answer else q + a
-        items.append(Item(item_id, len(words), shingles(q), shingles(a)))
+        # The last sentence of a text goes on from the one before; an answer of its own is looked for by itself.
+        runs = shingles(words) if joined else shingles(q) | shingles(a)
+        items.append(Item(item_id, len(words), runs, set(q), set(a)))
         counts = Counter(words)
         impact = {}
         for term, tf in counts.items():
@@ -161,7 +164,7 @@ def _advance(index: Index, cursor: list, target: int) -> None:
 
 
 def leaks(index: Index, texts: Sequence[str | None], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[dict]]:
-    """Verified leaks of every text: ``item_id, score, question_overlap, answer_overlap``, one per item, best passage."""
+    """Verified leaks of every text: ``item_id, score, overlap, question_overlap, answer_overlap``, one per item, best passage."""
     span = max((i.n_words for i in index.items), default=0)
     steps = -(-span // STEP) + 1
     words, owner, lengths = [], [], []
@@ -204,23 +207,21 @@ def leaks(index: Index, texts: Sequence[str | None], threshold: float = THRESHOL
             # The text around the passage, a span to either side.
             lo = max(0, (passage - int(first[doc])) * STEP - span)
             hi = (int(end[passage]) - int(first[doc])) * STEP + span
-            near = shingles(words[doc][lo:hi])
-            q = len(one.question & near) / len(one.question) if one.question else 1.0
-            a = _answer_overlap(one.answer, words[doc][lo:hi], near)
-            if q >= overlap and a >= overlap:
-                out[doc].append({"item_id": one.item_id, "score": min(1.0, score), "question_overlap": q, "answer_overlap": a})
+            near = words[doc][lo:hi]
+            bag = set(near)
+            q, a = (len(x & bag) / len(x) if x else 1.0 for x in (one.question, one.answer))
+            share = shingle_share(one.runs, near)
+            if share >= overlap and min(q, a) >= WORD_OVERLAP:
+                out[doc].append({
+                    "item_id": one.item_id, "score": min(1.0, score), "overlap": share, "question_overlap": q, "answer_overlap": a,
+                })
     return out
 
 
-def _answer_overlap(answer: set[tuple[str, ...]], words: list[str], near: set[tuple[str, ...]]) -> float:
-    """Share of the answer's shingles; an answer shorter than a shingle is looked for as one run."""
-    if not answer:
-        return 1.0
-    if len(answer) == 1:
-        run = next(iter(answer))
-        n = len(run)
-        return float(any(tuple(words[i : i + n]) == run for i in range(len(words) - n + 1)))
-    return len(answer & near) / len(answer)
+def shingle_share(runs: set[tuple[str, ...]], words: Sequence[str]) -> float:
+    """Share of ``runs`` that occur in ``words``; runs may have several lengths."""
+    held = set().union(*({tuple(words[i : i + n]) for i in range(len(words) - n + 1)} for n in {len(r) for r in runs}))
+    return len(runs & held) / len(runs)
 
 
 def _getter(terms: dict[str, int]):
@@ -228,7 +229,7 @@ def _getter(terms: dict[str, int]):
     return lambda word: get(word, -1)
 
 
-HITS = "array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>"
+HITS = "array<struct<item_id: long, score: double, overlap: double, question_overlap: double, answer_overlap: double>>"
 
 
 def item_indexes(
@@ -241,24 +242,25 @@ def item_indexes(
     kept, frequency, n_words = [], Counter(), 0
     columns = [F.col(item_id).cast("long"), F.col(text), F.col(answer) if answer else F.lit(None).cast("string")]
     for item, body, reply in benchmark.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).orderBy("c0", "c1").toLocalIterator():
-        question, reply = (body or "", reply) if reply else question_and_answer(body or "")
+        joined = not reply
+        question, reply = question_and_answer(body or "") if joined else (body or "", reply)
         words = words_of(question) if question == reply else words_of(question) + words_of(reply)
         if words and item is not None:
-            kept.append((item, question, reply, len(set(words))))
+            kept.append((item, question, reply, joined, len(set(words))))
             frequency.update(set(words))
             n_words += len(words)
     shards, size = [[]], 0
     for row in kept:
-        if size + row[3] > shard_postings and shards[-1]:
+        if size + row[-1] > shard_postings and shards[-1]:
             shards.append([])
             size = 0
-        shards[-1].append(row[:3])
-        size += row[3]
+        shards[-1].append(row[:-1])
+        size += row[-1]
     return [build_index(s, frequency, len(kept), n_words / max(1, len(kept))) for s in shards if s]
 
 
 def leak_column(spark, index: Index, text: Column, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Column:
-    """Leaks of a text column as ``array<struct<item_id, score, question_overlap, answer_overlap>>``."""
+    """Leaks of a text column as ``array<struct<item_id, score, overlap, question_overlap, answer_overlap>>``."""
     shared = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf(HITS)

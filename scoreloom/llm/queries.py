@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import codes, decontam, langid, mixing, simhash
+from scoreloom.llm import codes, decontam, langid, licenses, mixing, rules, shards, simhash
 from scoreloom.llm.common import documents
 from scoreloom.session import scratch_path
 
@@ -28,7 +28,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every verified leak: ``doc_id, item_id, score, question_overlap, answer_overlap``."""
+    """Every verified leak: ``doc_id, item_id, score, overlap, question_overlap, answer_overlap``."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.with_leaks(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
     return found.select("doc_id", F.inline("leaks"))
@@ -48,17 +48,39 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "rarest_word",
+    )
+
+
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     codes.write_tokens(documents(spark, sf_dir), path, token_encoder())
     return codes.read_tokens(spark, path)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.coalesce(F.col("text"), F.lit(""))
+    rows = documents(spark, sf_dir).select(
+        "doc_id", "source", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
+    )
+    placed = shards.with_shards(rows, 8, tie=F.struct("size", "text_crc32"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source",
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return rules.with_rules(docs).select("doc_id", "rules.*")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = mixing.copies(documents(spark, sf_dir))
     return decided.select(
@@ -67,6 +89,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_decontamination, op2_language, op5_token_codes, op7_simhash, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_language, op3_licenses, op5_token_codes, op6_sharding, op7_simhash, op9_quality_rules, op10_mixing)
 }
 SQL: dict[str, str] = {}
