@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import codes, decontam, langid, licenses, mixing, rules, shards, simhash
+from scoreloom.llm import codes, decontam, langid, licenses, lm, mixing, rules, shards, simhash
 from scoreloom.llm.common import documents
 from scoreloom.session import scratch_path
 
@@ -76,6 +76,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed and mean conditional log-probability of every document."""
+    return lm.corpus_scores(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     return rules.with_rules(docs).select("doc_id", "rules.*")
@@ -89,6 +94,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_decontamination, op2_language, op3_licenses, op5_token_codes, op6_sharding, op7_simhash, op9_quality_rules, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_language, op3_licenses, op5_token_codes, op6_sharding, op7_simhash, op8_masked_lm, op9_quality_rules, op10_mixing)
 }
 SQL: dict[str, str] = {}
