@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import codes, decontam, langid, licenses, lm, mixing, rules, shards, simhash
+from scoreloom.llm import codes, cotrain, decontam, langid, licenses, lm, mixing, rules, shards, simhash
 from scoreloom.llm.common import documents
 from scoreloom.session import scratch_path
 
@@ -54,6 +54,16 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality of every document; documents of the held-out quarter take no part in training."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
+    addresses = cotrain.page_addresses(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    model = cotrain.fit(docs.filter(~held_out()), labels, addresses)
+    found = cotrain.scores(docs, model, addresses)
+    return found.select("doc_id", held_out().alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     codes.write_tokens(documents(spark, sf_dir), path, token_encoder())
@@ -94,6 +104,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_decontamination, op2_language, op3_licenses, op5_token_codes, op6_sharding, op7_simhash, op8_masked_lm, op9_quality_rules, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_language, op3_licenses, op4_co_training, op5_token_codes, op6_sharding, op7_simhash, op8_masked_lm, op9_quality_rules, op10_mixing)
 }
 SQL: dict[str, str] = {}
