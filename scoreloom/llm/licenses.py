@@ -112,7 +112,7 @@ def scan(
     ])))
     # Places covered by phrases of the labels found.
     covered = F.array_distinct(F.concat(empty, *[
-        F.when(ok, F.flatten(F.transform(F.col(c), lambda s, n=len(p): F.sequence(s, s + (n - 1))))).otherwise(empty)
+        F.when(ok, _span(c, len(p))).otherwise(empty)
         for ok, cols, (_, phrases, _) in zip(all_of, held, named, strict=True) for c, p in zip(cols, phrases, strict=True)
     ]))
     weighed = F.transform(F.col("hits"), lambda s: F.struct(s["i"].alias("i"), weight[s["w"]].alias("x")))
@@ -130,6 +130,11 @@ def scan(
     )
 
 
+def _span(starts: str, n: int) -> Column:
+    """All places of phrases of ``n`` words."""
+    return F.flatten(F.transform(F.col(starts), lambda s: F.sequence(s, s + (n - 1))))
+
+
 def _all(conditions: Sequence[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import codes, cotrain, decontam, langid, licenses, lm, mixing, rules, shards, simhash
+from scoreloom.llm import codes, cotrain, decontam, langid, licenses, lm, mixing, rules, shards, simhash, sql
 from scoreloom.llm.common import documents
 from scoreloom.session import scratch_path
 
@@ -50,7 +50,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "rarest_word",
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels",
+        F.round("score", 6).alias("score"), "rarest_word",
     )
 
 
@@ -106,4 +107,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (op1_decontamination, op2_language, op3_licenses, op4_co_training, op5_token_codes, op6_sharding, op7_simhash, op8_masked_lm, op9_quality_rules, op10_mixing)
 }
-SQL: dict[str, str] = {}
+SQL = {"op3_licenses": sql.licenses(), "op6_sharding": sql.sharding()}
