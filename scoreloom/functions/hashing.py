@@ -29,8 +29,11 @@ def hash_unit(h: Column) -> Column:
     return hash_int(h).cast("double") / F.lit(float(1 << 48))
 
 
-def poisson_count(unit: Column, largest: int = 12) -> Column:
-    """Poisson(1) count of a uniform number, by the inverse of its distribution."""
+def poisson_count(unit: Column, largest: int = 18) -> Column:
+    """Poisson(1) count of a uniform number, by the inverse of its distribution.
+
+    Counts above 18 have a chance below 2**-48, the step between two draws of :func:`hash_unit`, so no draw can mean one.
+    """
     count, mass, total = F.lit(0), math.exp(-1), math.exp(-1)
     for k in range(1, largest + 1):
         count = count + (unit >= total).cast("int")

@@ -123,7 +123,8 @@ def adv_rpp_baseline(df: DataFrame, uid: str = "uid", score: str = "score", leng
     moments = scalar_row(
         out.agg(F.sum(w).alias("n"), F.sum(w * c).alias("s1"), F.sum(w * c * c).alias("s2"))
     )
-    return out.withColumn("advantage", _whiten(c, moments)).drop("__m", "__n", "__c")
+    bound = out.withColumn("__mo", moments)
+    return bound.withColumn("advantage", _whiten(c, F.col("__mo"))).drop("__m", "__n", "__c", "__mo")
 
 
 def _whiten(value: Column, moments: Column) -> Column:

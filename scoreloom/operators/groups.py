@@ -148,6 +148,32 @@ def running_sum(
     return out.withColumn(name, F.col("__part") + F.col("__off")).drop("__v", "__part", "__off", *names)
 
 
+#: Ranges a power of two is cut into, in two levels.
+COARSE, FINE = 1024, 64
+
+
+def value_buckets(value: Column, stem: str = "__v") -> dict[str, Column]:
+    """Bucket levels that ascend with any number, whatever its distribution: sign and power of two, then its leading binary digits.
+
+    A level has at most a few thousand buckets in its parent, so the wide windows of :func:`ranked` and :func:`running_sum` stay small for
+    dense positions, hashed 64-bit ids, shares in [0, 1) and equal loads alike. Nulls come first, NaN last.
+    """
+    v = value.cast("double")
+    size = F.abs(v)
+    finite = v.isNotNull() & ~F.isnan(v) & (size > 0) & (size < float("inf"))
+    power = F.floor(F.log2(F.when(finite, size))).cast("int")
+    sign = F.signum(v).cast("int")
+    digits = (F.when(finite, size) / F.pow(F.lit(2.0), power) - 1) * COARSE
+    top = F.when(v.isNull(), F.lit(None).cast("int")).when(F.isnan(v), F.lit(5000)).when(size == 0, F.lit(0)).when(
+        finite, sign * (power + 2000)
+    ).otherwise(sign * 4000)
+    coarse = F.floor(digits)
+    return {
+        f"{stem}0": top, f"{stem}1": F.coalesce(sign * coarse, F.lit(0)).cast("int"),
+        f"{stem}2": F.coalesce(sign * F.floor((digits - coarse) * FINE), F.lit(0)).cast("int"),
+    }
+
+
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
@@ -158,13 +184,13 @@ def order_statistics(
     """Exact order statistics per key; each pick is a 0-based index computed from ``n`` (the group size).
 
     Values are counted first, so the ranked table holds distinct values only; the counts of coarse value
-    ranges (``bucket``, default: the integer part) are summed before single values are looked at.
+    ranges (``bucket``, default: :func:`value_buckets`) are summed before single values are looked at.
     """
-    vb = F.floor(F.col(value)) if bucket is None else bucket
+    buckets = value_buckets(F.col(value)) if bucket is None else {"__vb": bucket}
     counts = (
         df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     )
-    run = running_sum(counts, keys, [F.col(value)], F.col("__c"), {"__vb": vb}, "__hi")
+    run = running_sum(counts, keys, [F.col(value)], F.col("__c"), buckets, "__hi")
     sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("n"))
     if keys:
         run = lookup_by_group(run, sizes, keys, "n", "inner")

@@ -14,6 +14,7 @@ from scoreloom.operators.groups import (
     order_statistics,
     ranked,
     scalar_row,
+    value_buckets,
 )
 from scoreloom.session import scratch_path
 
@@ -21,8 +22,8 @@ POS_BLOCK = 65536
 
 
 def pos_bucket(pos: str) -> dict[str, Column]:
-    """Coarse bucket of a row position: at most ``POS_BLOCK`` rows when positions are unique."""
-    return {"__pb": F.floor(F.col(pos) / POS_BLOCK)}
+    """Bucket levels of a row position, dense or hashed."""
+    return value_buckets(F.col(pos), "__pb")
 
 
 def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
@@ -167,12 +168,18 @@ HINT_PATTERNS = [
 
 def scan_leak(
     responses: DataFrame, gold: DataFrame, key: str = "sample_id", text: str = "response", answer: str = "answer",
-    fallback: str | None = None, min_len: int = 8,
+    fallback: str | None = None, min_len: int = 1, gold_pos: str | None = None,
 ) -> DataFrame:
-    """Flags per response (J8): contains a hint phrase; contains its own gold answer of at least ``min_len`` characters."""
-    answers = gold.groupBy(key).agg(F.max(answer).alias("__gold"))
+    """Flags per response (J8): contains a hint phrase; contains its own gold answer of at least ``min_len`` characters.
+
+    Golds are trimmed; blank ones do not count. Of several golds the last by ``gold_pos`` holds (the largest string without positions), and
+    a response without a gold falls back on its own ``fallback``.
+    """
+    trimmed = gold.withColumn("__gold", F.trim(F.col(answer))).filter(F.col("__gold") != "")
+    last = F.max("__gold") if gold_pos is None else F.max_by("__gold", F.struct(F.col(gold_pos), F.col("__gold")))
+    answers = trimmed.groupBy(key).agg(last.alias("__gold"))
     out = join_null_safe(responses.filter(F.trim(F.col(text)) != ""), answers, [key], "left")
-    own = F.col("__gold") if fallback is None else F.coalesce(F.when(F.col("__gold") != "", F.col("__gold")), F.trim(F.col(fallback)))
+    own = F.col("__gold") if fallback is None else F.coalesce("__gold", F.trim(F.col(fallback)))
     hint = F.lit(False)
     for pattern in HINT_PATTERNS:
         hint = hint | F.col(text).rlike(pattern)
@@ -189,15 +196,16 @@ def leak_rates(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def contained_passages(
     docs: DataFrame, passages: DataFrame, doc_id: str, passage_id: str, doc_text: str = "text", passage_text: str = "text",
-    gram: int = 4, min_len: int = 8,
+    gram: int = 4, prefix: int = 8,
 ) -> DataFrame:
-    """All (document, passage) pairs where the document contains the passage verbatim (J8 across corpora).
+    """All (document, passage) pairs where the document contains the passage verbatim (J8 across corpora); empty passages match nothing.
 
     A contained passage brings all its inner words along whole, so one of its inner word n-grams is an exact join key. The
     n-gram that is rarest among the passages is used, which keeps shared templates from becoming hot keys. Passages with
-    too few words are anchored on their first characters instead. Every candidate is verified with ``contains``.
+    too few words are anchored on their first ``prefix`` characters, shorter ones on all of theirs. Every candidate is verified with
+    ``contains``.
     """
-    g = passages.select(F.col(passage_id).alias("pid"), F.col(passage_text).alias("ptext")).filter(F.length("ptext") >= min_len)
+    g = passages.select(F.col(passage_id).alias("pid"), F.col(passage_text).alias("ptext")).filter(F.length("ptext") > 0)
     parts = words(F.col("ptext"))
     g = g.withColumn("inner", F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), " "))
     g = g.withColumn("long", F.size(parts) >= gram + 2)
@@ -207,9 +215,7 @@ def contained_passages(
         F.min_by(F.struct("key", "ptext"), F.struct("freq", "key")).alias("b")
     )
     long_keys = best.select("pid", F.col("b.key").alias("key"), F.col("b.ptext").alias("ptext"))
-    short_keys = g.filter(~F.col("long")).select(
-        "pid", F.xxhash64(F.substring("ptext", 1, min_len)).alias("key"), "ptext"
-    )
+    short = g.filter(~F.col("long")).withColumn("n", F.least(F.length("ptext"), F.lit(prefix)))
     d = docs.select(F.col(doc_id).alias("did"), F.col(doc_text).alias("dtext"))
 
     def candidates(keys: DataFrame, doc_grams: Column) -> DataFrame:
@@ -217,10 +223,12 @@ def contained_passages(
         flat = d.select("did", F.explode(F.array_distinct(doc_grams)).alias("key"))
         return flat.join(keys.select("key", "pid"), "key").select("did", "pid")
 
-    pairs = candidates(long_keys, word_grams(F.col("dtext"), gram)).unionByName(
-        candidates(short_keys, F.transform(char_grams(F.col("dtext"), min_len), lambda c: F.xxhash64(c)))
-    ).distinct()
-    checked = pairs.join(d, "did").join(g.select("pid", "ptext"), "pid").filter(F.col("dtext").contains(F.col("ptext")))
+    pairs = candidates(long_keys, word_grams(F.col("dtext"), gram))
+    # At most `prefix` lengths come to the driver.
+    for n in sorted(r["n"] for r in short.select("n").distinct().collect()):
+        keys = short.filter(F.col("n") == n).select("pid", F.xxhash64(F.substring("ptext", 1, n)).alias("key"))
+        pairs = pairs.unionByName(candidates(keys, F.transform(char_grams(F.col("dtext"), n), lambda c: F.xxhash64(c))))
+    checked = pairs.distinct().join(d, "did").join(g.select("pid", "ptext"), "pid").filter(F.col("dtext").contains(F.col("ptext")))
     return checked.select(F.col("did").alias(doc_id), F.col("pid").alias(passage_id))
 
 
@@ -346,6 +354,7 @@ def match_boxes(
     Taking turns in a fixed order is the stable matching in which every gold box prefers the earlier prediction. It is
     found in rounds of plain aggregates: each prediction names its best open gold box, each gold box keeps the earliest
     name, and edges of later predictions to that box are dropped until nothing changes. No group is gathered in a task.
+    A matching that is not settled after ``max_rounds`` is an error, never a result.
     """
     spark = pred.sparkSession
     edges = cut_lineage(spark, box_edges(pred, gold, keys, pos, box, threshold), "box-edges")
@@ -359,6 +368,8 @@ def match_boxes(
         if now == size:
             break
         size = now
+    else:
+        raise RuntimeError(f"box matching is not settled after {max_rounds} rounds")
     return edges.groupBy(*keys, "p").agg(F.max_by(F.struct("g", "iou"), F.struct(F.col("iou"), -F.col("g"))).alias("m")).select(
         *keys, "p", F.col("m.g").alias("g"), F.col("m.iou").alias("iou")
     )

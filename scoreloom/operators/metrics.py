@@ -16,6 +16,7 @@ from scoreloom.operators.groups import (
     ranked,
     running_sum,
     scalar_row,
+    value_buckets,
 )
 
 METRICS: dict[str, Callable[..., DataFrame]] = {}
@@ -177,7 +178,7 @@ def validation_metrics(
 
 def subset_sizes(n: Column) -> Column:
     """2, 4, 8, ... below ``n``, then ``n`` itself; nothing for a single response."""
-    powers = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda e: F.pow(F.lit(2.0), e).cast("bigint"))
+    powers = F.transform(F.sequence(F.lit(1), F.lit(62)), lambda e: F.pow(F.lit(2.0), e).cast("bigint"))
     below = F.filter(powers, lambda p: p < n)
     return F.when(n > 1, F.concat(below, F.array(n.cast("bigint")))).otherwise(F.array().cast("array<bigint>"))
 
@@ -190,7 +191,7 @@ def best_at_n(df: DataFrame, source: str = "data_source", uid: str = "uid", vari
     """
     keys = [source, uid]
     counts = df.groupBy(*keys, variable).agg(F.count(F.lit(1)).alias("c"))
-    run = running_sum(counts, keys, [F.col(variable)], F.col("c"), {"__b": F.floor(F.col(variable))}, "hi")
+    run = running_sum(counts, keys, [F.col(variable)], F.col("c"), value_buckets(F.col(variable)), "hi")
     sizes = counts.groupBy(*keys).agg(F.sum("c").alias("total"))
     run = lookup_by_group(run, sizes, keys, "total", "inner")
     rows = run.withColumn("n", F.explode(subset_sizes(F.col("total"))))

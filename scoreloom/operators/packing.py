@@ -7,13 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.operators.groups import join_null_safe, lookup_by_group, ranked, running_sum, scalar_row
-from scoreloom.operators.joins import POS_BLOCK, with_row_index
+from scoreloom.operators.groups import join_null_safe, lookup_by_group, ranked, running_sum, scalar_row, value_buckets
+from scoreloom.operators.joins import POS_BLOCK, pos_bucket, require, with_row_index
 
 
 def _length_rank(df: DataFrame, keys: list[str], length: str, pos: str, name: str) -> DataFrame:
     """Rank by length, longest first, ties by position; equal lengths are split into position blocks."""
-    buckets = {"__lb": -F.col(length), "__pb": F.floor(F.col(pos) / POS_BLOCK)}
+    buckets = {"__lb": -F.col(length), **pos_bucket(pos)}
     return ranked(df, keys, [F.col(length).desc(), F.col(pos)], buckets, name)
 
 
@@ -91,7 +91,7 @@ def budget_chunks(df: DataFrame, cap: int, cost: str = "n_images", pos: str = "p
 
 def budget_chunks_floor(df: DataFrame, cap: int, cost: str = "n_images", pos: str = "pos") -> DataFrame:
     """Cheap variant of O2: the chunk is the running cost before the row, divided by ``cap``."""
-    out = running_sum(df, [], [F.col(pos)], F.col(cost), {"__pb": F.floor(F.col(pos) / POS_BLOCK)}, "__run")
+    out = running_sum(df, [], [F.col(pos)], F.col(cost), pos_bucket(pos), "__run")
     return out.withColumn("chunk", F.floor((F.col("__run") - F.col(cost)) / cap).cast("bigint")).drop("__run")
 
 
@@ -122,7 +122,7 @@ def balance_by_uid(df: DataFrame, k: int, uid: str = "uid", length: str = "lengt
     per = df.groupBy(uid).agg(
         F.sum(workload(F.col(length))).alias("__load"), F.min(pos).alias("__first"), F.count(F.lit(1)).alias("__size")
     )
-    order = ranked(per, [], [F.col("__load").desc(), F.col("__first")], {"__lb": -F.floor(F.log2("__load") * 64)}, "__r")
+    order = ranked(per, [], [F.col("__load").desc(), F.col("__first")], value_buckets(-F.col("__load")), "__r")
     side = order.withColumn("group", _snake(F.col("__r"), F.lit(k))).select(uid, "__size", "group")
     return lookup_by_group(df, side, [uid], "__size", "inner").drop("__size")
 
@@ -146,15 +146,19 @@ def micro_batches(
 ) -> DataFrame:
     """Token-bounded micro-batches (O4): as many as the total needs, balanced, small ones at both ends.
 
-    Adds ``micro`` (its place in the order) and ``offset``, the packed start of the row inside it.
+    Adds ``micro`` (its place in the order) and ``offset``, the packed start of the row inside it. A row longer than ``max_len``, or more
+    batches than rows, is an error.
     """
+    fits = F.coalesce(F.col(length) <= max_len, F.lit(True))
+    df = require(df, fits, f"a row is longer than a micro-batch of {max_len}")
     totals = scalar_row(df.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("t")))
     count = F.greatest(F.least(totals["n"], F.ceil(totals["t"] / max_len)), F.lit(at_least))
     count = F.ceil(count / multiple_of) * multiple_of
+    count = F.when(count <= totals["n"], count).otherwise(F.raise_error(F.lit("more micro-batches than rows")).cast("bigint"))
     out = _length_rank(df, [], length, pos, "__r").withColumn("__k", count)
     out = out.withColumn("__g", _snake(F.col("__r"), F.col("__k")))
     groups = out.groupBy("__g", "__k").agg(F.sum(workload(F.col(length))).alias("__load"), F.min(pos).alias("__first"))
-    order = ranked(groups, [], [F.col("__load").desc(), F.col("__first").desc()], {"__lb": -F.floor(F.log2("__load") * 64)}, "__rank")
+    order = ranked(groups, [], [F.col("__load").desc(), F.col("__first").desc()], value_buckets(-F.col("__load")), "__rank")
     r, half = F.col("__rank") - 1, F.ceil(F.col("__k") / 2)
     slot = F.when(r % 2 == 0, half - 1 - r / 2).otherwise(half + (r - 1) / 2).cast("bigint")
     out = join_null_safe(out.drop("__k"), order.select("__g", slot.alias("micro")), ["__g"], "inner")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.hashing import hash_bucket, hash_unit, stable_hash
 from scoreloom.operators.groups import join_null_safe, lookup_by_group, ranked, running_sum, scalar_row
-from scoreloom.operators.joins import POS_BLOCK, pos_bucket
+from scoreloom.operators.joins import pos_bucket
 
 
 def keep_first(
@@ -81,20 +81,33 @@ def spot_check(
 ) -> DataFrame:
     """Ordered bucket quotas without repeats, filled up to ``total`` from the remaining rows (SMP3).
 
-    The chosen set never exceeds ``total`` rows; each step is a distributed top-k.
+    One pass: a bucket can lose at most the rows that earlier buckets take, so its first rows in hash order, as many as all quotas up to it,
+    hold its share. The rank filter cuts every map task down to that many; the few rows left are assigned in bucket order.
     """
     h = stable_hash(id_col, seed=seed)
-    pool = df.withColumn("__h", h)
-    picked: DataFrame | None = None
-    for name, condition, count in [*quotas, ("fill", F.lit(True), total)]:
-        rest = pool.filter(condition)
-        if picked is not None:
-            rest = rest.join(picked.select(id_col), id_col, "left_anti")
-        step = rest.orderBy("__h", id_col).limit(count).withColumn("bucket", F.lit(name))
-        picked = step if picked is None else picked.unionByName(step)
-    order = {name: i for i, (name, _, _) in enumerate([*quotas, ("fill", None, 0)])}
-    rank = F.element_at(F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))]), F.col("bucket"))
-    return picked.withColumn("__o", rank).orderBy("__o", "__h", id_col).limit(total).drop("__h", "__o")
+    buckets = [*quotas, ("fill", F.lit(True), total)]
+    needed = [sum(q[2] for q in buckets[: i + 1]) for i in range(len(buckets))]
+    entries = [F.when(condition, F.struct(F.lit(i).alias("b"), F.lit(needed[i]).alias("m"))) for i, (_, condition, _) in enumerate(buckets)]
+    tagged = df.withColumn("__h", h).withColumn("__e", F.explode(F.array_compact(F.array(*entries))))
+    first = Window.partitionBy("__e.b").orderBy("__h", id_col)
+    small = tagged.withColumn("__rn", F.row_number().over(first)).filter((F.col("__rn") <= max(needed)) & (F.col("__rn") <= F.col("__e.m")))
+    # At most the sum of `needed` rows are gathered: one list of (bucket, hash, id) per bucket, taken in order.
+    key = F.struct("__h", F.col(id_col).alias("i"))
+    lists = small.groupBy().agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("__e.b") == i, key))).alias(f"l{i}") for i in range(len(buckets))
+    ])
+    for i, (_, _, count) in enumerate(buckets):
+        earlier = F.flatten(F.array(*[F.col(f"p{j}") for j in range(i)])) if i else None
+        rest = F.col(f"l{i}") if earlier is None else F.array_except(f"l{i}", earlier)
+        lists = lists.withColumn(f"p{i}", F.slice(rest, 1, count))
+    picks = F.flatten(F.array(*[
+        F.transform(F.col(f"p{i}"), lambda s: F.struct(F.lit(i).alias("__o"), F.lit(name).alias("bucket"), s["__h"].alias("__ph"), s["i"].alias("__pi")))
+        for i, (name, _, _) in enumerate(buckets)
+    ]))
+    chosen = lists.select(F.inline(F.slice(picks, 1, total)))
+    rows = small.dropDuplicates([id_col])
+    out = rows.join(chosen, F.col(id_col).eqNullSafe(F.col("__pi")))
+    return out.orderBy("__o", "__h", id_col).drop("__h", "__e", "__rn", "__o", "__ph", "__pi")
 
 
 def audit_sample(
@@ -141,18 +154,29 @@ def resample_weights(df: DataFrame, how: str = "pow", power: float = 2.0, score:
     return df.withColumn("weight", F.greatest(w + F.lit(1e-8), F.lit(1e-8)))
 
 
+BIN_RUN = 10_000
+
+
 def resample_weighted(df: DataFrame, pos: str, weight: str = "weight", seed: int = 0) -> DataFrame:
     """As many draws with replacement as rows, each row hit in proportion to its weight (SMP6).
 
     Rows become intervals of the cumulative weight and draws become points. Both meet on equal-width bins, one per row on
-    average; bins crowded by many light rows are cut into finer ones. Output: ``draw`` and the drawn row.
+    average; bins crowded by many light rows are cut into finer ones. Running weights are decimals with twelve places, so that one row's end
+    is exactly the next row's start and every draw meets one row. Output: ``draw`` and the drawn row.
     """
-    cum = running_sum(df, [], [F.col(pos)], F.col(weight), pos_bucket(pos), "__hi")
+    exact = F.col(weight).cast("decimal(26,12)")
+    cum = running_sum(df, [], [F.col(pos)], exact, pos_bucket(pos), "__hi").withColumn("__lo", (F.col("__hi") - exact).cast("double"))
+    cum = cum.withColumn("__hi", F.col("__hi").cast("double"))
     totals = scalar_row(cum.agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("__hi").alias("w")))
-    spans = cum.withColumn("__t", totals).withColumn("__lo", F.col("__hi") - F.col(weight))
+    spans = cum.withColumn("__t", totals)
     n, total = F.col("__t.n"), F.col("__t.w")
     bin_of = lambda x: F.least(F.floor(x / total * n), n - 1).cast("bigint")
-    spans = spans.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("__lo")), bin_of(F.col("__hi")))))
+    # A row that owns many bins is spread in two steps, so that no array holds more than BIN_RUN of them.
+    low, high = bin_of(F.col("__lo")), bin_of(F.col("__hi"))
+    spans = spans.withColumn("__run", F.explode(F.sequence(F.floor(low / BIN_RUN), F.floor(high / BIN_RUN))))
+    spans = spans.withColumn(
+        "__bin", F.explode(F.sequence(F.greatest(low, F.col("__run") * BIN_RUN), F.least(high, F.col("__run") * BIN_RUN + BIN_RUN - 1)))
+    ).drop("__run")
     crowd = spans.groupBy("__bin").agg(F.count(F.lit(1)).alias("__rows"))
     fine = crowd.select("__bin", "__rows", F.ceil(F.col("__rows") / 1000).cast("bigint").alias("__fine"))
     # Position of x inside its bin, as a sub-bin number from 0 to fine - 1.
@@ -179,7 +203,7 @@ def holdout_by_scene(
     """
     scenes = df.groupBy(source, scene).agg(F.min(pos).alias("__first"), F.count(F.lit(1)).alias("__size"))
     total = scenes.groupBy(source).agg(F.count(F.lit(1)).alias("__scenes"))
-    order = ranked(scenes, [source], [F.col("__first")], {"__pb": F.floor(F.col("__first") / POS_BLOCK)}, "__rank")
+    order = ranked(scenes, [source], [F.col("__first")], pos_bucket("__first"), "__rank")
     held = join_null_safe(order, total, [source]).filter(
         F.col("__rank") <= F.greatest(F.floor(F.col("__scenes") / share), F.lit(1))
     ).select(source, scene, "__size")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import geometry as geo
 from scoreloom.functions import text as tx
 from scoreloom.functions.hashing import hash_int, stable_hash
-from scoreloom.operators.joins import POS_BLOCK, require
+from scoreloom.operators.joins import pos_bucket, require
 from scoreloom.operators.groups import ranked
 
 
@@ -161,7 +161,7 @@ def repeat_rows(df: DataFrame, n: int | Column, pos: str, interleave: bool = Tru
     Interleaved keeps copies together; blocked repeats the whole batch. A column gives a per-row count.
     """
     times = n if isinstance(n, Column) else F.lit(n)
-    out = ranked(df, [], [F.col(pos)], {"__pb": F.floor(F.col(pos) / POS_BLOCK)}, "__row")
+    out = ranked(df, [], [F.col(pos)], pos_bucket(pos), "__row")
     out = out.withColumn("repeat", F.explode(F.sequence(F.lit(0), times.cast("int") - 1)))
     if isinstance(n, Column):
         return out.drop("__row")
@@ -189,7 +189,7 @@ def fewshot(
     ``first`` and ``index`` read a fixed handful of examples; ``random`` gives every document its own draw through a hash
     position into the numbered pool, with one spare in case the document meets itself.
     """
-    numbered = ranked(pool, [], [F.col(pool_id)], {"__pb": F.floor(F.col(pool_id) / POS_BLOCK)}, "__rank")
+    numbered = ranked(pool, [], [F.col(pool_id)], pos_bucket(pool_id), "__rank")
     if how in ("first", "index"):
         if how == "first":
             few = numbered.filter(F.col("__rank") <= n + 1)
@@ -202,8 +202,9 @@ def fewshot(
     if how != "random":
         raise ValueError(f"unknown sampler: {how}")
     total = numbered.agg(F.max("__rank").alias("m")).scalar()
-    wanted = docs.select(doc_id).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    # Consecutive positions from a hashed start never repeat within a document.
+    # Consecutive positions from a hashed start never repeat within a document, as long as there are no more of them than examples.
+    last = F.least(F.lit(n).cast("bigint"), total.cast("bigint") - 1)
+    wanted = docs.select(doc_id).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     start = F.pmod(hash_int(stable_hash(doc_id, seed=seed)), total)
     wanted = wanted.withColumn("__rank", (start + F.col("slot")) % total + 1)
     got = wanted.join(numbered, "__rank").filter(F.col(pool_id) != F.col(doc_id))

@@ -147,7 +147,7 @@ def _g26c(spark, sf):
 
 
 # Running sums of the Poisson(1) probabilities, written out by the same recurrence in SQL.
-_POISSON = "len(list_filter(list_transform(range(0, 12), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-1.0::DOUBLE) / gamma(j + 1)))), lambda t: u >= t))"
+_POISSON = "len(list_filter(list_transform(range(0, 18), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-1.0::DOUBLE) / gamma(j + 1)))), lambda t: u >= t))"
 
 
 @register("g26_bootstrap_stderr", "data_source:s stderr:d", f"""

@@ -113,34 +113,34 @@ def _j7(spark, sf):
 
 
 @register("j8_leak_scan", "source:s responses:l hint_pattern:l exact_gt_copy:l copy_pct:d", """
-WITH r AS (SELECT doc_id, source, CASE WHEN doc_id % 6 = 0 THEN text || ' see the Reference solution' ELSE text END AS text, substr(text, 3, CASE WHEN doc_id % 4 = 0 THEN 6 ELSE 20 END) AS gold0 FROM documents),
-g AS (SELECT r.doc_id, r.source, r.text, CASE WHEN r.doc_id % 5 = 0 THEN 'nowhere to be found' ELSE r.gold0 END AS gold, l.doc_id IS NOT NULL AS has FROM r LEFT JOIN labels l ON r.doc_id = l.doc_id WHERE trim(r.text) <> '')
+WITH r AS (SELECT doc_id, source, CASE WHEN doc_id % 6 = 0 THEN text || ' see the Reference solution' ELSE text END AS text, text AS body,
+ CASE WHEN doc_id % 5 = 0 THEN 'nowhere to be found' WHEN doc_id % 4 = 0 THEN trim(substr(text, 3, 6)) ELSE trim(substr(text, 3, 20)) END AS gold0 FROM documents),
+g AS (SELECT r.doc_id, r.source, r.text, CASE WHEN l.doc_id IS NULL THEN CASE WHEN r.doc_id % 3 = 0 THEN trim(body) END
+  WHEN gold0 <> '' THEN gold0 ELSE 'an earlier answer' END AS gold FROM r LEFT JOIN labels l ON r.doc_id = l.doc_id WHERE trim(r.text) <> '')
 SELECT source, count(*) AS responses, sum(CASE WHEN regexp_matches(text, '(?i)reference solution') OR regexp_matches(text, '\\bHint\\b') THEN 1 ELSE 0 END) AS hint_pattern,
- sum(CASE WHEN has AND length(gold) >= 8 AND contains(text, gold) THEN 1 ELSE 0 END) AS exact_gt_copy,
- 100.0 * sum(CASE WHEN has AND length(gold) >= 8 AND contains(text, gold) THEN 1 ELSE 0 END) / count(*) AS copy_pct FROM g GROUP BY source""")
+ sum(CASE WHEN length(gold) >= 8 AND contains(text, gold) THEN 1 ELSE 0 END) AS exact_gt_copy,
+ 100.0 * sum(CASE WHEN length(gold) >= 8 AND contains(text, gold) THEN 1 ELSE 0 END) / count(*) AS copy_pct FROM g GROUP BY source""")
 def _j8(spark, sf):
     i = F.col("doc_id")
     docs = table(spark, sf, "documents", spread=True)
     resp = docs.select(
         i.alias("sample_id"), "source",
         F.when(i % 6 == 0, F.concat("text", F.lit(" see the Reference solution"))).otherwise(F.col("text")).alias("response"),
+        F.when(i % 3 == 0, F.col("text")).alias("own_answer"),
     )
+    answer = F.when(i % 5 == 0, "nowhere to be found").otherwise(F.substring("text", F.lit(3), F.when(i % 4 == 0, 6).otherwise(20)))
+    # Every labelled row has an earlier gold, a padded later one, and some a blank last one.
+    golds = F.array(F.lit("an earlier answer"), F.concat(F.lit("  "), answer, F.lit(" ")), F.when(i % 7 == 0, F.lit("   ")))
     gold = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select(
-        i.alias("sample_id"),
-        F.when(i % 5 == 0, "nowhere to be found").otherwise(F.substring("text", F.lit(3), F.when(i % 4 == 0, 6).otherwise(20))).alias("answer"),
+        i.alias("sample_id"), F.posexplode(golds).alias("pos", "answer"),
     )
-    return jn.leak_rates(jn.scan_leak(resp, gold), ["source"])
+    return jn.leak_rates(jn.scan_leak(resp, gold, fallback="own_answer", min_len=8, gold_pos="pos"), ["source"])
 
 
 @register("j8_contained_passages", "doc_id:l item_id:l", """
-WITH p AS (SELECT item_id, substr(text, 2, 60) AS text FROM benchmark UNION ALL SELECT 100000 + item_id, substr(text, 5, 12) FROM benchmark WHERE item_id % 2 = 0)
-SELECT doc_id, item_id FROM documents d JOIN p ON contains(d.text, p.text) WHERE length(p.text) >= 8""")
+SELECT doc_id, item_id FROM documents d JOIN benchmark p ON contains(d.text, p.text)""")
 def _j8c(spark, sf):
-    b = table(spark, sf, "benchmark")
-    p = b.select("item_id", F.substring("text", 2, 60).alias("text")).unionByName(
-        b.filter("item_id % 2 = 0").select((F.col("item_id") + 100000).alias("item_id"), F.substring("text", 5, 12).alias("text"))
-    )
-    return jn.contained_passages(table(spark, sf, "documents", spread=True), p, "doc_id", "item_id")
+    return jn.contained_passages(table(spark, sf, "documents", spread=True), table(spark, sf, "benchmark"), "doc_id", "item_id")
 
 
 @register("j9_exclude_scenes", "o_orderkey:l o_custkey:l", """

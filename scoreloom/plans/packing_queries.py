@@ -73,14 +73,14 @@ def _o3w(spark, sf):
 
 
 @register("o4_micro_batches", "pos:l micro:l start_at:l", """
-WITH t AS (SELECT least(count(*), CAST(ceil(sum(n_chars) / 60000.0::DOUBLE) AS BIGINT)) AS k FROM documents),
+WITH t AS (SELECT least(count(*), CAST(ceil(sum(n_chars) / 200000.0::DOUBLE) AS BIGINT)) AS k FROM documents),
 r AS (SELECT doc_id AS pos, n_chars AS length, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r, k FROM documents, t),
 g AS (SELECT *, CASE WHEN (r // k) % 2 = 0 THEN r % k ELSE k - 1 - r % k END AS g FROM r),
 o AS (SELECT g, k, row_number() OVER (ORDER BY sum(24576 * length + length * length) DESC, min(pos) DESC) - 1 AS q FROM g GROUP BY g, k),
 m AS (SELECT g, CASE WHEN q % 2 = 0 THEN CAST(ceil(k / 2) AS BIGINT) - 1 - q // 2 ELSE CAST(ceil(k / 2) AS BIGINT) + (q - 1) // 2 END AS micro FROM o)
 SELECT pos, micro, coalesce(sum(length) OVER (PARTITION BY micro ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM g JOIN m ON g.g = m.g""".replace('AS "offset"', "AS start_at"))
 def _o4(spark, sf):
-    return pk.micro_batches(_docs(spark, sf), 60000).withColumnRenamed("offset", "start_at")
+    return pk.micro_batches(_docs(spark, sf), 200000).withColumnRenamed("offset", "start_at")
 
 
 @register("o5_token_windows", "vec_id:l win:l inp:s target:s", """

@@ -56,16 +56,16 @@ def _t3(spark, sf):
     return spark.read.parquet(out).select("conv_id", "turn", "copy", "text")
 
 
-@register("t4_adaptive_kl", "step:l coef:d coef_after:d", f"""
-WITH RECURSIVE {ROLLOUT_SQL}, s AS (SELECT step, avg(score) AS kl, count(*) AS n, row_number() OVER (ORDER BY step) AS i FROM rollouts GROUP BY step),
-f AS (SELECT i, step, 0.2::DOUBLE AS coef, 0.2::DOUBLE * (1 + greatest(least(kl / 10.0::DOUBLE - 1, 0.2), -0.2) * n / 10000.0) AS coef_after FROM s WHERE i = 1
-  UNION ALL SELECT s.i, s.step, f.coef_after, f.coef_after * (1 + greatest(least(kl / 10.0::DOUBLE - 1, 0.2), -0.2) * n / 10000.0) FROM s JOIN f ON s.i = f.i + 1)
-SELECT step, coef, coef_after FROM f""")
+@register("t4_adaptive_kl", "name:s step:l coef:d coef_after:d", f"""
+WITH RECURSIVE {ROLLOUT_SQL}, s AS (SELECT data_source AS name, step, avg(score) AS kl, count(*) AS n, row_number() OVER (PARTITION BY data_source ORDER BY step) AS i FROM rollouts GROUP BY data_source, step),
+f AS (SELECT i, name, step, 0.2::DOUBLE AS coef, 0.2::DOUBLE * (1 + greatest(least(kl / 10.0::DOUBLE - 1, 0.2), -0.2) * n / 10000.0) AS coef_after FROM s WHERE i = 1
+  UNION ALL SELECT s.i, s.name, s.step, f.coef_after, f.coef_after * (1 + greatest(least(kl / 10.0::DOUBLE - 1, 0.2), -0.2) * n / 10000.0) FROM s JOIN f ON s.i = f.i + 1 AND s.name = f.name)
+SELECT name, step, coef, coef_after FROM f""")
 def _t4(spark, sf):
-    steps = rollouts(spark, sf).groupBy("step").agg(F.avg("score").alias("kl"), F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("kl"))
+    steps = rollouts(spark, sf).groupBy(F.col("data_source").alias("name"), "step").agg(F.avg("score").alias("kl"), F.count(F.lit(1)).alias("n"))
     out = scratch_path(spark, "kl")
-    # Files are consumed oldest first; one file per batch keeps the steps in order.
-    path = st.replay_files(steps, "step", 1)
+    # The steps of a name lie in one file of each slice, and slices are consumed oldest first.
+    path = st.replay_files(steps, "step", 3, together="name")
     stream = st.rollout_stream(spark, path, spark.read.parquet(path).schema)
     st.run_available(st.adaptive_kl(stream, 0.2, 10.0, 10000.0), out, scratch_path(spark, "kl-checkpoint"))
-    return spark.read.parquet(out).select("step", "coef", "coef_after")
+    return spark.read.parquet(out).select("name", "step", "coef", "coef_after")

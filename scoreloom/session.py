@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +29,14 @@ def build_session(app_name: str = "scoreloom", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """One folder per process for local runs without the setting, removed when the process ends."""
+    base = tempfile.mkdtemp(prefix="scoreloom-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -36,5 +47,5 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="scoreloom-")
+        base = _own_folder()
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")

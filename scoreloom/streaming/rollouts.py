@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from scoreloom.session import scratch_path
 
 
-def rollout_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int = 1) -> DataFrame:
+def rollout_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int = 8) -> DataFrame:
     """Files of rollouts as a stream; the file limit is the intake limit."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
@@ -32,13 +32,20 @@ def batch_folder_sink(out: str, transform: Callable[[DataFrame], DataFrame] | No
     return write
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", transform=None) -> None:
-    """Process everything that is there and stop."""
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", transform=None, may_drop_late: bool = False) -> int:
+    """Process everything that is there and stop; gives the number of rows that came later than the watermark allows.
+
+    Late rows are not in the result, so they are an error unless ``may_drop_late``.
+    """
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(batch_folder_sink(out, transform)).start()
     )
     query.awaitTermination()
+    late = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+    if late and not may_drop_late:
+        raise RuntimeError(f"{late} rows are later than the watermark allows")
+    return late
 
 
 def ingest_rollouts(
@@ -105,8 +112,8 @@ COEF_SCHEMA = "name string, step bigint, coef double, coef_after double"
 def adaptive_kl(stream: DataFrame, init: float, target: float, horizon: float, name: str = "name") -> DataFrame:
     """Adaptive coefficient as state (T4): every step multiplies it by the clipped error of its KL.
 
-    Input: one row per (name, step) with ``kl`` and ``n``, steps arriving in order across batches; inside a batch they
-    are sorted.
+    Input: one row per (name, step) with ``kl`` and ``n``, steps of a name arriving in order across batches; inside a batch they
+    are sorted. Names are independent states.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -125,18 +132,22 @@ def adaptive_kl(stream: DataFrame, init: float, target: float, horizon: float, n
     )
 
 
-def replay_files(df: DataFrame, order: str, files: int, label: str = "replay") -> str:
-    """Write a table as slices in ``order``, one after the other, so that a stream reads them in that order.
+def replay_files(df: DataFrame, order: str, slices: int, label: str = "replay", together: str | None = None) -> str:
+    """Write a table as slices in ``order``, one after the other, so that a stream reads them in that order; null keys come first.
 
-    A file source takes files by modification time; slices written by one job would all carry about the same time.
+    A file source takes files by modification time; files written by one job all carry about the same time. So the rows are dealt to slices
+    in one pass over the table, by sampled bounds, and each slice is then appended by a job of many tasks. ``together``: all rows of a slice
+    with the same value of this column go into one file, for consumers that keep a state per value.
     """
-    path = scratch_path(df.sparkSession, label)
-    cuts = [i / files for i in range(1, files)]
+    spark = df.sparkSession
+    path, staged = scratch_path(spark, label), scratch_path(spark, f"{label}-staged")
     key = F.col(order).cast("double") if order != "ts" else F.unix_micros(order).cast("double")
+    cuts = [i / slices for i in range(1, slices)]
     edges = df.select(key.alias("k")).approxQuantile("k", cuts, 0.01) if cuts else []
-    slices = [*zip([None, *edges], [*edges, None])]
-    for low, high in slices:
-        part = df if low is None else df.filter(key >= low)
-        part = part if high is None else part.filter(key < high)
-        part.coalesce(1).write.mode("append").parquet(path)
+    number = sum((F.coalesce(key >= e, F.lit(False)).cast("int") for e in edges), F.lit(0))
+    with_slice = T.StructType([*df.schema.fields, T.StructField("__slice", T.IntegerType())])
+    df.withColumn("__slice", number).write.partitionBy("__slice").parquet(staged)
+    for n in range(slices):
+        part = spark.read.schema(with_slice).parquet(staged).filter(F.col("__slice") == n).drop("__slice")
+        (part if together is None else part.repartition(together)).write.mode("append").parquet(path)
     return path

@@ -8,9 +8,12 @@ from scoreloom.functions import text as tx
 from scoreloom.operators import advantage as adv
 from scoreloom.operators import joins as jn
 from scoreloom.operators import metrics as mt
+from scoreloom.operators import packing as pk
 from scoreloom.operators import prep as pp
 from scoreloom.operators import rollout as ro
+from scoreloom.operators import views as vw
 from scoreloom.sources import dumps, tables, training
+from scoreloom.streaming import rollouts as st
 
 
 def one(spark, col):
@@ -205,3 +208,63 @@ def test_training_rows_refuse_mismatches(spark):
         training.training_rows(_plan_row(spark, "see <image>"), "root").collect()
     with pytest.raises(Exception, match="view counts"):
         training.training_rows(_plan_row(spark, "x"), "root", require_equal_views=True).collect()
+
+
+def test_micro_batches_refuse_oversize_rows(spark):
+    df = spark.createDataFrame([(i, 40) for i in range(6)] + [(6, 500)], "pos long, length long")
+    with pytest.raises(Exception, match="longer than a micro-batch"):
+        pk.micro_batches(df, 100).collect()
+    with pytest.raises(Exception, match="more micro-batches than rows"):
+        pk.micro_batches(df.filter("pos < 2"), 100, at_least=5).collect()
+
+
+def test_fewshot_of_a_small_pool_repeats_nothing(spark):
+    docs = spark.createDataFrame([(i,) for i in range(5)], "doc_id long")
+    pool = spark.createDataFrame([(1, "e1"), (2, "e2")], "pool_id long, example string")
+    got = {r["doc_id"]: sorted(r["context"].split("|")) for r in vw.fewshot(docs, pool, 3, how="random", sep="|").collect()}
+    assert got == {0: ["e1", "e2"], 1: ["e2"], 2: ["e1"], 3: ["e1", "e2"], 4: ["e1", "e2"]}
+
+
+def test_replay_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None if i % 10 == 0 else i, f"r{i}") for i in range(100)], "pos long, name string")
+    path = st.replay_files(df, "pos", 4)
+    assert sorted(r["name"] for r in spark.read.parquet(path).collect()) == sorted(f"r{i}" for i in range(100))
+
+
+def test_leak_scan_golds(spark):
+    resp = spark.createDataFrame([(1, "the answer is forty two"), (2, "copied whole phrase here"), (3, "own fallback text")], "sample_id long, response string").withColumn(
+        "own", F.when(F.col("sample_id") != 1, F.col("response")))
+    gold = spark.createDataFrame(
+        [(1, 0, "zzz never"), (1, 1, "  forty two "), (1, 2, "   "), (2, 0, "  ")], "sample_id long, pos long, answer string")
+    got = {r["sample_id"]: r["exact_gt_copy"] for r in jn.scan_leak(resp, gold, fallback="own", gold_pos="pos").collect()}
+    assert got == {1: True, 2: True, 3: True}
+
+
+def test_box_matching_fails_when_unsettled(spark):
+    boxes = [("i", "l", k, [k * 0.1, 0.0, 0.0, 2.0, 2.0, 2.0]) for k in range(6)]
+    df = spark.createDataFrame(boxes, "image string, label string, pos long, bbox array<double>")
+    with pytest.raises(RuntimeError, match="not settled"):
+        jn.match_boxes(df, df, max_rounds=1)
+
+
+def test_short_passages(spark):
+    docs = spark.createDataFrame([(1, "a bc def"), (2, "xyz"), (3, "")], "doc_id long, text string")
+    passages = spark.createDataFrame([(1, "c"), (2, "bc d"), (3, "xyz"), (4, ""), (5, "q")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in jn.contained_passages(docs, passages, "doc_id", "item_id").collect())
+    assert got == [(1, 1), (1, 2), (2, 3)]
+
+
+def test_ranks_of_any_key_distribution(spark):
+    from scoreloom.operators.groups import order_statistics, ranked, value_buckets
+
+    rows = [(h,) for h in ([hash((i, "x")) % (1 << 62) - (1 << 61) for i in range(500)] + [0, 1, -1, 5, 5, None])]
+    for kind, scale in (("long", None), ("double", 1 << 62)):
+        values = [(v if scale is None or v is None else v / scale,) for (v,) in rows]
+        df = spark.createDataFrame(values, f"v {kind}").withColumn("one", F.lit(1))
+        got = ranked(df, ["one"], [F.col("v")], value_buckets(F.col("v")), "rn").collect()
+        want = {}
+        for n, v in enumerate(sorted((x for (x,) in values), key=lambda x: (x is not None, x or 0)), 1):
+            want.setdefault(v, set()).add(n)
+        assert all(r["rn"] in want[r["v"]] for r in got) and len({r["rn"] for r in got}) == 506
+        stats = order_statistics(df, [], "v", {"mid": F.floor(F.col("n") / 2)}).first()
+        assert stats["mid"] == sorted(x for (x,) in values if x is not None)[505 // 2]
