@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -100,46 +101,59 @@ def document_frequency(grams: DataFrame, id_col: str) -> DataFrame:
     return once.groupBy("k", "gram").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _matches(orders: int, characters: bool):
+    """Arrow batch function: for every order the n-grams of a text, of its references together, and those found in both.
+
+    A text's count of an n-gram is clipped by the largest count in any one reference. Nothing but these numbers leaves a row.
+    """
+
+    def counts(units, k: int) -> Counter:
+        return Counter(tuple(units[i : i + k]) for i in range(len(units) - k + 1))
+
+    @F.pandas_udf("array<bigint>")
+    def of(hyp: pd.Series, refs: pd.Series) -> pd.Series:
+        out = []
+        for h, rs in zip(hyp, refs):
+            split = (lambda x: "".join((x or "").split())) if characters else (lambda x: (x or "").split())
+            text, others, row = split(h), [split(r) for r in rs], []
+            for k in range(1, orders + 1):
+                own, caps = counts(text, k), [counts(r, k) for r in others]
+                shared = sum(min(c, max((cap[g] for cap in caps), default=0)) for g, c in own.items())
+                row += [sum(own.values()), sum(sum(cap.values()) for cap in caps), shared]
+            out.append(row)
+        return pd.Series(out)
+
+    return of
+
+
 def corpus_bleu(df: DataFrame, id_col: str, n: int = 4, hyp: str = "hyp", refs: str = "ref_list") -> DataFrame:
-    """Corpus BLEU-1 .. BLEU-n from summed clipped matches and the closest reference lengths."""
-    grams = gram_counts(df, id_col, n, hyp, refs)
-    best = grams.filter("ref >= 0").groupBy(id_col, "k", "gram").agg(F.max("c").alias("cap"))
-    hit = grams.filter("ref = -1").join(best, [id_col, "k", "gram"])
-    correct = hit.groupBy("k").agg(F.sum(F.least("c", "cap")).alias("correct"))
+    """Corpus BLEU-1 .. BLEU-n from summed clipped matches and the closest reference lengths (G25); one pass, one global sum."""
+    counted = df.withColumn("__m", _matches(n, False)(F.col(hyp), F.col(refs)))
     size = F.size(tx.words(F.col(hyp)))
     gaps = F.array_min(F.transform(F.col(refs), lambda r: F.struct(
         F.abs(F.size(tx.words(r)) - size).alias("d"), F.size(tx.words(r)).alias("l"))))
-    lens = df.agg(
+    out = counted.agg(
         F.sum(size).alias("t"), F.sum(gaps["l"]).alias("r"),
         *[F.sum(F.greatest(size - (k - 1), F.lit(0))).alias(f"g{k}") for k in range(1, n + 1)],
+        *[F.coalesce(F.sum(F.col("__m")[3 * k - 1]), F.lit(0)).alias(f"c{k}") for k in range(1, n + 1)],
     )
-    found = scalar_row(correct.agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("correct"))), F.lit(0)).alias(f"c{k}") for k in range(1, n + 1)]))
-    out = lens.withColumn("__c", found)
     small, tiny = 1e-9, 1e-15
     ratio = (F.col("t") + tiny) / (F.col("r") + small)
     brevity = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(F.lit(1.0))
     cols, product = [], F.lit(1.0)
     for k in range(1, n + 1):
-        product = product * (F.col("__c")[f"c{k}"] + tiny) / (F.col(f"g{k}") + small)
+        product = product * (F.col(f"c{k}") + tiny) / (F.col(f"g{k}") + small)
         cols.append((F.pow(product, F.lit(1.0 / k)) * brevity).alias(f"bleu_{k}"))
     return out.select(*cols)
 
 
 def corpus_chrf(df: DataFrame, id_col: str, order: int = 6, beta: float = 2.0, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """Corpus chrF from summed character n-gram matches, averaged over the effective orders."""
-    def of_order(text: Column, k: int) -> Column:
-        return F.transform(tx.char_grams(text, k), lambda g: F.struct(F.lit(k).alias("k"), g.alias("gram")))
-
-    def grams(side: str, name: str) -> DataFrame:
-        base = df.select(id_col, F.regexp_replace(F.col(side), r"\s+", "").alias("w"))
-        flat = base.select(id_col, F.explode(F.concat(*[of_order(F.col("w"), k) for k in range(1, order + 1)])).alias("e"))
-        return flat.groupBy(id_col, F.col("e.k").alias("k"), F.col("e.gram").alias("gram")).agg(F.count(F.lit(1)).alias(name))
-
-    both = grams(hyp, "h").join(grams(ref, "r"), [id_col, "k", "gram"], "full_outer")
-    per = both.groupBy("k").agg(
-        F.sum(F.coalesce("h", F.lit(0))).alias("h"), F.sum(F.coalesce("r", F.lit(0))).alias("r"),
-        F.sum(F.coalesce(F.least(F.coalesce("h", F.lit(0)), F.coalesce("r", F.lit(0))), F.lit(0))).alias("m"),
-    ).filter((F.col("h") > 0) & (F.col("r") > 0))
+    """Corpus chrF from summed character n-gram matches, averaged over the effective orders (G25); one pass, one global sum."""
+    counted = df.select(_matches(order, True)(F.col(hyp), F.array(F.col(ref))).alias("m"))
+    sums = counted.agg(*[F.sum(F.col("m")[i]).alias(f"s{i}") for i in range(3 * order)])
+    per = sums.select(F.inline(F.array(*[
+        F.struct(F.col(f"s{3 * k}").alias("h"), F.col(f"s{3 * k + 1}").alias("r"), F.col(f"s{3 * k + 2}").alias("m")) for k in range(order)
+    ]))).filter((F.col("h") > 0) & (F.col("r") > 0))
     pr = per.agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("q"))
     b = beta * beta
     score = F.try_divide(F.lit(1 + b) * F.col("p") * F.col("q"), F.lit(b) * F.col("p") + F.col("q"))
@@ -195,7 +209,8 @@ def rouge_l(hyp: Column, refs: Column, beta: float = 1.2) -> Column:
 
         def one(text: str, references) -> float:
             c = text.split(" ")
-            pairs = [(lcs(x, c) / len(c), lcs(x, c) / len(x)) for x in (t.split(" ") for t in references)]
+            common = [(lcs(x, c), len(x)) for x in (t.split(" ") for t in references)]
+            pairs = [(n / len(c), n / m) for n, m in common]
             p, q = max(v[0] for v in pairs), max(v[1] for v in pairs)
             return (1 + beta**2) * p * q / (q + beta**2 * p) if p and q else 0.0
 

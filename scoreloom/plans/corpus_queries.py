@@ -44,7 +44,7 @@ def _g24s(spark, sf):
 
 
 _CAP_SQL = """
-cap AS (SELECT conv_id * 100 + turn AS id, text, substr(text, 1, 120) AS p, [substr(text, 20, 120), substr(text, 60, 100)] AS r, turn % 4 AS q FROM conversations),
+cap AS (SELECT conv_id * 100 + turn AS id, text, text AS p, [substr(text, 20), substr(text, 60)] AS r, turn % 4 AS q FROM conversations),
 txt AS (SELECT id, -1 AS ref, CASE WHEN q < 3 THEN p ELSE '' END AS t FROM cap UNION ALL SELECT id, i - 1, r[i] FROM cap, range(1, 3) g(i)),
 tok AS (SELECT id, ref, list_filter(regexp_split_to_array('sos ' || lower(replace(replace(t, '.', ' . '), ',', ' , ')) || ' eos', '\\s+'), lambda w: w <> '') AS w FROM txt),
 gr AS (SELECT id, ref, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM tok, range(1, 5) z(k))),
@@ -54,8 +54,7 @@ gc AS (SELECT id, ref, k, gram, count(*) AS c FROM gr GROUP BY ALL)
 
 def _captions(spark, sf):
     c = table(spark, sf, "conversations", spread=True)
-    s = lambda a, n: F.substring("text", a, n)
-    df = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), s(1, 120).alias("pred"), F.array(s(20, 120), s(60, 100)).alias("refs"),
+    df = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("pred"), F.array(F.expr("substr(text, 20)"), F.expr("substr(text, 60)")).alias("refs"),
                   F.when(F.col("turn") % 4 < 3, 0.6).otherwise(0.2).alias("iou"))
     return cp.caption_tokens(df, "pred", "refs", "iou")
 
@@ -92,14 +91,14 @@ def _g25c(spark, sf):
 
 
 @register("g25_chrf", "chrf:d", """
-WITH c AS (SELECT conv_id * 100 + turn AS id, regexp_replace(substr(text, 1, 120), '\\s+', '', 'g') AS h, regexp_replace(substr(text, 20, 120), '\\s+', '', 'g') AS r FROM conversations),
+WITH c AS (SELECT conv_id * 100 + turn AS id, regexp_replace(text, '\\s+', '', 'g') AS h, regexp_replace(substr(text, 20), '\\s+', '', 'g') AS r FROM conversations),
 g AS (SELECT id, k, h[i:i + k - 1] AS gram, 1 AS h, 0 AS r FROM (SELECT *, unnest(range(1, length(h) - k + 2)) AS i FROM c, range(1, 7) z(k)) UNION ALL
       SELECT id, k, r[i:i + k - 1], 0, 1 FROM (SELECT *, unnest(range(1, length(r) - k + 2)) AS i FROM c, range(1, 7) z(k))),
 s AS (SELECT id, k, gram, sum(h) AS h, sum(r) AS r FROM g GROUP BY ALL), k AS (SELECT k, sum(h) AS h, sum(r) AS r, sum(least(h, r)) AS m FROM s GROUP BY k),
 p AS (SELECT avg(m / h) AS p, avg(m / r) AS q FROM k WHERE h > 0 AND r > 0) SELECT 100 * 5 * p * q / (4 * p + q) AS chrf FROM p""")
 def _g25f(spark, sf):
     c = table(spark, sf, "conversations", spread=True).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.substring("text", 1, 120).alias("hyp"), F.substring("text", 20, 120).alias("ref"))
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("hyp"), F.expr("substr(text, 20)").alias("ref"))
     return cp.corpus_chrf(c, "id")
 
 
