@@ -34,6 +34,14 @@ def register_metric(name: str):
     return wrap
 
 
+def compute_metrics(df: DataFrame, names: Sequence[str], **options) -> dict[str, DataFrame]:
+    """Registered metrics by name, each with the given options; an unknown name is an error that lists the known ones."""
+    unknown = [n for n in names if n not in METRICS]
+    if unknown:
+        raise KeyError(f"unknown metrics {unknown}; registered are {sorted(METRICS)}")
+    return {n: METRICS[n](df, **options) for n in names}
+
+
 def melt_row(one_row: DataFrame, name: str = "metric", value: str = "value") -> DataFrame:
     """A one-row result as (metric, value) pairs."""
     pairs = [F.struct(F.lit(c).alias(name), F.col(f"`{c}`").cast("double").alias(value)) for c in one_row.columns]

@@ -6,12 +6,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.functions import geometry as geo
 from scoreloom.functions import text as tx
 from scoreloom.functions.arrays import let
 from scoreloom.operators.groups import join_null_safe, linear_percentiles, scalar_row
-from scoreloom.operators.joins import require
+from scoreloom.operators.joins import require, with_row_index
 
 # Answers that depend on view numbering.
 ANSWER_FRAME = r"Frame-\d+"
@@ -264,7 +265,8 @@ def answer_hint(
 ) -> DataFrame:
     """Teacher messages with a hint after the last turn (P9); rows without an answer keep theirs and are flagged.
 
-    ``template`` contains ``{answer}``. When image counts are given they must be equal.
+    ``template`` contains ``{answer}``. When image counts are given they must be equal. A content that is a list of typed parts gets the hint as
+    one more text part, a plain string is extended.
     """
     out = df.withColumn("hint_answer", tx.resolve_answer(F.coalesce(F.col(gold), F.col(fallback))))
     if student_images and teacher_images:
@@ -273,12 +275,53 @@ def answer_hint(
     before, after = template.split("{answer}")
     suffix = F.concat(F.lit(before), F.col("hint_answer"), F.lit(after))
     last = F.size(m) - 1
+    content_type = df.schema[messages].dataType.elementType["content"].dataType
+    if isinstance(content_type, T.ArrayType):
+        fields = content_type.elementType
+        values = {"type": F.lit("text"), "text": suffix}
+        part = F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+        longer = lambda e: F.concat(e["content"], F.array(part))
+    else:
+        longer = lambda e: F.concat(e["content"], suffix)
     hinted = F.transform(m, lambda e, i: F.struct(
-        e["role"].alias("role"), F.when(i == last, F.concat(e["content"], suffix)).otherwise(e["content"]).alias("content")))
+        e["role"].alias("role"), F.when(i == last, longer(e)).otherwise(e["content"]).alias("content")))
     out = out.withColumn("teacher_messages", F.when(F.col("hint_answer").isNotNull(), hinted).otherwise(m))
     return out.withColumn("needs_fallback", F.col("hint_answer").isNull())
 
 
+def teacher_view(df: DataFrame, teacher_images: str, images: str = "images", messages: str = "prompt", teacher_messages: str | None = None) -> DataFrame:
+    """The other privilege mode of P9: no hint, but the teacher's own images (and messages) in place of the student's.
+
+    Rows without teacher images keep the student's and are flagged.
+    """
+    own = F.col(teacher_images)
+    has = own.isNotNull() & (F.size(own) > 0)
+    out = df.withColumn("needs_fallback", ~F.coalesce(has, F.lit(False)))
+    swapped = F.coalesce(F.col(teacher_messages), F.col(messages)) if teacher_messages else F.col(messages)
+    return out.withColumn("teacher_messages", F.when(~F.col("needs_fallback"), swapped).otherwise(F.col(messages))).withColumn(
+        images, F.when(~F.col("needs_fallback"), own).otherwise(F.col(images)))
+
+
+def pad_to_divisor(df: DataFrame, divisor: int, pos: str = "pos") -> DataFrame:
+    """Rows repeated from the front until their number divides evenly (P15); ``padded`` marks the copies, ``slot`` is the place of a row.
+
+    Fewer rows than copies needed are repeated several times over; an empty table stays empty. :func:`unpad` undoes it.
+    """
+    numbered = with_row_index(df, pos, "__row")
+    total = scalar_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]
+    missing = (F.lit(divisor) - total % divisor) % divisor
+    # Row r is copied once for every r + k * total below the number of missing rows.
+    times = F.greatest(F.ceil((missing - F.col("__row")) / total), F.lit(0)).cast("int")
+    copies = F.sequence(F.lit(0), times)
+    out = numbered.withColumn("__n", total).withColumn("__copy", F.explode(copies))
+    slot = F.when(F.col("__copy") == 0, F.col("__row")).otherwise(F.col("__n") + (F.col("__copy") - 1) * F.col("__n") + F.col("__row"))
+    return out.withColumn("padded", F.col("__copy") > 0).withColumn("slot", slot.cast("bigint")).drop("__row", "__n", "__copy")
+
+
+def unpad(df: DataFrame) -> DataFrame:
+    return df.filter(~F.col("padded")).drop("padded", "slot")
+
+
 def union_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Columns of two batches side by side (P11); shared columns must hold equal values on every row."""
     shared = [c for c in right.columns if c in left.columns and c != key]

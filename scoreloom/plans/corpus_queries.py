@@ -34,10 +34,10 @@ def _g24b(spark, sf):
 
 
 @register("g24_brier_score", "label:l brier_score:d", """
-WITH p AS (SELECT vec_id, label, i - 1 AS i, abs(CAST(embedding[i] AS DOUBLE)) AS a FROM embeddings, range(1, 11) t(i)), n AS (SELECT *, a / sum(a) OVER (PARTITION BY vec_id) AS q FROM p),
+WITH p AS (SELECT vec_id, label, i - 1 AS i, abs(CAST(embedding[i] AS DOUBLE)) AS a FROM embeddings, range(1, 65) t(i)), n AS (SELECT *, a / sum(a) OVER (PARTITION BY vec_id) AS q FROM p),
 b AS (SELECT vec_id, label, sum(pow(q - CASE WHEN i = label THEN 1 ELSE 0 END, 2)) AS e FROM n GROUP BY ALL) SELECT label, avg(e) AS brier_score FROM b GROUP BY label""")
 def _g24s(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", F.transform(F.slice("embedding", 1, 10), lambda x: F.abs(x.cast("double"))).alias("a"))
+    e = table(spark, sf, "embeddings").select("label", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("a"))
     total = F.aggregate("a", F.lit(0.0), lambda s, x: s + x)
     e = e.withColumn("t", total).select("label", F.transform("a", lambda x: x / F.col("t")).alias("probs"))
     return cp.brier(e, gold="label", keys=["label"])
@@ -102,6 +102,24 @@ def _g25f(spark, sf):
     return cp.corpus_chrf(c, "id")
 
 
+@register("g25_metrics_by_name", "metric:s value:d", f"""
+WITH {_CAP_SQL}, b AS (SELECT id, k, gram, max(c) AS cap FROM gc WHERE ref >= 0 GROUP BY ALL),
+m AS (SELECT sum(least(h.c, b.cap)) AS m FROM gc h JOIN b ON h.id = b.id AND h.k = b.k AND h.gram = b.gram WHERE h.ref = -1 AND h.k = 1),
+l AS (SELECT id, ref, len(w) AS n FROM tok),
+c AS (SELECT h.id, h.n AS hn, min(struct_pack(d := abs(r.n - h.n), l := r.n)).l AS rn FROM l h JOIN l r ON h.id = r.id AND r.ref >= 0 WHERE h.ref = -1 GROUP BY h.id, h.n),
+s AS (SELECT sum(hn)::DOUBLE AS t, sum(rn)::DOUBLE AS r FROM c)
+SELECT 'bleu' AS metric, (SELECT m FROM m) / t * CASE WHEN t / r < 1 THEN exp(1 - r / t) ELSE 1 END AS value FROM s
+UNION ALL SELECT 'rows', (SELECT count(*) FROM cap)::DOUBLE""")
+def _g25n(spark, sf):
+    from scoreloom.operators.metrics import METRICS, compute_metrics, register_metric
+
+    if "rows" not in METRICS:
+        register_metric("rows")(lambda df, **_: df.agg(F.count(F.lit(1)).alias("rows")))
+    found = compute_metrics(_captions(spark, sf), ["bleu", "rows"], id_col="id")
+    return found["bleu"].select(F.lit("bleu").alias("metric"), F.col("bleu_1").alias("value")).unionByName(
+        found["rows"].select(F.lit("rows").alias("metric"), F.col("rows").cast("double").alias("value")))
+
+
 @register("g25_rouge_l", "id:l rouge_l:d", f"""
 WITH RECURSIVE {_CAP_SQL}, sp AS (SELECT id, ref, string_split('sos ' || lower(replace(replace(t, '.', ' . '), ',', ' , ')) || ' eos', ' ') AS w FROM txt),
 pr AS (SELECT h.id, r.ref, h.w AS c, r.w AS r FROM sp h JOIN sp r ON h.id = r.id AND r.ref >= 0 WHERE h.ref = -1),

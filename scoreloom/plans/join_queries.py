@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreloom.functions import scoring as sc
+from scoreloom.functions.hashing import stable_hash
 from scoreloom.operators import joins as jn
 from scoreloom.plans.catalog import register, table
 from scoreloom.plans.fixtures import EVAL_SQL, ROLLOUT_SQL, evals, rollouts
@@ -208,7 +209,7 @@ def _j11s(spark, sf):
 def _boxes(spark, sf):
     li = table(spark, sf, "lineitem", spread=True).select(
         F.floor(F.col("l_orderkey") / 8).alias("image"), F.col("l_returnflag").alias("label"),
-        F.xxhash64("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice").alias("h"),
+        stable_hash("l_orderkey", "l_partkey", "l_linenumber").alias("h"),
         F.array(
             (F.col("l_quantity") % 10).cast("double"), (F.col("l_suppkey") % 3).cast("double"), F.lit(0.0),
             3.0 + F.col("l_discount") * 20, 3.0 + F.col("l_tax") * 20, F.lit(2.0),
@@ -220,7 +221,20 @@ def _boxes(spark, sf):
     return li.withColumn("pos", F.row_number().over(w))
 
 
-@register("j12_match_boxes", "image:l label:s tp:l fp:l fn:l")
+@register("j12_match_boxes", "image:l label:s tp:l fp:l fn:l", """
+WITH RECURSIVE b AS (SELECT l_orderkey // 8 AS image, l_returnflag AS label, l_linestatus AS side, CAST(l_quantity AS BIGINT) % 10::DOUBLE AS x, (l_suppkey % 3)::DOUBLE AS y,
+  3.0::DOUBLE + CAST(l_discount AS DOUBLE) * 20 AS dx, 3.0::DOUBLE + CAST(l_tax AS DOUBLE) * 20 AS dy, 2.0::DOUBLE AS dz,
+  row_number() OVER (PARTITION BY l_orderkey // 8, l_returnflag, l_linestatus ORDER BY md5('0/' || l_orderkey || '/' || l_partkey || '/' || l_linenumber)) AS pos FROM lineitem),
+o AS (SELECT p.image, p.label, p.pos AS p, g.pos AS g, greatest(least(p.x + p.dx / 2, g.x + g.dx / 2) - greatest(p.x - p.dx / 2, g.x - g.dx / 2), 0::DOUBLE)
+   * greatest(least(p.y + p.dy / 2, g.y + g.dy / 2) - greatest(p.y - p.dy / 2, g.y - g.dy / 2), 0::DOUBLE) * 2.0::DOUBLE AS inter,
+  p.dx * p.dy * p.dz AS vp, g.dx * g.dy * g.dz AS vg FROM b p JOIN b g ON p.image = g.image AND p.label = g.label WHERE p.side = 'F' AND g.side = 'O'),
+e AS (SELECT *, inter / (vp + vg - inter) AS iou FROM o WHERE inter / (vp + vg - inter) > 0.25),
+c AS (SELECT image, label, p, list(g ORDER BY iou DESC, g) AS gs, row_number() OVER (PARTITION BY image, label ORDER BY p) AS i FROM e GROUP BY image, label, p),
+f AS (SELECT DISTINCT image, label, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used FROM c
+  UNION ALL SELECT f.image, f.label, f.i + 1, list_concat(f.used, list_filter(c.gs, lambda v: NOT list_contains(f.used, v))[1:1]) FROM f JOIN c ON c.image = f.image AND c.label = f.label AND c.i = f.i + 1),
+t AS (SELECT image, label, max(len(used)) AS tp FROM f GROUP BY image, label),
+n AS (SELECT image, label, sum(CASE WHEN side = 'F' THEN 1 ELSE 0 END) AS np, sum(CASE WHEN side = 'O' THEN 1 ELSE 0 END) AS ng FROM b GROUP BY image, label)
+SELECT n.image, n.label, coalesce(tp, 0) AS tp, np - coalesce(tp, 0) AS fp, ng - coalesce(tp, 0) AS fn FROM n LEFT JOIN t ON n.image = t.image AND n.label = t.label""")
 def _j12(spark, sf):
     b = _boxes(spark, sf)
     pred, gold = b.filter("l_linestatus = 'F'"), b.filter("l_linestatus = 'O'")

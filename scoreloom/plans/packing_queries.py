@@ -84,12 +84,13 @@ def _o4(spark, sf):
 
 
 @register("o5_token_windows", "vec_id:l win:l inp:s target:s", """
-WITH t AS (SELECT vec_id, list_transform(embedding[1:10 + vec_id % 40], lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS tok, 10 + vec_id % 40 AS n FROM embeddings),
+WITH t AS (SELECT vec_id, list_transform(list_concat(embedding, embedding[1:vec_id % 40]), lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS tok, 64 + vec_id % 40 AS n FROM embeddings),
 w AS (SELECT *, unnest(range(0, CAST(ceil((n - least(n, 16)) / 9.0::DOUBLE) AS BIGINT) + 1)) AS w FROM t),
 b AS (SELECT *, CASE WHEN w = 0 THEN 0 ELSE least(n, 16) + (w - 1) * 9 END AS done, CASE WHEN w = 0 THEN least(n, 16) ELSE least(n, least(n, 16) + w * 9) END AS e FROM w)
 SELECT vec_id, w AS win, array_to_string(CASE WHEN w = 0 THEN list_concat([CAST(-1 AS BIGINT)], tok[1:e - 1]) ELSE tok[e - 16:e - 1] END, ',') AS inp, array_to_string(tok[done + 1:e], ',') AS target FROM b""")
 def _o5(spark, sf):
     e = table(spark, sf, "embeddings")
-    toks = F.slice(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000.0).cast("bigint")), F.lit(1), (10 + F.col("vec_id") % 40).cast("int"))
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000.0).cast("bigint"))
+    toks = F.concat(whole, F.slice(whole, F.lit(1), (F.col("vec_id") % 40).cast("int")))
     out = pk.token_windows(e.select("vec_id", toks.alias("tokens")), 16, 8, prefix=F.lit(-1).cast("bigint"))
     return out.select("vec_id", F.col("window").alias("win"), csv(F.col("input")).alias("inp"), csv(F.col("target")).alias("target"))

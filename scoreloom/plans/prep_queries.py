@@ -289,3 +289,51 @@ WITH {PLAN_SQL}, t AS (SELECT n_views, n_views * 192 + id % 50 AS t, id % 17 + 1
 SELECT n_views, count(*) AS n, avg(t) AS total_len, avg(l) AS label_tokens, avg(least(t, 600)) AS kept_len, avg(k) AS kept_label, 100 * (1 - avg(k) / avg(l)) AS lost_pct FROM k GROUP BY n_views""")
 def _p17t(spark, sf):
     return pp.truncation_audit(plans(spark, sf), ["n_views"], F.col("n_views") * 192 + F.col("id") % 50, F.col("id") % 17 + 1, 600)
+
+
+@register("p9_typed_parts_hint", "o_orderkey:l parts:l last_type:s last_text:s needs_fallback:b", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END AS parts, 'text' AS last_type,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'Q ' || o_orderstatus ELSE ' Hint: ' || o_orderpriority || '.' END AS last_text, o_orderkey % 3 = 0 AS needs_fallback FROM orders""")
+def _p9t(spark, sf):
+    k = F.col("o_orderkey")
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    image = part("image", F.lit(None).cast("string"))
+    content = F.array(image, part("text", F.concat(F.lit("Q "), F.col("o_orderstatus"))))
+    df = table(spark, sf, "orders").select(
+        "o_orderkey", F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("prompt"),
+        F.when(k % 3 != 0, F.col("o_orderpriority")).alias("ground_truth"), F.lit(None).cast("string").alias("answer"),
+    )
+    out = pp.answer_hint(df, " Hint: {answer}.")
+    last = F.element_at(F.element_at("teacher_messages", -1)["content"], -1)
+    return out.select(
+        "o_orderkey", F.size(F.element_at("teacher_messages", -1)["content"]).alias("parts"), last["type"].alias("last_type"),
+        last["text"].alias("last_text"), "needs_fallback",
+    )
+
+
+@register("p9_teacher_view", "o_orderkey:l images:s message:s needs_fallback:b", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 's0' ELSE 't0,t' || o_custkey END AS images,
+  CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 5 = 0 THEN 'own' ELSE 'teacher ' || o_orderstatus END AS message, o_orderkey % 4 = 0 AS needs_fallback FROM orders""")
+def _p9v(spark, sf):
+    k = F.col("o_orderkey")
+    message = lambda text: F.array(F.struct(F.lit("user").alias("role"), text.alias("content")))
+    df = table(spark, sf, "orders").select(
+        "o_orderkey", F.array(F.lit("s0")).alias("images"), message(F.lit("own")).alias("prompt"),
+        F.when(k % 8 == 0, F.array().cast("array<string>")).when(k % 4 != 0, F.array(F.lit("t0"), F.concat(F.lit("t"), F.col("o_custkey")))).alias("teacher_images"),
+        F.when(k % 5 != 0, message(F.concat(F.lit("teacher "), F.col("o_orderstatus")))).alias("teacher_prompt"),
+    )
+    out = pp.teacher_view(df, "teacher_images", teacher_messages="teacher_prompt")
+    return out.select("o_orderkey", F.array_join("images", ",").alias("images"), F.element_at("teacher_messages", -1)["content"].alias("message"), "needs_fallback")
+
+
+@register("p15_pad_to_divisor", "o_orderkey:l slot:l padded:b", """
+WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders), m AS (SELECT *, (4096 - n % 4096) % 4096 AS missing FROM r)
+SELECT o_orderkey, r AS slot, FALSE AS padded FROM m
+UNION ALL SELECT o_orderkey, n + k * n + r, TRUE FROM m, range(0, 4096) t(k) WHERE r + k * n < missing""")
+def _p15p(spark, sf):
+    return pp.pad_to_divisor(table(spark, sf, "orders").select("o_orderkey"), 4096, "o_orderkey")
+
+
+@register("p15_unpad", "o_orderkey:l", "SELECT o_orderkey FROM orders")
+def _p15u(spark, sf):
+    return pp.unpad(pp.pad_to_divisor(table(spark, sf, "orders").select("o_orderkey"), 4096, "o_orderkey"))

@@ -285,7 +285,7 @@ s AS (SELECT vec_id, label, g.i AS i, CAST(embedding[g.i] AS DOUBLE) * 4 AS a, C
 z AS (SELECT *, a - ln(sum(exp(a)) OVER (PARTITION BY vec_id)) AS st, b - ln(sum(exp(b)) OVER (PARTITION BY vec_id)) AS te FROM s),
 """
 _TOP = """
-top AS (SELECT vec_id, i, st, te FROM z WHERE i <= 16),
+top AS (SELECT vec_id, i, st, te FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY a DESC, i) AS r FROM z) WHERE r <= 16),
 tail AS (SELECT vec_id, st, te FROM top UNION ALL SELECT vec_id, ln(1 - sum(exp(st))), ln(1 - sum(exp(te))) FROM top GROUP BY vec_id),
 ren AS (SELECT vec_id, st - ln(sum(exp(st)) OVER (PARTITION BY vec_id)) AS st, te - ln(sum(exp(te)) OVER (PARTITION BY vec_id)) AS te FROM top),
 mixed AS (SELECT 'tail' AS form, * FROM tail UNION ALL SELECT 'renorm' AS form, * FROM ren),
@@ -301,9 +301,12 @@ def _w15(spark, sf):
     df = token_series(spark, sf)
 
     def soft(x):
-        return F.slice(ro.renormalise(F.transform(x, lambda v: v * 4.0)), 1, 16)
+        return ro.renormalise(F.transform(x, lambda v: v * 4.0))
 
-    df = df.select("vec_id", soft(F.col("reward")).alias("student"), soft(F.reverse("reward")).alias("teacher"))
+    df = df.select("vec_id", "reward", soft(F.col("reward")).alias("s"), soft(F.reverse("reward")).alias("t"))
+    # The student's sixteen likeliest of all positions, and the teacher at the same ones.
+    ranked = F.array_sort(F.transform(F.arrays_zip("reward", "s", "t"), lambda z, i: F.struct((-z["reward"]).alias("o"), i.alias("i"), z["s"].alias("s"), z["t"].alias("t"))))
+    df = df.select("vec_id", F.slice(ranked, 1, 16).alias("top")).select("vec_id", F.col("top.s").alias("student"), F.col("top.t").alias("teacher"))
     parts = []
     for form in ("tail", "renorm"):
         d = [ro.divergence(F.col("student"), F.col("teacher"), a, form) for a in (0.0, 1.0, 0.5)]

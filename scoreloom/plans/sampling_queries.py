@@ -250,12 +250,12 @@ def _w16(spark, sf):
 
 
 @register("w16_pick_choice", "doc:l pred:l pred_norm:l pred_mutual:l", """
-WITH c AS (SELECT vec_id AS doc, i, CAST(embedding[i] AS DOUBLE) AS ll, CAST(embedding[i + 8] AS DOUBLE) AS u, 3 + i * i % 7 AS len FROM embeddings, range(1, 9) t(i))
+WITH c AS (SELECT vec_id AS doc, i, CAST(embedding[i] AS DOUBLE) AS ll, CAST(embedding[i + 32] AS DOUBLE) AS u, 3 + i * i % 7 AS len FROM embeddings, range(1, 33) t(i))
 SELECT doc, arg_min(i, ll) - 1 AS pred, arg_min(i, ll / len) - 1 AS pred_norm, arg_max(i, ll - u) - 1 AS pred_mutual FROM c GROUP BY doc""")
 def _w16p(spark, sf):
     e = table(spark, sf, "embeddings")
     v = F.col("embedding").cast("array<double>")
-    flat = e.select(F.col("vec_id").alias("doc"), F.posexplode(F.slice(v, 1, 8)).alias("idx", "ll"), F.slice(v, 9, 8).alias("us"))
+    flat = e.select(F.col("vec_id").alias("doc"), F.posexplode(F.slice(v, 1, 32)).alias("idx", "ll"), F.slice(v, 33, 32).alias("us"))
     flat = flat.withColumn("unconditional", F.get("us", F.col("idx"))).withColumn("length", 3 + (F.col("idx") + 1) * (F.col("idx") + 1) % 7)
     return rk.pick_choice(flat, ["doc"], "idx", "ll", "length", "unconditional")
 

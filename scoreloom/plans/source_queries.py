@@ -32,7 +32,7 @@ def _s1j(spark, sf):
 
 def _dump_lines(spark, sf):
     i = F.col("doc_id")
-    t = F.substring("text", 1, 30)
+    t = F.col("text")
     j = lambda *c: F.to_json(F.struct(*c))
     sid = F.concat(F.lit("s"), i.cast("string"))
     line = (
@@ -45,8 +45,8 @@ def _dump_lines(spark, sf):
 
 
 @register("s2_read_dump", "doc_id:l response:s sample_id:s ground_truth:s", """
-SELECT doc_id, substr(text, 1, 30) AS response, CASE WHEN doc_id % 6 = 2 THEN CAST(doc_id AS VARCHAR) ELSE 's' || doc_id END AS sample_id, CASE WHEN doc_id % 6 = 2 THEN lang END AS ground_truth
-FROM documents WHERE doc_id % 6 < 3 AND trim(substr(text, 1, 30)) <> ''""")
+SELECT doc_id, text AS response, CASE WHEN doc_id % 6 = 2 THEN CAST(doc_id AS VARCHAR) ELSE 's' || doc_id END AS sample_id, CASE WHEN doc_id % 6 = 2 THEN lang END AS ground_truth
+FROM documents WHERE doc_id % 6 < 3 AND trim(text) <> ''""")
 def _s2(spark, sf):
     return dumps.parse_dump_lines(_dump_lines(spark, sf))
 
@@ -58,11 +58,11 @@ def _s2c(spark, sf):
 
 
 @register("s3_normalise_samples", "id:l question_type:s ground_truth:s response:s output_tokens:l truncated:b dialect:s", """
-SELECT doc_id AS id, lang AS question_type, source AS ground_truth, substr(text, 1, 20) AS response, CASE WHEN doc_id % 2 = 1 THEN n_chars END AS output_tokens,
+SELECT doc_id AS id, lang AS question_type, source AS ground_truth, text AS response, CASE WHEN doc_id % 2 = 1 THEN n_chars END AS output_tokens,
  doc_id % 2 = 1 AND n_chars > 5000 AS truncated, CASE WHEN doc_id % 2 = 0 THEN 'harness' ELSE 'inference' END AS dialect FROM documents""")
 def _s3(spark, sf):
     d = table(spark, sf, "documents")
-    text = F.substring("text", 1, 20)
+    text = F.col("text")
     even = d.filter("doc_id % 2 = 0").select(F.to_json(F.struct(
         F.struct(F.col("doc_id").alias("id"), F.col("lang").alias("question_type"), F.col("source").alias("ground_truth")).alias("doc"),
         F.array(text, F.lit("second")).alias("filtered_resps"))).alias("value"))
