@@ -58,17 +58,22 @@ def draw_count(df: DataFrame, count: int | Column, id_col: str, by: Sequence[str
 
 
 def stratified(df: DataFrame, by: str, n: int, id_col: str, seed: int = 0) -> DataFrame:
-    """Proportional quota per stratum, rounded half to even, then topped up or trimmed to exactly ``n`` rows (SMP2)."""
+    """Proportional quota per stratum, rounded half to even, then topped up or trimmed to exactly ``n`` rows (SMP2).
+
+    A quota is at most ``n`` and the top-up takes at most ``n`` rows more, so the first ``2 * n`` rows of a stratum hold all that can be
+    chosen. The rank filter cuts every map task down to them; quotas meet these rows, never the table.
+    """
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("__rows"))
     total = scalar_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]
-    quota = F.bround(F.col("n") / total * F.lit(float(n)), 0).cast("bigint")
+    quotas = sizes.select(by, F.bround(F.col("__rows") / total * F.lit(float(n)), 0).cast("bigint").alias("__quota"))
     h = stable_hash(id_col, seed=seed)
-    chosen = keep_first(df, [by], [h, F.col(id_col)], {"__hb": hash_bucket(h)}, quota).select(id_col)
-    marked = df.join(chosen.withColumn("__in", F.lit(0)), id_col, "left")
-    first = F.coalesce(F.col("__in"), F.lit(1))
+    inside = Window.partitionBy(by).orderBy("__h", id_col)
+    front = df.withColumn("__h", h).withColumn("__place", F.row_number().over(inside)).filter(F.col("__place") <= 2 * n)
+    marked = join_null_safe(front, quotas, [by], "inner").withColumn("__f", (F.col("__place") > F.col("__quota")).cast("int"))
     out = keep_first(
-        marked, [], [first, h, F.col(id_col)], {"__f": first, "__hb": hash_bucket(h)}, F.lit(n)
+        marked, [], [F.col("__f"), F.col("__h"), F.col(id_col)], {"__g": F.col("__f"), "__hb": hash_bucket(F.col("__h"))}, F.lit(n)
     )
-    return out.drop("__in")
+    return out.drop("__h", "__place", "__quota", "__f")
 
 
 def quota_per_type(df: DataFrame, by: str, per_type: int, id_col: str, seed: int = 0) -> DataFrame:
