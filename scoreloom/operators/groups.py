@@ -148,14 +148,14 @@ def running_sum(
     return out.withColumn(name, F.col("__part") + F.col("__off")).drop("__v", "__part", "__off", *names)
 
 
-#: Ranges a power of two is cut into, in two levels.
-COARSE, FINE = 1024, 64
+#: Ranges a power of two is cut into.
+RANGES = 65_536
 
 
 def value_buckets(value: Column, stem: str = "__v") -> dict[str, Column]:
     """Bucket levels that ascend with any number, whatever its distribution: sign and power of two, then its leading binary digits.
 
-    A level has at most a few thousand buckets in its parent, so the wide windows of :func:`ranked` and :func:`running_sum` stay small for
+    There are a few thousand powers and ``RANGES`` ranges in each, so the wide windows of :func:`ranked` and :func:`running_sum` are bounded for
     dense positions, hashed 64-bit ids, shares in [0, 1) and equal loads alike. Nulls come first, NaN last.
     """
     v = value.cast("double")
@@ -163,15 +163,11 @@ def value_buckets(value: Column, stem: str = "__v") -> dict[str, Column]:
     finite = v.isNotNull() & ~F.isnan(v) & (size > 0) & (size < float("inf"))
     power = F.floor(F.log2(F.when(finite, size))).cast("int")
     sign = F.signum(v).cast("int")
-    digits = (F.when(finite, size) / F.pow(F.lit(2.0), power) - 1) * COARSE
+    place = F.floor((F.when(finite, size) / F.pow(F.lit(2.0), power) - 1) * RANGES)
     top = F.when(v.isNull(), F.lit(None).cast("int")).when(F.isnan(v), F.lit(5000)).when(size == 0, F.lit(0)).when(
         finite, sign * (power + 2000)
     ).otherwise(sign * 4000)
-    coarse = F.floor(digits)
-    return {
-        f"{stem}0": top, f"{stem}1": F.coalesce(sign * coarse, F.lit(0)).cast("int"),
-        f"{stem}2": F.coalesce(sign * F.floor((digits - coarse) * FINE), F.lit(0)).cast("int"),
-    }
+    return {f"{stem}0": top, f"{stem}1": F.coalesce(sign * place, F.lit(0)).cast("int")}
 
 
 def order_statistics(

@@ -212,9 +212,10 @@ def holdout_by_scene(
     held = join_null_safe(order, total, [source]).filter(
         F.col("__rank") <= F.greatest(F.floor(F.col("__scenes") / share), F.lit(1))
     ).select(source, scene, "__size")
-    rows = lookup_by_group(df.select(source, scene, pos), held, [source, scene], "__size", "inner")
-    capped = keep_first(rows, [source], [F.col(pos)], pos_bucket(pos), F.lit(cap)).select(pos)
-    out = df.join(capped.withColumn("__held", F.lit(True)), pos, "left")
-    return out.withColumn(
-        "split", F.when(F.col("__held"), "holdout").otherwise("train")
-    ).drop("__held")
+    rows = lookup_by_group(df.select(source, scene, pos).filter(F.col(pos).isNotNull()), held, [source, scene], "__size", "inner")
+    # The rank filter cuts every map task down to `cap` rows per source; the last place that fits then marks rows by their scene.
+    front = rows.withColumn("__n", F.row_number().over(Window.partitionBy(source).orderBy(pos))).filter(F.col("__n") <= cap)
+    last = front.groupBy(source).agg(F.max(pos).alias("__last"))
+    marked = lookup_by_group(df, join_null_safe(held, last, [source], "inner"), [source, scene], "__size", "left")
+    split = F.when(F.col(pos) <= F.col("__last"), "holdout").otherwise("train")
+    return marked.withColumn("split", split).drop("__last", "__size")
