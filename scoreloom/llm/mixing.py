@@ -1,9 +1,9 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source should be taken ``target / source size`` times. The whole part is taken at once; the fractions are rounded
-dependently: two fractional documents meet, and mass moves at random from one to the other until one of them is whole. A move keeps
-``copies * size`` of the pair, so a source's taken words stay at its target up to the one fraction that is left over at the end, and its
-chances keep every document's expected copies.
+dependently: fractional documents meet, and mass moves at random from one to the other until one of them is whole. A move keeps
+``copies * size`` of the two, so a source's taken words stay at its target up to the one fraction that is left over at the end, and its
+chances keep every document's expected copies. Long documents are settled first, so what is left over is short.
 
 The meetings form a tree. Hash buckets of a source are reduced by separate tasks to one fraction each, then these by 64s, and so on.
 Bucket and random numbers are functions of the data, so a lost task or a rerun repeats them.
@@ -61,60 +61,81 @@ def _uniform(h: int) -> float:
     return ((z ^ (z >> 31)) >> 11) / float(1 << 53)
 
 
-def pivotal(p: Sequence[float], size: Sequence[int], draws: Sequence[float]) -> list[float]:
+def pivotal(p: Sequence[float], size: Sequence[int], draws: Sequence[float]) -> np.ndarray:
     """Round the fractions ``p`` so that ``sum(p * size)`` stays; at most one is left fractional.
 
-    The fraction in hand (a) meets the next one (b). Raising a by ``x / size_a`` and lowering b by ``x / size_b`` goes on until one is
-    whole; the two directions are drawn so that the expected change is zero. Fractions of size zero become zero.
+    Documents are taken from the longest to the shortest. As long as the shorter ones can take or give its words, a document meets all of them
+    as one party: it goes up with its own chance ``p`` and they go down by shares, or the other way round, so every expectation stays and the
+    long document is whole after one draw. The last ones, where that is no longer so, meet in pairs. Fractions of size zero become zero.
     """
-    p, hand = list(p), -1
-    for i, (value, words) in enumerate(zip(p, size, strict=True)):
-        if words <= 0:
-            p[i] = 0.0
-        if not 0.0 < p[i] < 1.0:
+    p, size, draws = np.array(p, float), np.asarray(size, float), np.asarray(draws, float)
+    p[size <= 0] = 0.0
+    order = np.argsort(-size, kind="stable")
+    order = order[(p[order] > 0) & (p[order] < 1)]
+    for k, i in enumerate(order):
+        if not 0 < p[i] < 1:
             continue
-        if hand < 0:
-            hand = i
-            continue
-        sa, sb = size[hand], words
-        up, down = min((1 - p[hand]) * sa, value * sb), min(p[hand] * sa, (1 - value) * sb)
-        raised = draws[i] * (up + down) < down
-        x = up if raised else -down
-        # Whichever end is reached is set exactly; rounding must not leave a sliver.
-        ends_a = ((1 - p[hand]) * sa <= value * sb) if raised else (p[hand] * sa <= (1 - value) * sb)
-        ends_b = ((1 - p[hand]) * sa >= value * sb) if raised else (p[hand] * sa >= (1 - value) * sb)
-        p[hand] = (1.0 if raised else 0.0) if ends_a else p[hand] + x / sa
-        p[i] = (0.0 if raised else 1.0) if ends_b else value - x / sb
-        if 0.0 < p[i] < 1.0:
-            hand = i
-        elif not 0.0 < p[hand] < 1.0:
-            hand = -1
+        rest = order[k + 1 :]
+        q = p[rest]
+        share = np.minimum(q / (1 - p[i]), (1 - q) / p[i])
+        room = float(share @ size[rest])
+        if room <= size[i]:
+            _pairs(p, size, draws, order[k:])
+            break
+        share *= size[i] / room
+        up = draws[i] < p[i]
+        q = q - (1 - p[i]) * share if up else q + p[i] * share
+        q[q < 1e-12] = 0.0
+        q[q > 1 - 1e-12] = 1.0
+        p[rest], p[i] = q, float(up)
     return p
 
 
+def _pairs(p: np.ndarray, size: np.ndarray, draws: np.ndarray, order: np.ndarray) -> None:
+    """The fraction in hand (a) meets the next one (b). Raising a by ``x / size_a`` and lowering b by ``x / size_b`` goes on until one is whole;
+    the two directions are drawn so that the expected change is zero.
+    """
+    a = -1
+    for b in order.tolist():
+        if not 0.0 < p[b] < 1.0:
+            continue
+        if a < 0:
+            a = b
+            continue
+        up, down = min((1 - p[a]) * size[a], p[b] * size[b]), min(p[a] * size[a], (1 - p[b]) * size[b])
+        if draws[b] * (up + down) < down:
+            a_whole, b_whole = (1 - p[a]) * size[a] <= up, p[b] * size[b] <= up
+            p[a], p[b] = 1.0 if a_whole else p[a] + up / size[a], 0.0 if b_whole else p[b] - up / size[b]
+        else:
+            a_whole, b_whole = p[a] * size[a] <= down, (1 - p[b]) * size[b] <= down
+            p[a], p[b] = 0.0 if a_whole else p[a] - down / size[a], 1.0 if b_whole else p[b] + down / size[b]
+        if 0.0 < p[b] < 1.0:
+            a = b
+        elif not 0.0 < p[a] < 1.0:
+            a = -1
+
+
 def _reduced(batches: Iterator[pd.DataFrame], level: int) -> Iterator[pd.DataFrame]:
-    """Reduce sorted rows group by group (source, bucket) in constant memory; the fraction in hand is carried over batches."""
-    hand: pd.DataFrame | None = None
+    """Round sorted rows group by group (source, bucket); a group that runs over the end of a batch waits for the next."""
+    held: pd.DataFrame | None = None
+
+    def rounded(rows: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+        p, size = rows["p"].to_numpy(copy=True), rows["size"].to_numpy()
+        draws = np.array([_uniform(int(x) + level * 0xD1B54A32D192ED03) for x in rows["h"]])
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            p[s:e] = pivotal(p[s:e], size[s:e], draws[s:e])
+        return rows.assign(p=p)
+
     for rows in batches:
-        if hand is not None:
-            rows = pd.concat([hand, rows], ignore_index=True)
+        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
         if rows.empty:
             continue
-        source = rows["source"].fillna("\0").to_numpy()
-        bucket = rows["bucket"].to_numpy()
-        change = np.flatnonzero((source[1:] != source[:-1]) | (bucket[1:] != bucket[:-1])) + 1
-        p = rows["p"].to_numpy(copy=True)
-        size, h = rows["size"].to_numpy(), rows["h"].to_numpy()
-        bounds = [0, *change.tolist(), len(rows)]
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            p[s:e] = pivotal(p[s:e].tolist(), size[s:e].tolist(), [_uniform(int(x) + level * 0xD1B54A32D192ED03) for x in h[s:e]])
-        rows = rows.assign(p=p)
-        last = np.arange(len(rows)) >= bounds[-2]
-        open_ = last & (p > 0) & (p < 1)
-        hand = rows[open_] if open_.any() else None
-        yield rows[~open_]
-    if hand is not None:
-        yield hand
+        source, bucket = rows["source"].fillna("\0").to_numpy(), rows["bucket"].to_numpy()
+        bounds = [0, *(np.flatnonzero((source[1:] != source[:-1]) | (bucket[1:] != bucket[:-1])) + 1).tolist()]
+        held = rows.iloc[bounds[-1] :]
+        yield rounded(rows.iloc[: bounds[-1]], bounds)
+    if held is not None:
+        yield rounded(held, [0, len(held)])
 
 
 def copies(
