@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 #: Vector length, centroids per language, and the largest training sample.
 DIM, CENTROIDS, MAX_TRAIN = 4096, 4, 2000
 #: Texts with fewer letters are never rejected by distance.
-MIN_LETTERS = 40
+MIN_LETTERS = 60
 #: A text is too far if its cosine is below this share of the lowest percentile of its language's training texts.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.2
 UNKNOWN = "und"
 
 _CHUNK = 1 << 20
