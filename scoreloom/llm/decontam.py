@@ -1,13 +1,15 @@
 """Benchmark decontamination with a BM25 index of the test items.
 
 Every training text is cut into overlapping passages and every passage queries the index. Scores are BM25 sums of an item's terms that
-the passage holds, divided by the sum of all its terms, so that one threshold serves items of any length. Retrieval is block-max WAND:
-an upper bound from the best impact of each term sends most passages away before any posting is read; the rest walk the postings by
-pivots, skip blocks whose best impacts cannot reach the threshold, and give every item above it. A retrieved item counts as a leak only
-if the text around the passage holds enough of the item's word shingles, and enough words of its question and of its answer each.
-
-The index covers one shard of the items; shards are bounded by their postings, so what is broadcast never grows with the documents, and a
-larger benchmark is a few more passes over the texts.
+the passage holds, divided by the sum of all its terms, so that one threshold serves items of any length. Retrieval is block-max WAND over
+all passages of a batch at once: a passage's terms are ordered from the longest posting list to the shortest, and the terms before the pivot,
+whose best impacts together stay below the threshold, cannot name a candidate alone; the terms from the pivot on name blocks of items; a block
+is skipped if the block maxima of all terms cannot reach the threshold; only what is left is scored, and every item at the threshold or above
+is given. A retrieved item counts as a leak only if the text around the passage holds enough of the item's word shingles, and enough words of
+its question and of its answer each.
+
+The index covers one shard of the items; shards are bounded in size, so what is broadcast never grows with the documents, and a larger
+benchmark is a few more passes over the texts.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,13 +28,13 @@ from pyspark.sql import functions as F
 #: BM25 constants as published.
 K1, B = 1.2, 0.75
 #: Least share of an item's BM25 sum that retrieves it.
-THRESHOLD = 0.5
+THRESHOLD = 0.65
 #: Words of a shingle, the least share of an item's shingles, and the least share of the distinct words of its question and of its answer.
 SHINGLE, OVERLAP, WORD_OVERLAP = 5, 0.8, 0.5
 #: Words of a passage step; a passage is as many steps as the longest item needs, and one more.
 STEP = 32
-#: Postings per block, and postings of an index shard (about 100 bytes each in a worker).
-BLOCK, SHARD_POSTINGS = 16, 2_000_000
+#: Items per block, the most cells (terms times blocks, four bytes each) of an index shard, and passages that are searched together.
+BLOCK, SHARD_CELLS, PASSAGES = 8, 8_000_000, 4096
 
 _TOKEN = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -64,103 +66,97 @@ class Item:
 
 @dataclass
 class Index:
-    """Postings of every term sorted by item, in blocks with their best impact."""
+    """Postings grouped by term and block. Terms are numbered from the longest posting list to the shortest.
+
+    ``entry[term, block]`` is the number of a group of postings or -1; a group has its best impact, its items and their impacts.
+    """
 
     items: list[Item]
     terms: dict[str, int]
-    postings: list[list[tuple[int, float]]]
     best: np.ndarray
-    block_ends: list[list[int]] = field(default_factory=list)
-    block_best: list[list[float]] = field(default_factory=list)
-
-    def __post_init__(self):
-        for posting in self.postings:
-            blocks = [posting[i : i + BLOCK] for i in range(0, len(posting), BLOCK)]
-            self.block_ends.append([b[-1][0] for b in blocks])
-            self.block_best.append([max(x for _, x in b) for b in blocks])
+    entry: np.ndarray
+    term_start: np.ndarray
+    entry_block: np.ndarray
+    entry_best: np.ndarray
+    entry_start: np.ndarray
+    item: np.ndarray
+    impact: np.ndarray
 
 
 def build_index(rows: Sequence[tuple[int, str, str, bool]], frequency: Counter, n_items: int, mean_words: float) -> Index:
     """Index of ``(item_id, question, answer, one text)``; ``frequency`` and the other numbers describe all items, also those of other shards."""
-    items, terms, postings = [], {}, []
+    items, postings = [], defaultdict(list)
     for number, (item_id, question, answer, joined) in enumerate(rows):
         q, a = words_of(question), words_of(answer)
         words = q if question == answer else q + a
         # The last sentence of a text goes on from the one before; an answer of its own is looked for by itself.
         runs = shingles(words) if joined else shingles(q) | shingles(a)
         items.append(Item(item_id, len(words), runs, set(q), set(a)))
-        counts = Counter(words)
         impact = {}
-        for term, tf in counts.items():
+        for term, tf in Counter(words).items():
             idf = math.log(1 + (n_items - frequency[term] + 0.5) / (frequency[term] + 0.5))
             impact[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_words))
         total = sum(impact.values())
         for term, value in impact.items():
-            if term not in terms:
-                terms[term] = len(terms)
-                postings.append([])
-            postings[terms[term]].append((number, value / total))
-    best = np.array([max(x for _, x in p) for p in postings])
-    return Index(items, terms, postings, best)
-
-
-def block_max_wand(index: Index, query: Sequence[int], threshold: float) -> list[tuple[int, float]]:
-    """All items whose impacts over the distinct ``query`` terms sum to ``threshold`` or more."""
+            postings[term].append((number, value / total))
+    terms = {t: i for i, t in enumerate(sorted(postings, key=lambda t: (-len(postings[t]), t)))}
+    flat = [(i, number // BLOCK, number, value) for t, i in terms.items() for number, value in postings[t]]
+    term, block, item = (np.array([r[k] for r in flat], np.int64) for k in range(3))
+    impact = np.array([r[3] for r in flat], np.float64)
+    change = np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(flat) else np.empty(0, bool)
+    starts = np.flatnonzero(change)
+    entry = np.full((len(terms), -(-len(items) // BLOCK)), -1, np.int32)
+    entry[term[starts], block[starts]] = np.arange(len(starts))
+    # The last entry stands for "none".
+    entry_best = np.append(np.maximum.reduceat(impact, starts) if len(flat) else impact, 0.0)
+    best = np.array([max(value for _, value in postings[t]) for t in terms])
+    term_start = np.searchsorted(term[starts], np.arange(len(terms) + 1))
+    return Index(items, terms, best, entry, term_start, block[starts], entry_best, np.append(starts, len(flat)), item, impact)
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places ``starts[i], starts[i] + 1, ...`` of all runs, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def block_max_wand(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(passage, item, score)`` of all items whose impacts over a passage's distinct terms sum to ``threshold`` or more.
+
+    ``passage`` and ``term`` are pairs, sorted and distinct.
+    """
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    if not len(passage):
+        return none
     threshold -= 1e-9
-    cursors = [[index.postings[t][0][0], t, 0] for t in query]
-    found = []
-    while cursors:
-        cursors.sort()
-        bound, pivot = 0.0, -1
-        for k, (_, t, _) in enumerate(cursors):
-            bound += index.best[t]
-            if bound >= threshold:
-                pivot = k
-                break
-        if pivot < 0:
-            return found
-        item = cursors[pivot][0]
-        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-            pivot += 1
-        # The blocks that hold the pivot item, or the first ones after it.
-        block_sum, next_item = 0.0, None
-        for _, t, at in cursors[: pivot + 1]:
-            ends, k = index.block_ends[t], at // BLOCK
-            while k < len(ends) and ends[k] < item:
-                k += 1
-            if k < len(ends):
-                block_sum += index.block_best[t][k]
-                next_item = ends[k] + 1 if next_item is None else min(next_item, ends[k] + 1)
-        if block_sum < threshold:
-            target = item + 1 if next_item is None else next_item
-            if pivot + 1 < len(cursors):
-                target = min(target, cursors[pivot + 1][0])
-            target = max(target, item + 1)
-            moved = range(pivot + 1)
-        elif cursors[0][0] == item:
-            score = sum(index.postings[t][at][1] for _, t, at in cursors[: pivot + 1])
-            if score >= threshold:
-                found.append((item, score))
-            target, moved = item + 1, range(pivot + 1)
-        else:
-            target, moved = item, range(pivot + 1)
-        for k in moved:
-            _advance(index, cursors[k], target)
-        cursors = [c for c in cursors if c[0] is not None]
-    return found
-
-
-def _advance(index: Index, cursor: list, target: int) -> None:
-    """Move to the first posting at or after ``target``, over whole blocks first."""
-    _, t, at = cursor
-    posting, ends = index.postings[t], index.block_ends[t]
-    block = at // BLOCK
-    while block < len(ends) and ends[block] < target:
-        block += 1
-        at = block * BLOCK
-    while at < len(posting) and posting[at][0] < target:
-        at += 1
-    cursor[0], cursor[2] = (posting[at][0], at) if at < len(posting) else (None, at)
+    numbers, first = np.unique(passage, return_index=True)
+    counts = np.diff(np.append(first, len(passage)))
+    upto = np.cumsum(index.best[term])
+    before = np.concatenate(([0.0], upto))[first]
+    own = np.repeat(np.arange(len(numbers)), counts)
+    pivot = upto - before[own] >= threshold
+    if not pivot.any():
+        return none
+    n_blocks = index.entry.shape[1]
+    lists = index.term_start[term[pivot] + 1] - index.term_start[term[pivot]]
+    blocks = index.entry_block[_runs(index.term_start[term[pivot]], lists)]
+    owner, block = np.divmod(np.unique(np.repeat(own[pivot], lists) * n_blocks + blocks), n_blocks)
+    # Bound of every (passage, block): the block maxima of all terms of the passage.
+    lengths = counts[owner]
+    group = index.entry[term[_runs(first[owner], lengths)], np.repeat(block, lengths)]
+    edges = np.cumsum(lengths) - lengths
+    keep = np.add.reduceat(index.entry_best[group], edges) >= threshold
+    if not keep.any():
+        return none
+    kept = np.repeat(np.cumsum(keep) - 1, lengths)[np.repeat(keep, lengths)]
+    group = group[np.repeat(keep, lengths)]
+    kept, group = kept[group >= 0], group[group >= 0]
+    sizes = index.entry_start[group + 1] - index.entry_start[group]
+    posting = _runs(index.entry_start[group], sizes)
+    cell = np.repeat(kept, sizes) * BLOCK + index.item[posting] % BLOCK
+    score = np.bincount(cell, weights=index.impact[posting], minlength=int(keep.sum()) * BLOCK)
+    found = np.flatnonzero(score >= threshold)
+    return numbers[owner[keep][found // BLOCK]], block[keep][found // BLOCK] * BLOCK + found % BLOCK, score[found]
 
 
 def leaks(index: Index, texts: Sequence[str | None], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[dict]]:
@@ -178,26 +174,27 @@ def leaks(index: Index, texts: Sequence[str | None], threshold: float = THRESHOL
     place = np.arange(len(ids)) - np.repeat(np.concatenate(([0], np.cumsum(lengths)))[:-1], lengths)
     step = np.repeat(first, lengths) + place // STEP
     hit = ids >= 0
-    keys = np.unique(step[hit] * len(index.terms) + ids[hit])
-    at, term = np.divmod(keys, max(1, len(index.terms)))
+    n_terms = max(1, len(index.terms))
+    at, term = np.divmod(np.unique(step[hit] * n_terms + ids[hit]), n_terms)
     total = int(n_steps.sum())
-    weight = np.bincount(at, weights=index.best[term], minlength=total) if len(keys) else np.zeros(total)
     owner = np.repeat(np.arange(len(texts)), n_steps)
-    # Bound of the passage that starts at a step: the sum over its steps, inside its text.
-    run = np.concatenate(([0.0], np.cumsum(weight)))
     end = np.minimum(np.arange(total) + steps, (first + n_steps)[owner])
-    bound = run[end] - run[np.arange(total)]
-    starts = np.searchsorted(at, np.arange(total + 1))
     out: list[list[dict]] = [[] for _ in texts]
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    for passage in np.flatnonzero(bound >= threshold - 1e-6).tolist():
-        query = np.unique(term[starts[passage] : starts[end[passage]]])
-        if index.best[query].sum() < threshold - 1e-6:
-            continue
-        for item, score in block_max_wand(index, query.tolist(), threshold):
-            key = (int(owner[passage]), item)
+    for lo in range(0, total, PASSAGES):
+        hi = min(lo + PASSAGES, total)
+        near = slice(*np.searchsorted(at, [lo, end[hi - 1]]))
+        pairs = []
+        for k in range(steps):
+            passage = at[near] - k
+            held = (passage >= lo) & (passage < hi)
+            held[held] = at[near][held] < end[passage[held]]
+            pairs.append(passage[held] * n_terms + term[near][held])
+        passage, own_term = np.divmod(np.unique(np.concatenate(pairs)), n_terms)
+        for number, item, score in zip(*(x.tolist() for x in block_max_wand(index, passage, own_term, threshold)), strict=True):
+            key = (int(owner[number]), item)
             if key not in best or score > best[key][0]:
-                best[key] = (score, passage)
+                best[key] = (score, number)
     by_text = defaultdict(list)
     for (doc, item), (score, passage) in best.items():
         by_text[doc].append((item, score, passage))
@@ -233,9 +230,9 @@ HITS = "array<struct<item_id: long, score: double, overlap: double, question_ove
 
 
 def item_indexes(
-    benchmark: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None, shard_postings: int = SHARD_POSTINGS
+    benchmark: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None, shard_cells: int = SHARD_CELLS
 ) -> list[Index]:
-    """Indexes of all items with words, in shards of at most ``shard_postings`` postings.
+    """Indexes of all items with words, in shards of at most ``shard_cells`` terms times blocks.
 
     The items, a table of tests, pass through the driver shard by shard; item and document counts of terms cover all of them.
     """
@@ -249,13 +246,13 @@ def item_indexes(
             kept.append((item, question, reply, joined, len(set(words))))
             frequency.update(set(words))
             n_words += len(words)
-    shards, size = [[]], 0
+    shards, terms = [[]], 0
     for row in kept:
-        if size + row[-1] > shard_postings and shards[-1]:
+        if (terms + row[-1]) * (len(shards[-1]) // BLOCK + 1) > shard_cells and shards[-1]:
             shards.append([])
-            size = 0
+            terms = 0
         shards[-1].append(row[:-1])
-        size += row[-1]
+        terms += row[-1]
     return [build_index(s, frequency, len(kept), n_words / max(1, len(kept))) for s in shards if s]
 
 
@@ -267,20 +264,20 @@ def leak_column(spark, index: Index, text: Column, threshold: float = THRESHOLD,
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             values = texts.tolist()
-            yield pd.Series([x for at in range(0, len(values), 512) for x in leaks(shared.value, values[at : at + 512], threshold, overlap)])
+            yield pd.Series([x for at in range(0, len(values), 256) for x in leaks(shared.value, values[at : at + 256], threshold, overlap)])
 
     return found(text)
 
 
 def with_leaks(
     df: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "leaks", item_id: str = "item_id", item_text: str = "text",
-    answer: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_postings: int = SHARD_POSTINGS,
+    answer: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_cells: int = SHARD_CELLS,
 ) -> DataFrame:
     """``df`` with the leaks of each row's text; no shuffle, other columns do not leave the JVM.
 
     Null and empty texts have none. Items that are null, empty or without an id are left out. Repeated items are found separately.
     """
     spark = df.sparkSession
-    parts = [leak_column(spark, i, F.col(text), threshold, overlap) for i in item_indexes(benchmark, item_id, item_text, answer, shard_postings)]
+    parts = [leak_column(spark, i, F.col(text), threshold, overlap) for i in item_indexes(benchmark, item_id, item_text, answer, shard_cells)]
     none = F.array().cast(HITS)
     return df.withColumn(name, none if not parts else F.concat(*parts) if len(parts) > 1 else parts[0])

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
 from scoreloom.llm import decontam
@@ -7,12 +9,19 @@ from scoreloom.llm import decontam
 from .conftest import SMALL
 
 
-def plain_search(index, query, threshold):
-    out = []
-    for n in range(len(index.items)):
-        score = sum(x for t in query for item, x in index.postings[t] if item == n)
-        if score >= threshold - 1e-9:
-            out.append((n, round(score, 9)))
+def plain_search(rows, frequency, queries, threshold):
+    out = set()
+    for number, (_, question, answer, _) in enumerate(rows):
+        words = question.split() + answer.split()
+        impact = {}
+        for t, tf in decontam.Counter(words).items():
+            idf = math.log(1 + (len(rows) - frequency[t] + 0.5) / (frequency[t] + 0.5))
+            impact[t] = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / 18.0))
+        total = sum(impact.values())
+        for k, query in enumerate(queries):
+            score = sum(impact.get(t, 0) for t in query) / total
+            if score >= threshold - 1e-9:
+                out.add((k, number, round(score, 9)))
     return out
 
 
@@ -23,11 +32,12 @@ def test_wand_finds_what_a_full_scan_finds(seed):
     rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 30))), " ".join(rng.choices(words, k=3)), False) for i in range(120)]
     frequency = decontam.Counter(w for _, q, a, _ in rows for w in {*q.split(), *a.split()})
     index = decontam.build_index(rows, frequency, len(rows), 18.0)
-    for _ in range(60):
-        query = rng.sample(range(len(index.terms)), rng.randint(1, 40))
+    for _ in range(10):
+        queries = [rng.sample(sorted(index.terms), rng.randint(0, 40)) for _ in range(30)]
+        pairs = sorted((k, index.terms[t]) for k, q in enumerate(queries) for t in q)
         threshold = rng.choice([0.05, 0.3, 0.5, 0.8])
-        got = [(n, round(s, 9)) for n, s in decontam.block_max_wand(index, query, threshold)]
-        assert got == plain_search(index, query, threshold)
+        got = decontam.block_max_wand(index, np.array([p for p, _ in pairs]), np.array([t for _, t in pairs]), threshold)
+        assert {(k, n, round(s, 9)) for k, n, s in zip(*(x.tolist() for x in got), strict=True)} == plain_search(rows, frequency, queries, threshold)
 
 
 def test_documents_against_a_full_search(spark, docs, texts):
@@ -39,7 +49,7 @@ def test_documents_against_a_full_search(spark, docs, texts):
     for i, k in found:
         own, whole = decontam.shingles(decontam.words_of(items[k])), decontam.shingles(decontam.words_of(texts[i]))
         assert len(own & whole) >= 0.8 * len(own)
-    sharded = decontam.with_leaks(docs, benchmark, shard_postings=100)
+    sharded = decontam.with_leaks(docs, benchmark, shard_cells=300)
     assert {(r["doc_id"], x["item_id"]) for r in sharded.collect() for x in r["leaks"]} == found
 
 
