@@ -29,13 +29,16 @@ def restore_order(df: DataFrame, pos: str = "pos") -> DataFrame:
     return df.orderBy(pos)
 
 
+BLOCKS_PER_RUN = 256
+
+
 def budget_chunks(df: DataFrame, cap: int, cost: str = "n_images", pos: str = "pos", block: int = POS_BLOCK) -> DataFrame:
     """Exact sequential chunking (O2): a new chunk starts when the running cost would exceed ``cap``.
 
     The running cost makes every row depend on all rows before it. A block of rows, however, is a map from the state on
     entry (no chunk yet, or a running cost from 0 to just over ``cap``) to the state on exit, so blocks are summarised in parallel,
-    the summaries are chained, and every block is then replayed from its known entry state. The chained table holds one
-    row of ``cap + 3`` numbers per block.
+    ``BLOCKS_PER_RUN`` summaries compose to one, the runs are chained, and every block is then replayed from its known entry state. The
+    chained table holds one row of ``cap + 3`` numbers for ``block * BLOCKS_PER_RUN`` positions, nearly 17 million by default.
     """
     tagged = df.withColumn("__blk", F.floor(F.col(pos) / block).cast("bigint"))
     states = cap + 3
@@ -59,17 +62,27 @@ def budget_chunks(df: DataFrame, cap: int, cost: str = "n_images", pos: str = "p
         summarise, "__blk bigint, exit array<int>, flushes array<bigint>"
     )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__blk")
-        state, chunk, rows = 0, 0, []
-        for blk, exits, flushes in zip(pdf["__blk"], pdf["exit"], pdf["flushes"]):
-            rows.append((blk, state, chunk))
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, count = np.arange(states), np.zeros(states, dtype=np.int64)
+        for exits, flushes in pdf.sort_values("__blk")[["exit", "flushes"]].itertuples(index=False):
+            count, state = count + np.asarray(flushes)[state], np.asarray(exits)[state]
+        return pd.DataFrame({"__sup": [pdf["__sup"].iloc[0]], "exit": [state.astype(np.int32)], "flushes": [count]})
+
+    def chain(pdf: pd.DataFrame, order: str, state: int, chunk: int) -> pd.DataFrame:
+        rows = []
+        for at, exits, flushes in pdf.sort_values(order)[[order, "exit", "flushes"]].itertuples(index=False):
+            rows.append((at, state, chunk))
             chunk += int(flushes[state])
             state = int(exits[state])
-        return pd.DataFrame(rows, columns=["__blk", "__state", "__chunk"])
+        return pd.DataFrame(rows, columns=[order, "__state", "__chunk"])
 
-    entries = maps.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(
-        lambda pdf: chain(pdf.drop(columns="__all")), "__blk bigint, __state int, __chunk bigint"
+    maps = maps.withColumn("__sup", F.floor(F.col("__blk") / BLOCKS_PER_RUN))
+    runs = maps.groupBy("__sup").applyInPandas(compose, "__sup bigint, exit array<int>, flushes array<bigint>")
+    starts = runs.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(
+        lambda pdf: chain(pdf, "__sup", 0, 0), "__sup bigint, __state int, __chunk bigint"
+    )
+    entries = maps.join(starts, "__sup").groupBy("__sup").applyInPandas(
+        lambda pdf: chain(pdf, "__blk", int(pdf["__state"].iloc[0]), int(pdf["__chunk"].iloc[0])), "__blk bigint, __state int, __chunk bigint"
     )
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
