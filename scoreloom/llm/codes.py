@@ -12,6 +12,7 @@ per level the chunk bytes, the bitmap (padded to 8 bytes) and the directory of u
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -29,8 +30,8 @@ WIDTH = 8
 RANK_BLOCK = 512
 #: A segment is closed after the document that brings it to so many tokens.
 SEGMENT_TOKENS = 1 << 19
-#: Words whose ids a Python worker keeps at most; then it starts anew.
-CACHE_WORDS = 300_000
+#: Pieces whose ids a Python worker keeps in a generation; there are two.
+CACHE_WORDS = 250_000
 
 SEGMENTS = (
     "part int, seq int, n_docs int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
@@ -101,38 +102,68 @@ class Codes:
 class WordEncoder:
     """Ids of whole texts, word by word.
 
-    The tokenizer's normaliser and its split rule never look across a space, so a text's ids are those of its space-separated words in
-    order. Words repeat, so their ids are kept as bytes and a text is a join of them. Texts that may hold special tokens are encoded whole.
+    The tokenizer lower-cases, splits a text into letter runs, single digits and runs of other signs, and encodes every piece by itself. In
+    Latin-1 texts a pattern gives the same pieces, and pieces repeat, so their ids are kept as bytes and a text is a join of them. New pieces of
+    a block are encoded together as one text, whose ids part where a piece ends. Other texts, and texts that may hold special tokens, are
+    encoded whole.
     """
 
+    #: The tokenizer's split rule on lower-case Latin-1 text.
+    LETTERS, DIGITS, WHITE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
+    PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}{WHITE}]+")
+    END_OF_WORD = "</w>"
+
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit, self.known = limit, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END_OF_WORD)]] = True
+        # Two generations: what was not used since the last turn is forgotten.
+        self.limit, self.known, self.old = limit, {}, {}
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text; a null text is empty."""
-        return [x for at in range(0, len(texts), 256) for x in self._block(texts[at : at + 256])]
+        return [x for at in range(0, len(texts), 512) for x in self._block(texts[at : at + 512])]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _pieces(self, text: str | None) -> list[str] | bytes:
+        if not text:
+            return b""
+        if any(s in text for s in self.special):
+            return self._whole(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._whole(text)
+        return self.PIECE.findall(text.lower())
+
+    def _learn(self, pieces: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(pieces):
+            raw, starts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            self.known.update(zip(pieces, map(raw.__getitem__, map(slice, starts, starts[1:])), strict=False))
+        else:
+            self.known.update((p, self._whole(p)) for p in pieces)
 
     def _block(self, texts: Sequence[str | None]) -> list[bytes]:
-        split: list[list[str] | bytes] = []
-        for text in texts:
-            if not text:
-                split.append([])
-            elif any(s in text for s in self.special):
-                split.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                split.append((text.lower() if text.isascii() else text).split(" "))
+        split = [self._pieces(t) for t in texts]
         if len(self.known) > self.limit:
-            self.known = {"": b""}
-        known = self.known
-        new = list({w for words in split if isinstance(words, list) for w in words if w not in known})
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-        return [words if isinstance(words, bytes) else b"".join(map(known.__getitem__, words)) for words in split]
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        wanted = set().union(*(p for p in split if isinstance(p, list))).difference(known)
+        seen = wanted.intersection(old)
+        known.update((p, old[p]) for p in seen)
+        new = list(wanted - seen)
+        for at in range(0, len(new), 20_000):
+            self._learn(new[at : at + 20_000])
+        return [p if isinstance(p, bytes) else b"".join(map(known.__getitem__, p)) for p in split]
 
 
 def _segments(batches: Iterator[pa.RecordBatch], make: Callable[[], Callable], end_id: int | None, size: int) -> Iterator[pa.RecordBatch]:
@@ -155,8 +186,8 @@ def _segments(batches: Iterator[pa.RecordBatch], make: Callable[[], Callable], e
         )
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            piece = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 512):
+            piece = batch.slice(at, 512)
             for doc, raw in zip(piece.column(0).to_pylist(), tokens_of(piece.column(1).to_pylist()), strict=True):
                 ids.append(doc)
                 held.append(raw + end)

@@ -23,13 +23,18 @@ def test_places_outside():
         codes.Codes(codes.encode(np.array([1], np.uint32)))[1]
 
 
+@pytest.fixture(scope="module")
+def encoders():
+    path = public_tokenizers.path(queries.TOKENIZER)
+    return Tokenizer.from_file(path), codes.WordEncoder(path, limit=5)
+
+
 @given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t'sAZaéß́Kİ<|>19"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=8))
 @settings(max_examples=80, deadline=None)
-def test_words_are_encoded_as_whole_texts(texts):
-    path = public_tokenizers.path(queries.TOKENIZER)
-    whole = Tokenizer.from_file(path)
+def test_words_are_encoded_as_whole_texts(encoders, texts):
+    whole, encoder = encoders
     texts = [*texts, "a <|endoftext|> b", "It's THE end. " * 5]
-    got = codes.WordEncoder(path, limit=5)(texts)
+    got = encoder(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
