@@ -34,7 +34,8 @@ def with_shards(
     h, r, f, n = (f"{stem}{x}" for x in "hrfn")
     tied = tie if tie is not None else F.lit(0)
     shuffled = df.withColumn(h, stable_hash(F.coalesce(F.col(doc_id).cast("string"), F.lit("none")), seed=seed))
-    inside = ranked(shuffled, [source], [F.col(h), F.col(doc_id), tied], {f"{stem}b": hash_bucket(F.col(h))}, r)
+    coarse = {f"{stem}a": F.substring(F.col(h), 1, 2), f"{stem}b": hash_bucket(F.col(h))}
+    inside = ranked(shuffled, [source], [F.col(h), F.col(doc_id), tied], coarse, r)
     sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias(n))
     placed = join_null_safe(inside, sizes, [source], "left").withColumn(f, (2 * F.col(r) - 1) / (2 * F.col(n)))
     ranges = {f"{stem}u": F.floor(F.col(f) * RANGES), f"{stem}v": F.floor(F.col(f) * RANGES * RANGES)}
