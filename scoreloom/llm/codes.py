@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ RANK_BLOCK = 512
 #: A segment is closed after the document that brings it to so many tokens.
 SEGMENT_TOKENS = 1 << 19
 #: Pieces whose ids a Python worker keeps in a generation; there are two.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 SEGMENTS = (
     "part int, seq int, n_docs int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
@@ -166,6 +167,12 @@ class WordEncoder:
         return [p if isinstance(p, bytes) else b"".join(map(known.__getitem__, p)) for p in split]
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder per Python worker: workers serve many tasks, and so do the vocabulary they have read and the pieces they know."""
+    return WordEncoder(path)
+
+
 def _segments(batches: Iterator[pa.RecordBatch], make: Callable[[], Callable], end_id: int | None, size: int) -> Iterator[pa.RecordBatch]:
     part, seq = TaskContext.get().partitionId(), 0
     tokens_of = make()

@@ -18,7 +18,7 @@ def token_encoder(name: str = TOKENIZER):
     def make():
         import public_tokenizers
 
-        return codes.WordEncoder(public_tokenizers.path(name))
+        return codes.word_encoder(public_tokenizers.path(name))
 
     return make
 
