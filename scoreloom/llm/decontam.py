@@ -5,8 +5,8 @@ the passage holds, divided by the sum of all its terms, so that one threshold se
 all passages of a batch at once: a passage's terms are ordered from the longest posting list to the shortest, and the terms before the pivot,
 whose best impacts together stay below the threshold, cannot name a candidate alone; the terms from the pivot on name blocks of items; a block
 is skipped if the block maxima of all terms cannot reach the threshold; only what is left is scored, and every item at the threshold or above
-is given. A retrieved item counts as a leak only if the text around the passage holds enough of the item's word shingles, and enough words of
-its question and of its answer each.
+is given. Every retrieved passage is verified: an item counts as a leak only if the text around one of them holds enough of the item's word
+shingles, and enough words of its question and of its answer each.
 
 The index covers one shard of the items; shards are bounded in size, so what is broadcast never grows with the documents, and a larger
 benchmark is a few more passes over the texts.
@@ -160,7 +160,7 @@ def block_max_wand(index: Index, passage: np.ndarray, term: np.ndarray, threshol
 
 
 def leaks(index: Index, texts: Sequence[str | None], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[dict]]:
-    """Verified leaks of every text: ``item_id, score, overlap, question_overlap, answer_overlap``, one per item, best passage."""
+    """Verified leaks of every text: ``item_id, score, overlap, question_overlap, answer_overlap``, one per item, best verified passage."""
     span = max((i.n_words for i in index.items), default=0)
     steps = -(-span // STEP) + 1
     words, owner, lengths = [], [], []
@@ -180,7 +180,7 @@ def leaks(index: Index, texts: Sequence[str | None], threshold: float = THRESHOL
     owner = np.repeat(np.arange(len(texts)), n_steps)
     end = np.minimum(np.arange(total) + steps, (first + n_steps)[owner])
     out: list[list[dict]] = [[] for _ in texts]
-    best: dict[tuple[int, int], tuple[float, int]] = {}
+    retrieved: dict[int, dict[int, list[tuple[int, float]]]] = defaultdict(lambda: defaultdict(list))
     for lo in range(0, total, PASSAGES):
         hi = min(lo + PASSAGES, total)
         near = slice(*np.searchsorted(at, [lo, end[hi - 1]]))
@@ -192,29 +192,52 @@ def leaks(index: Index, texts: Sequence[str | None], threshold: float = THRESHOL
             pairs.append(passage[held] * n_terms + term[near][held])
         passage, own_term = np.divmod(np.unique(np.concatenate(pairs)), n_terms)
         for number, item, score in zip(*(x.tolist() for x in block_max_wand(index, passage, own_term, threshold)), strict=True):
-            key = (int(owner[number]), item)
-            if key not in best or score > best[key][0]:
-                best[key] = (score, number)
-    by_text = defaultdict(list)
-    for (doc, item), (score, passage) in best.items():
-        by_text[doc].append((item, score, passage))
-    for doc, hits in by_text.items():
-        for item, score, passage in sorted(hits):
+            retrieved[int(owner[number])][item].append((number, score))
+    for doc, hits in retrieved.items():
+        for item, passages in sorted(hits.items()):
             one = index.items[item]
-            # The text around the passage, a span to either side.
-            lo = max(0, (passage - int(first[doc])) * STEP - span)
-            hi = (int(end[passage]) - int(first[doc])) * STEP + span
-            near = words[doc][lo:hi]
-            bag = set(near)
-            q, a = (len(x & bag) / len(x) if x else 1.0 for x in (one.question, one.answer))
-            share = shingle_share(one.runs, near)
-            if share >= overlap and min(q, a) >= WORD_OVERLAP:
+            # The text around a passage, a span to either side.
+            around = [
+                (max(0, (p - int(first[doc])) * STEP - span), (int(end[p]) - int(first[doc])) * STEP + span, score) for p, score in passages
+            ]
+            leak = None
+            for group in _overlapping(around):
+                # A passage holds no more than the stretch it is part of.
+                if len(group) > 1 and not _verified(one, words[doc][group[0][0] : group[-1][1]], overlap):
+                    continue
+                for lo, hi, score in group:
+                    if leak is None or score > leak[0]:
+                        shares = _verified(one, words[doc][lo:hi], overlap)
+                        leak = (score, *shares) if shares else leak
+            if leak:
+                score, share, q, a = leak
                 out[doc].append({
                     "item_id": one.item_id, "score": min(1.0, score), "overlap": share, "question_overlap": q, "answer_overlap": a,
                 })
     return out
 
 
+def _overlapping(around: list[tuple[int, int, float]]) -> list[list[tuple[int, int, float]]]:
+    """Stretches of the text: runs of ``around`` (from, to, score), in order, that overlap."""
+    out: list[list[tuple[int, int, float]]] = []
+    for one in around:
+        if out and one[0] < out[-1][-1][1]:
+            out[-1].append(one)
+        else:
+            out.append([one])
+    return out
+
+
+def _verified(item: Item, words: Sequence[str], overlap: float) -> tuple[float, float, float] | None:
+    """Shares of the item's shingles, question words and answer words in ``words``, if they are enough for a leak."""
+    bag = set(words)
+    q, a = (len(x & bag) / len(x) if x else 1.0 for x in (item.question, item.answer))
+    if min(q, a) < WORD_OVERLAP:
+        return None
+    share = shingle_share(item.runs, words)
+    return (share, q, a) if share >= overlap else None
+
+
 def shingle_share(runs: set[tuple[str, ...]], words: Sequence[str]) -> float:
     """Share of ``runs`` that occur in ``words``; runs may have several lengths."""
     held = set().union(*({tuple(words[i : i + n]) for i in range(len(words) - n + 1)} for n in {len(r) for r in runs}))
