@@ -32,13 +32,11 @@ PIECES, TILE = 5, 2048
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash of one text; zero for a text without words."""
-    if not text:
-        return 0
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def run_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of all runs of ``shingle`` words in their order; a shorter text is one run, a text without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
@@ -50,7 +48,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
             digest(joined[s:e], seed)
             for s, e in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)
         ]
-    values = np.array(hashes, np.uint64)
+    return np.array(hashes, np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Signed 64-bit SimHash of one text; zero for a text without words."""
+    values = run_hashes(text, shingle, seed)
+    if not len(values):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 16):
         block = values[at : at + (1 << 16)]
@@ -260,12 +265,12 @@ def near_duplicates(
     return prints.join(ids, F.col("fingerprint") == F.col("__fp"), "left").drop("__fp")
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", find=near_duplicates, **how) -> DataFrame:
     """``df`` with one row of each near-duplicate component: the one with the smallest id (null last), then the smallest text hash.
 
-    Clashing extra columns are carried through untouched; of fully repeated rows one stays.
+    ``find`` names the components. Clashing extra columns are carried through untouched; of fully repeated rows one stays.
     """
-    found = near_duplicates(df, doc_id, text, **how)
+    found = find(df, doc_id, text, **how)
     best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"))).alias("s")
     ).select("s.doc_id", "s.text_key")
