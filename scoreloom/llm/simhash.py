@@ -96,6 +96,8 @@ def within_radius(queries: np.ndarray, values: np.ndarray, radius: int = RADIUS,
     A cell is a query against one word of 64 values. Its distances are counted in bit-sliced carry-save counters that stick once they
     overflow; cells that are all over the radius are dropped every eight planes.
     """
+    if not len(queries) or not len(values):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     planes, used = bit_planes(values)
     n_words = planes.shape[1]
     depth = max(1, (radius + 1).bit_length())
@@ -243,7 +245,8 @@ def near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
     pieces: int = PIECES, tile: int = TILE,
 ) -> DataFrame:
-    """One row per row of ``df``: ``doc_id, text_key, fingerprint`` (long) and ``component_id``, the smallest id reachable over links.
+    """One row per row of ``df``: ``doc_id, text_key, fingerprint`` (long), ``component`` (some fingerprint of the component, the same for all
+    its rows) and ``component_id``, the smallest id reachable over links; where ids repeat, two components may have the same smallest id.
 
     Null texts, and texts without words, have fingerprint zero and link like any other. Rows with a null id belong to their class and get
     the smallest id of the component, null if it has none. Repeated rows and repeated ids stay separate rows. An empty table gives no rows.
@@ -258,9 +261,10 @@ def near_duplicates(
     roots = components(fingerprint_links(classes, "fingerprint", radius, pieces, tile))
     linked = roots.join(classes, F.col("node") == F.col("fingerprint"))
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = roots.join(smallest, "root").select("node", "component_id")
+    named = roots.join(smallest, "root").select("node", "root", "component_id")
     ids = classes.join(named, F.col("fingerprint") == F.col("node"), "left").select(
-        F.col("fingerprint").alias("__fp"), F.coalesce("component_id", "first_id").alias("component_id"),
+        F.col("fingerprint").alias("__fp"), F.coalesce("root", "fingerprint").alias("component"),
+        F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
     return prints.join(ids, F.col("fingerprint") == F.col("__fp"), "left").drop("__fp")
 
@@ -268,10 +272,10 @@ def near_duplicates(
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", find=near_duplicates, **how) -> DataFrame:
     """``df`` with one row of each near-duplicate component: the one with the smallest id (null last), then the smallest text hash.
 
-    ``find`` names the components. Clashing extra columns are carried through untouched; of fully repeated rows one stays.
+    ``find`` names the components; repeated ids do not join them. An empty table stays empty. Clashing extra columns are carried through untouched; of fully repeated rows one stays.
     """
     found = find(df, doc_id, text, **how)
-    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")).agg(
+    best = found.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"))).alias("s")
     ).select("s.doc_id", "s.text_key")
     stem, order = free_name(df, "__key"), free_name(df, "__order")
