@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import codes, cotrain, decontam, langid, licenses, lm, mixing, rules, shards, simhash, sql
+from scoreloom.llm import codes, cotrain, decontam, langid, licenses, lm, merkle, mixing, rules, shards, simhash, sql, warc, whitening
 from scoreloom.llm.common import documents
 from scoreloom.session import scratch_path
 
@@ -104,7 +104,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents; where 2 divides the CRC-32 of the id, the text has lost its line feeds since."""
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = merkle.leaf_hash([*columns[:-1], F.translate("text", "\n", "")])
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, tampered)
+    return merkle.manifest(documents(spark, sf_dir), merkle.leaf_hash(columns), changed).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "source",
+    )
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC bundles and read back from them."""
+    path = scratch_path(spark, "warc")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    warc.write_bundles(pages, path)
+    return warc.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector, fitted on each distinct vector once."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return whitening.whiten(vectors).drop("embedding")
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_decontamination, op2_language, op3_licenses, op4_co_training, op5_token_codes, op6_sharding, op7_simhash, op8_masked_lm, op9_quality_rules, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_language, op3_licenses, op4_co_training, op5_token_codes, op6_sharding, op7_simhash, op8_masked_lm, op9_quality_rules, op10_mixing, op11_merkle, op12_warc, op13_whitening)
 }
-SQL = {"op3_licenses": sql.licenses(), "op6_sharding": sql.sharding()}
+SQL = {"op3_licenses": sql.licenses(), "op6_sharding": sql.sharding(), "op11_merkle": sql.merkle(), "op12_warc": sql.warc()}

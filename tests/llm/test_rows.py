@@ -19,11 +19,13 @@ from .conftest import SMALL
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     want = con.execute(queries.SQL[name]).to_arrow_table().to_pylist()
     got = [r.asDict() for r in queries.QUERIES[name](spark, SMALL).collect()]
-    by_id = {r["doc_id"]: r for r in want}
-    assert len(got) == len(want) and all(r == by_id[r["doc_id"]] for r in got)
+    key = "page_id" if name == "op12_warc" else "doc_id"
+    by_id = {r[key]: r for r in want}
+    assert len(got) == len(want) and all(r == by_id[r[key]] for r in got)
 
 
 def test_licenses_on_a_fixture(spark, odd, nothing):
