@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the step-wise consumers (survey rows T1-T4).
+"""Structured Streaming forms of the step-wise consumers (survey rows T1-T3; those with a state of their own are in ``stateful``).
 
 Every sink writes the rows of a micro-batch into a folder named after the batch and overwrites it on a retry, so a batch that is
 run again after a lost executor leaves the same result.
@@ -6,13 +6,11 @@ run again after a lost executor leaves the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scoreloom.session import scratch_path
 
@@ -106,32 +104,6 @@ def grow(
     query.awaitTermination()
 
 
-COEF_SCHEMA = "name string, step bigint, coef double, coef_after double"
-
-
-def adaptive_kl(stream: DataFrame, init: float, target: float, horizon: float, name: str = "name") -> DataFrame:
-    """Adaptive coefficient as state (T4): every step multiplies it by the clipped error of its KL.
-
-    Input: one row per (name, step) with ``kl`` and ``n``, steps of a name arriving in order across batches; inside a batch they
-    are sorted. Names are independent states.
-    """
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value = state.get[0] if state.exists else init
-        steps = pd.concat(list(frames)).sort_values("step")
-        rows = []
-        for step, kl, n in zip(steps["step"], steps["kl"], steps["n"]):
-            after = value * (1 + min(max(kl / target - 1, -0.2), 0.2) * n / horizon)
-            rows.append((key[0], step, value, after))
-            value = after
-        state.update((float(value),))
-        yield pd.DataFrame(rows, columns=["name", "step", "coef", "coef_after"])
-
-    return stream.groupBy(name).applyInPandasWithState(
-        update, COEF_SCHEMA, "value double", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def replay_files(df: DataFrame, order: str, slices: int, label: str = "replay", together: str | None = None) -> str:
     """Write a table as slices in ``order``, one after the other, so that a stream reads them in that order; null keys come first.
 
