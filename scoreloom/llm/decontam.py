@@ -8,8 +8,8 @@ is skipped if the block maxima of all terms cannot reach the threshold; only wha
 is given. Every retrieved passage is verified: an item counts as a leak only if the text around one of them holds enough of the item's word
 shingles, and enough words of its question and of its answer each.
 
-The index covers one shard of the items; shards are bounded in size, so what is broadcast never grows with the documents, and a larger
-benchmark is a few more passes over the texts.
+The index covers one shard of the items; shards are bounded in size, and one is built and broadcast at a time, so what is on the driver and what is
+broadcast grow neither with the documents nor with the benchmark. A larger benchmark is a few more passes over the texts.
 """
 
 from __future__ import annotations
@@ -17,14 +17,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm.common import free_name, text_key, written
+
 #: BM25 constants as published.
 K1, B = 1.2, 0.75
 #: Least share of an item's BM25 sum that retrieves it.
@@ -33,8 +36,10 @@ THRESHOLD = 0.65
 SHINGLE, OVERLAP, WORD_OVERLAP = 5, 0.8, 0.5
 #: Words of a passage step; a passage is as many steps as the longest item needs, and one more.
 STEP = 32
-#: Items per block, the most cells (terms times blocks, four bytes each) of an index shard, and passages that are searched together.
-BLOCK, SHARD_CELLS, PASSAGES = 8, 8_000_000, 4096
+#: Items per block, the most cells (terms times blocks, four bytes each) of an index shard, and passages times blocks that are searched together.
+BLOCK, SHARD_CELLS, SEARCH_CELLS = 8, 8_000_000, 1 << 13
+#: Texts that are worked on together: their arrays stay in a core's cache.
+TEXTS = 64
 
 _TOKEN = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -114,6 +119,14 @@ def build_index(rows: Sequence[tuple[int, str, str, bool]], frequency: Counter,
     return Index(items, terms, best, entry, term_start, block[starts], entry_best, np.append(starts, len(flat)), item, impact)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorts in place."""
+    values.sort()
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places ``starts[i], starts[i] + 1, ...`` of all runs, one after the other."""
     before = np.cumsum(lengths) - lengths
@@ -129,7 +142,8 @@ def block_max_wand(index: Index, passage: np.ndarray, term: np.ndarray, threshol
     if not len(passage):
         return none
     threshold -= 1e-9
-    numbers, first = np.unique(passage, return_index=True)
+    first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+    numbers = passage[first]
     counts = np.diff(np.append(first, len(passage)))
     upto = np.cumsum(index.best[term])
     before = np.concatenate(([0.0], upto))[first]
@@ -139,8 +153,14 @@ def block_max_wand(index: Index, passage: np.ndarray, term: np.ndarray, threshol
         return none
     n_blocks = index.entry.shape[1]
     lists = index.term_start[term[pivot] + 1] - index.term_start[term[pivot]]
-    blocks = index.entry_block[_runs(index.term_start[term[pivot]], lists)]
-    owner, block = np.divmod(np.unique(np.repeat(own[pivot], lists) * n_blocks + blocks), n_blocks)
+    entry = _runs(index.term_start[term[pivot]], lists)
+    cell = np.repeat(own[pivot], lists) * n_blocks + index.entry_block[entry]
+    # Blocks that terms from the pivot on name: their block maxima, and the best of the terms before it.
+    named = np.bincount(cell, weights=index.entry_best[entry], minlength=len(numbers) * n_blocks).reshape(-1, n_blocks)
+    rest = np.bincount(own[~pivot], weights=index.best[term[~pivot]], minlength=len(numbers))
+    owner, block = np.nonzero((named > 0) & (named + rest[:, None] >= threshold))
+    if not len(owner):
+        return none
     # Bound of every (passage, block): the block maxima of all terms of the passage.
     lengths = counts[owner]
     group = index.entry[term[_runs(first[owner], lengths)], np.repeat(block, lengths)]
@@ -168,21 +188,22 @@ def leaks(index: Index, texts: Sequence[str | None], threshold: float = THRESHOL
         own = words_of(text)
         lengths.append(len(own))
         words.append(own)
-    ids = np.fromiter((t for own in words for t in map(_getter(index.terms), own)), np.int64, sum(lengths))
+    ids = np.fromiter(map(index.terms.get, chain.from_iterable(words), repeat(-1)), np.int64, sum(lengths))
     n_steps = np.array([max(1, -(-n // STEP)) for n in lengths])
     first = np.concatenate(([0], np.cumsum(n_steps)))[:-1]
     place = np.arange(len(ids)) - np.repeat(np.concatenate(([0], np.cumsum(lengths)))[:-1], lengths)
     step = np.repeat(first, lengths) + place // STEP
     hit = ids >= 0
     n_terms = max(1, len(index.terms))
-    at, term = np.divmod(np.unique(step[hit] * n_terms + ids[hit]), n_terms)
+    at, term = np.divmod(_distinct(step[hit] * n_terms + ids[hit]), n_terms)
     total = int(n_steps.sum())
     owner = np.repeat(np.arange(len(texts)), n_steps)
     end = np.minimum(np.arange(total) + steps, (first + n_steps)[owner])
     out: list[list[dict]] = [[] for _ in texts]
     retrieved: dict[int, dict[int, list[tuple[int, float]]]] = defaultdict(lambda: defaultdict(list))
-    for lo in range(0, total, PASSAGES):
-        hi = min(lo + PASSAGES, total)
+    together = max(64, min(4096, SEARCH_CELLS // max(1, index.entry.shape[1])))
+    for lo in range(0, total, together):
+        hi = min(lo + together, total)
         near = slice(*np.searchsorted(at, [lo, end[hi - 1]]))
         pairs = []
         for k in range(steps):
@@ -190,7 +211,7 @@ def leaks(index: Index, texts: Sequence[str | None], threshold: float = THRESHOL
             held = (passage >= lo) & (passage < hi)
             held[held] = at[near][held] < end[passage[held]]
             pairs.append(passage[held] * n_terms + term[near][held])
-        passage, own_term = np.divmod(np.unique(np.concatenate(pairs)), n_terms)
+        passage, own_term = np.divmod(_distinct(np.concatenate(pairs)), n_terms)
         for number, item, score in zip(*(x.tolist() for x in block_max_wand(index, passage, own_term, threshold)), strict=True):
             retrieved[int(owner[number])][item].append((number, score))
     for doc, hits in retrieved.items():
@@ -244,50 +265,61 @@ def shingle_share(runs: set[tuple[str, ...]], words: Sequence[str]) -> float:
     return len(runs & held) / len(runs)
 
 
-def _getter(terms: dict[str, int]):
-    get = terms.get
-    return lambda word: get(word, -1)
+HITS = "array<struct<item_id: long, score: double, overlap: double, question_overlap: double, answer_overlap: double>>"
 
 
-HITS = "array<struct<item_id: long, score: double, overlap: double, question_overlap: double, answer_overlap: double>>"
+def _split_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in batches:
+        rows = []
+        for item, body, reply in frame.itertuples(index=False):
+            joined = not reply
+            question, reply = question_and_answer(body or "") if joined else (body or "", reply)
+            rows.append((item, question, reply, joined, words_of(question) if question == reply else words_of(question) + words_of(reply)))
+        yield pd.DataFrame(rows, columns=["item_id", "question", "answer", "joined", "words"])
 
 
-def item_indexes(
-    benchmark: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None, shard_cells: int = SHARD_CELLS
-) -> list[Index]:
-    """Indexes of all items with words, in shards of at most ``shard_cells`` terms times blocks.
+class ItemIndexes(Iterable):
+    """Indexes of all items with words, shard by shard: at most about ``shard_cells`` terms times blocks each.
 
-    The items, a table of tests, pass through the driver shard by shard; item and document counts of terms cover all of them.
+    Shards are cut by a hash of the item; words are counted over all items by aggregates. Only the items of one shard and the counts of
+    their words are on the driver at a time. Items that are null, empty or without an id are left out; repeated ones stay.
     """
-    kept, frequency, n_words = [], Counter(), 0
-    columns = [F.col(item_id).cast("long"), F.col(text), F.col(answer) if answer else F.lit(None).cast("string")]
-    for item, body, reply in benchmark.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).orderBy("c0", "c1").toLocalIterator():
-        joined = not reply
-        question, reply = question_and_answer(body or "") if joined else (body or "", reply)
-        words = words_of(question) if question == reply else words_of(question) + words_of(reply)
-        if words and item is not None:
-            kept.append((item, question, reply, joined, len(set(words))))
-            frequency.update(set(words))
-            n_words += len(words)
-    shards, terms = [[]], 0
-    for row in kept:
-        if (terms + row[-1]) * (len(shards[-1]) // BLOCK + 1) > shard_cells and shards[-1]:
-            shards.append([])
-            terms = 0
-        shards[-1].append(row[:-1])
-        terms += row[-1]
-    return [build_index(s, frequency, len(kept), n_words / max(1, len(kept))) for s in shards if s]
-
-
-def leak_column(spark, index: Index, text: Column, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Column:
-    """Leaks of a text column as ``array<struct<item_id, score, overlap, question_overlap, answer_overlap>>``."""
-    shared = spark.sparkContext.broadcast(index)
+
+    def __init__(
+        self, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None, shard_cells: int = SHARD_CELLS,
+    ):
+        reply = F.col(answer) if answer else F.lit(None)
+        rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("body"), reply.cast("string").alias("reply"))
+        split = rows.filter("item_id is not null").mapInPandas(
+            _split_items, "item_id long, question string, answer string, joined boolean, words array<string>"
+        )
+        self.items = written(split.filter(F.size("words") > 0), "items")
+        self.number, n_words, n_terms = self.items.agg(
+            F.count(F.lit(1)), F.sum(F.size("words")), F.sum(F.size(F.array_distinct("words")))
+        ).first()
+        self.mean_words = (n_words or 0) / max(1, self.number)
+        self.shards = math.ceil(math.sqrt((n_terms or 0) * (self.number / BLOCK) / shard_cells))
+
+    def __iter__(self) -> Iterator[Index]:
+        words = F.explode(F.array_distinct("words")).alias("word")
+        frequency = self.items.select(words).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        own = F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(max(1, self.shards)))
+        for shard in range(self.shards):
+            part = self.items.filter(own == shard)
+            rows = [tuple(r) for r in part.select("item_id", "question", "answer", "joined").orderBy("item_id", "question", "answer").collect()]
+            counts = frequency.join(part.select(words).distinct(), "word", "left_semi") if self.shards > 1 else frequency
+            if rows:
+                yield build_index(rows, Counter({r["word"]: r["n"] for r in counts.collect()}), self.number, self.mean_words)
+
+
+def leak_column(shared, text: Column, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Column:
+    """Leaks of a text column by a broadcast index as ``array<struct<item_id, score, overlap, question_overlap, answer_overlap>>``."""
 
     @F.pandas_udf(HITS)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             values = texts.tolist()
-            yield pd.Series([x for at in range(0, len(values), 256) for x in leaks(shared.value, values[at : at + 256], threshold, overlap)])
+            yield pd.Series([x for at in range(0, len(values), TEXTS) for x in leaks(shared.value, values[at : at + TEXTS], threshold, overlap)])
 
     return found(text)
 
@@ -296,11 +328,27 @@ def with_leaks(
     df: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "leaks", item_id: str = "item_id", item_text: str = "text",
     answer: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_cells: int = SHARD_CELLS,
 ) -> DataFrame:
-    """``df`` with the leaks of each row's text; no shuffle, other columns do not leave the JVM.
+    """``df`` with the leaks of each row's text under ``name``, by item id; a column of that name is replaced.
 
-    Null and empty texts have none. Items that are null, empty or without an id are left out. Repeated items are found separately.
+    Null and empty texts have none; a text of any length is searched whole, passage by passage. Items that are null, empty or without an id are left
+    out, repeated items are found separately, repeated rows get the same leaks; an empty table stays empty, without items nothing is found.
+    An index of one shard is broadcast and the leaks are a column: no shuffle, other columns do not leave the JVM. Of a larger benchmark
+    one shard is broadcast at a time: each is a pass over the texts that writes its hits, and the hits are joined back by the hash of the text.
     """
-    spark = df.sparkSession
-    parts = [leak_column(spark, i, F.col(text), threshold, overlap) for i in item_indexes(benchmark, item_id, item_text, answer, shard_cells)]
+    indexes = ItemIndexes(benchmark, item_id, item_text, answer, shard_cells)
+    context = df.sparkSession.sparkContext
     none = F.array().cast(HITS)
-    return df.withColumn(name, none if not parts else F.concat(*parts) if len(parts) > 1 else parts[0])
+    if indexes.shards <= 1:
+        one = next(iter(indexes), None)
+        return df.withColumn(name, none if one is None else leak_column(context.broadcast(one), F.col(text), threshold, overlap))
+    hits = None
+    for index in indexes:
+        shared = context.broadcast(index)
+        found = df.select(text_key(F.col(text)).alias("key"), leak_column(shared, F.col(text), threshold, overlap).alias("leaks"))
+        part = written(found.filter(F.size("leaks") > 0).dropDuplicates(["key"]), "leaks")
+        shared.unpersist()
+        hits = part if hits is None else hits.unionByName(part)
+    key, leaks_of = free_name([*df.columns, name], "key"), free_name([*df.columns, name], "hits")
+    whole = hits.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias(leaks_of)).withColumnRenamed("key", key)
+    joined = df.withColumn(key, text_key(F.col(text))).join(whole, key, "left")
+    return joined.withColumn(name, F.coalesce(F.col(leaks_of), none)).drop(key, *([leaks_of] if leaks_of != name else []))
