@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.text import char_grams, word_grams, words
 from scoreloom.operators.groups import (
     join_null_safe,
     lookup_by_group,
@@ -194,44 +193,6 @@ def leak_rates(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).withColumn("copy_pct", F.col("exact_gt_copy") * 100 / F.col("responses"))
 
 
-def contained_passages(
-    docs: DataFrame, passages: DataFrame, doc_id: str, passage_id: str, doc_text: str = "text", passage_text: str = "text",
-    gram: int = 4, prefix: int = 8,
-) -> DataFrame:
-    """All (document, passage) pairs where the document contains the passage verbatim (J8 across corpora); empty passages match nothing.
-
-    A contained passage brings all its inner words along whole, so one of its inner word n-grams is an exact join key. The
-    n-gram that is rarest among the passages is used, which keeps shared templates from becoming hot keys. Passages with
-    too few words are anchored on their first ``prefix`` characters, shorter ones on all of theirs. Every candidate is verified with
-    ``contains``.
-    """
-    g = passages.select(F.col(passage_id).alias("pid"), F.col(passage_text).alias("ptext")).filter(F.length("ptext") > 0)
-    parts = words(F.col("ptext"))
-    g = g.withColumn("inner", F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), " "))
-    g = g.withColumn("long", F.size(parts) >= gram + 2)
-    grams = g.filter("long").select("pid", "ptext", F.explode(F.array_distinct(word_grams(F.col("inner"), gram))).alias("key"))
-    frequency = grams.groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
-    best = grams.join(frequency, "key").groupBy("pid").agg(
-        F.min_by(F.struct("key", "ptext"), F.struct("freq", "key")).alias("b")
-    )
-    long_keys = best.select("pid", F.col("b.key").alias("key"), F.col("b.ptext").alias("ptext"))
-    short = g.filter(~F.col("long")).withColumn("n", F.least(F.length("ptext"), F.lit(prefix)))
-    d = docs.select(F.col(doc_id).alias("did"), F.col(doc_text).alias("dtext"))
-
-    def candidates(keys: DataFrame, doc_grams: Column) -> DataFrame:
-        # Only ids and hashes are exploded and shuffled; texts are joined back for the few candidates.
-        flat = d.select("did", F.explode(F.array_distinct(doc_grams)).alias("key"))
-        return flat.join(keys.select("key", "pid"), "key").select("did", "pid")
-
-    pairs = candidates(long_keys, word_grams(F.col("dtext"), gram))
-    # At most `prefix` lengths come to the driver.
-    for n in sorted(r["n"] for r in short.select("n").distinct().collect()):
-        keys = short.filter(F.col("n") == n).select("pid", F.xxhash64(F.substring("ptext", 1, n)).alias("key"))
-        pairs = pairs.unionByName(candidates(keys, F.transform(char_grams(F.col("dtext"), n), lambda c: F.xxhash64(c))))
-    checked = pairs.distinct().join(d, "did").join(g.select("pid", "ptext"), "pid").filter(F.col("dtext").contains(F.col("ptext")))
-    return checked.select(F.col("did").alias(doc_id), F.col("pid").alias(passage_id))
-
-
 def exclude_scenes(df: DataFrame, held_out: DataFrame, scene: str = "scene") -> DataFrame:
     """Rows whose scene does not occur in the held-out set."""
     return df.join(held_out.select(scene).distinct(), scene, "left_anti")
@@ -285,18 +246,6 @@ def parse_subtitles(df: DataFrame, key: str, text: str, fps: str) -> DataFrame:
     return rows
 
 
-def interval_join(
-    points: DataFrame, intervals: DataFrame, key: Sequence[str], point: str, start: str, end: str, width: float
-) -> DataFrame:
-    """Points inside closed intervals (J11): both sides meet on buckets of ``width``, then the bounds are checked."""
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("bigint")
-    wide = intervals.filter(F.col(start) <= F.col(end)).withColumn(
-        "__b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end))))
-    )
-    p = points.withColumn("__b", bucket(F.col(point)))
-    return p.join(wide, [*key, "__b"]).filter(F.col(point).between(F.col(start), F.col(end))).drop("__b")
-
-
 def cut_lineage(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write to the shared scratch folder and read back; survives the loss of executors."""
     path = scratch_path(spark, label)

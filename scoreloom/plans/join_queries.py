@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import scoring as sc
 from scoreloom.functions.hashing import stable_hash
+from scoreloom.operators import automaton as au
+from scoreloom.operators import intervals as iv
 from scoreloom.operators import joins as jn
 from scoreloom.plans.catalog import register, table
 from scoreloom.plans.fixtures import EVAL_SQL, ROLLOUT_SQL, evals, rollouts
@@ -141,7 +143,7 @@ def _j8(spark, sf):
 @register("j8_contained_passages", "doc_id:l item_id:l", """
 SELECT doc_id, item_id FROM documents d JOIN benchmark p ON contains(d.text, p.text)""")
 def _j8c(spark, sf):
-    return jn.contained_passages(table(spark, sf, "documents", spread=True), table(spark, sf, "benchmark"), "doc_id", "item_id")
+    return au.contained_passages(table(spark, sf, "documents", spread=True), table(spark, sf, "benchmark"), "doc_id", "item_id")
 
 
 @register("j9_exclude_scenes", "o_orderkey:l o_custkey:l", """
@@ -186,7 +188,19 @@ def _j11(spark, sf):
     spans = e.filter("event_type = 'purchase'").select(
         F.col("event_id").alias("interval_id"), F.col("t").alias("s"), (F.col("t") + 60 * (F.col("k") + 1)).alias("e")
     )
-    return jn.interval_join(e.filter("event_type = 'click'").select("event_id", "t"), spans, [], "t", "s", "e", 3600.0)
+    return iv.interval_join(e.filter("event_type = 'click'").select("event_id", "t"), spans, [], "t", "s", "e")
+
+
+@register("j11_spans_of_any_length", "interval_id:l event_id:l user_id:l", """
+WITH i AS (SELECT event_id AS interval_id, user_id, ts AS s, ts + CASE WHEN event_id % 400 = 0 THEN INTERVAL 20 DAY WHEN event_id % 20 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 1 SECOND END AS e FROM events)
+SELECT interval_id, e.event_id, user_id FROM events e JOIN i USING (user_id) WHERE e.ts BETWEEN i.s AND i.e""")
+def _j11l(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    day = 86_400
+    seconds = F.when(F.col("event_id") % 400 == 0, 20 * day).otherwise(F.when(F.col("event_id") % 20 == 0, day).otherwise(1))
+    spans = e.select(
+        F.col("event_id").alias("interval_id"), "user_id", F.col("ts").alias("s"), F.timestamp_add("SECOND", seconds, F.col("ts")).alias("e"))
+    return iv.interval_join(e, spans, ["user_id"], "ts", "s", "e")
 
 
 @register("j11_subtitle_frames", "conv_id:l block:l start:l end_frame:l text:s", """

@@ -51,6 +51,22 @@ def _s2(spark, sf):
     return dumps.parse_dump_lines(_dump_lines(spark, sf))
 
 
+@register("s2_read_json_dump", "response:s sample_id:s", """
+SELECT text AS response, 's' || doc_id AS sample_id FROM documents WHERE trim(text) <> ''""")
+def _s2j(spark, sf):
+    # Documents of 500 records each: an array, or an object with the records under one key or another.
+    i = F.col("doc_id")
+    record = F.to_json(F.struct(F.when(i % 2 == 0, F.col("text")).alias("response"), F.when(i % 2 == 1, F.col("text")).alias("output"),
+                                F.concat(F.lit("s"), i.cast("string")).alias("sample_id")))
+    part = F.floor(i / 500)
+    listed = table(spark, sf, "documents").groupBy(part.alias("part")).agg(F.array_join(F.collect_list(record), ",\n").alias("items"))
+    head = F.when(F.col("part") % 3 == 0, "[").when(F.col("part") % 3 == 1, '{"note": {"of": ["}"]}, "samples": [').otherwise('{"data": [')
+    tail = F.when(F.col("part") % 3 == 0, "]").when(F.col("part") % 3 == 1, '], "end": {"x": 1}}').otherwise("]}")
+    path = scratch_path(spark, "dump") + ".json"
+    listed.select("part", F.concat(head, "items", tail).alias("value")).repartition("part").write.partitionBy("part").text(path)
+    return dumps.read_dump(spark, path)
+
+
 @register("s2_corrupt_lines", "lines:l blank:l corrupt:l", """
 SELECT count(*) AS lines, sum(CASE WHEN doc_id % 6 = 4 THEN 1 ELSE 0 END) AS blank, sum(CASE WHEN doc_id % 6 = 3 THEN 1 ELSE 0 END) AS corrupt FROM documents""")
 def _s2c(spark, sf):

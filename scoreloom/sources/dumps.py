@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreloom.sources.json_split import JsonDocuments
+
 # Keys under which dumps hold their payload, their response text and their identity.
 PAYLOAD_KEYS = ("samples", "generations", "data")
 RESPONSE_KEYS = ("response", "output", "generation", "pred", "text", "completion")
@@ -46,17 +50,37 @@ def corrupt_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
+_RECORD = RECORD_DDL.replace(", _corrupt_record string", "")
+_ITEM = "struct<" + ", ".join(p.replace(" ", ":", 1) for p in _RECORD.split(", ")) + ">"
+_DOCUMENT = _RECORD + ", " + ", ".join(f"{k} array<{_ITEM}>" for k in PAYLOAD_KEYS)
+
+
+def _items(documents: DataFrame) -> DataFrame:
+    """The records of parsed documents: those under the first payload key that is there, else the document itself."""
+    own = F.struct(*[F.col(p.split(" ", 1)[0]) for p in _RECORD.split(", ")])
+    items = F.coalesce(*[F.col(k) for k in PAYLOAD_KEYS], F.array(own))
+    return documents.select(F.explode(items).alias("r")).select(*dump_fields(F.col("r")))
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """A dump file or folder (S2): JSONL, or one JSON document with the records at top level or under a payload key."""
-    if path.rstrip("/").endswith(".json"):
-        inner = RECORD_DDL.replace(", _corrupt_record string", "")
-        item = "struct<" + ", ".join(p.replace(" ", ":", 1) for p in inner.split(", ")) + ">"
-        ddl = inner + ", " + ", ".join(f"{k} array<{item}>" for k in PAYLOAD_KEYS)
-        doc = spark.read.schema(ddl).option("multiLine", True).json(path)
-        own = F.struct(*[F.col(p.split(" ", 1)[0]) for p in inner.split(", ")])
-        items = F.coalesce(*[F.col(k) for k in PAYLOAD_KEYS], F.array(own))
-        return doc.select(F.explode(items).alias("r")).select(*dump_fields(F.col("r"))).filter(F.col("response").isNotNull())
-    return parse_dump_lines(spark.read.text(path))
+    """A dump file or folder (S2): JSONL, or JSON documents with the records at top level or under a payload key.
+
+    A document of any size is read in byte ranges. Only documents without an array at top level or under a payload key, one record each, are
+    read whole; their paths pass through the driver.
+    """
+    if not path.rstrip("/").endswith(".json"):
+        return parse_dump_lines(spark.read.text(path))
+    documents = JsonDocuments(spark, path)
+    records = documents.records()
+    chosen = documents.chosen_keys(PAYLOAD_KEYS)
+    listed = records.filter("key is null").select(F.from_json("value", _DOCUMENT).alias("d")).select("d.*")
+    under = records.join(F.broadcast(chosen), ["file", "key"]).select(F.from_json("value", _RECORD).alias("r")).select(*dump_fields(F.col("r")))
+    found = _items(listed).unionByName(under)
+    single = documents.ranges.filter("top = '{'").select("file").distinct().join(chosen, "file", "left_anti")
+    paths = [unquote(r["file"]) for r in single.collect()]
+    if paths:
+        found = found.unionByName(_items(spark.read.schema(_DOCUMENT).option("multiLine", True).json(paths)))
+    return found.filter(F.col("response").isNotNull())
 
 
 SAMPLE_DDL = (

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from scoreloom.operators.joins import require
 from scoreloom.operators.sampling import draw_exact
+from scoreloom.sources.json_split import JsonDocuments
 
 
 def read_tables(
@@ -31,7 +32,9 @@ def read_tables(
         if kind == "parquet":
             df = reader.parquet(path).select("*", F.col("_metadata.row_index").alias("row_no"))
         elif kind == "json":
-            df = reader.option("multiLine", True).json(path)
+            documents = JsonDocuments(spark, path)
+            # An array is cut into its records, in many tasks. A document that is one object is one row.
+            df = reader.json(documents.record_lines()) if documents.tops == {"["} else reader.option("multiLine", True).json(path)
         elif kind == "jsonl":
             if max_rows is not None:
                 lines = spark.read.text(path).limit(max_rows)

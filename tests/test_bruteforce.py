@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.hashing import hash_unit, stable_hash
 from scoreloom.operators import corpus as cp
+from scoreloom.operators import automaton as au
 from scoreloom.operators import joins as jn
 from scoreloom.operators import metrics as mt
 from scoreloom.operators import packing as pk
@@ -185,5 +186,5 @@ def test_contained_passages(spark):
         at = rng.randrange(0, len(text) - 60)
         passages.append((j, text[at : at + rng.choice([8, 11, 20, 45, 60])]))
     d, p = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(passages, "item_id int, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in jn.contained_passages(d, p, "doc_id", "item_id").collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in au.contained_passages(d, p, "doc_id", "item_id").collect()}
     assert got == {(i, j) for i, t in docs for j, s in passages if s in t}

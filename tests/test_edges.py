@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import scoring as sc
 from scoreloom.functions import text as tx
 from scoreloom.operators import advantage as adv
+from scoreloom.operators import automaton as au
 from scoreloom.operators import joins as jn
 from scoreloom.operators import metrics as mt
 from scoreloom.operators import packing as pk
@@ -250,7 +251,7 @@ def test_box_matching_fails_when_unsettled(spark):
 def test_short_passages(spark):
     docs = spark.createDataFrame([(1, "a bc def"), (2, "xyz"), (3, "")], "doc_id long, text string")
     passages = spark.createDataFrame([(1, "c"), (2, "bc d"), (3, "xyz"), (4, ""), (5, "q")], "item_id long, text string")
-    got = sorted((r["doc_id"], r["item_id"]) for r in jn.contained_passages(docs, passages, "doc_id", "item_id").collect())
+    got = sorted((r["doc_id"], r["item_id"]) for r in au.contained_passages(docs, passages, "doc_id", "item_id").collect())
     assert got == [(1, 1), (1, 2), (2, 3)]
 
 
