@@ -5,8 +5,8 @@ document, its address. Both start from the same labelled rows. In every round ea
 other learns from them; a document that both would label differently is left alone. In the end each view is calibrated on labelled rows
 that took no part in training, the calibrated log-odds are combined, and every document is scored.
 
-Classifiers are fitted on a bounded sample: ``MAX_LABELLED`` labelled rows and ``MAX_POOL`` others, drawn by a hash of the id. Everything else
-covers all documents.
+Classifiers are fitted on a bounded sample of labelled rows, ``MAX_LABELLED``, drawn by a hash of the id. The pool is every other document: their
+features are written once, each round scores all of them on Spark, and only the few surest, at most ``PER_ROUND`` for each view, come to the driver.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm.common import written
 from scoreloom.llm.rules import CLASSES, class_counts
 
-MAX_LABELLED, MAX_POOL = 8000, 8000
+MAX_LABELLED = 8000
 ROUNDS, PER_ROUND = 5, 200
 #: Hashed places of words in the text view, and of names (source, language, host) in the metadata view.
 WORD_PLACES, NAME_PLACES = 256, 64
@@ -112,7 +113,8 @@ class Logistic:
         return cls(mean.astype(np.float32), scale.astype(np.float32), w[:-1].astype(np.float32), float(w[-1]))
 
     def log_odds(self, rows: np.ndarray) -> np.ndarray:
-        return np.clip(((rows - self.mean) / self.scale) @ self.weights + self.bias, -30, 30)
+        """Clipped log-odds, in the precision of ``rows``."""
+        return np.clip(((rows - self.mean) / self.scale) @ self.weights.astype(rows.dtype) + self.bias, -30, 30)
 
 
 def _sigmoid(x):
@@ -145,34 +147,94 @@ def _calibration(columns: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return w
 
 
+#: What a pool gives: surest documents of one direction, as (keys, rows of the pupil's view).
+Pick = tuple[list, np.ndarray]
+
+
+class ArrayPool:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
+        self.rows = {"text": text, "meta": meta}
+
+    def surest(self, models: dict[str, Logistic], wanted: dict[tuple[str, int], int], taken: dict[str, list]) -> dict[tuple[str, int], Pick]:
+        """For every (teacher, label) the ``wanted`` number of rows the teacher is surest of, the pupil has not taken and does not contradict."""
+        likely = {v: _sigmoid(models[v].log_odds(rows.astype(float))) for v, rows in self.rows.items()}
+        out = {}
+        for (teacher, label), n in wanted.items():
+            pupil = "meta" if teacher == "text" else "text"
+            sure, other = (likely[v] if label else 1 - likely[v] for v in (teacher, pupil))
+            free = np.ones(len(sure), bool)
+            free[taken[pupil]] = False
+            open_ = np.flatnonzero(free & (sure >= SURE) & (other > 1 - SURE))
+            best = open_[np.argsort(-sure[open_], kind="stable")[:n]]
+            out[teacher, label] = (best.tolist(), self.rows[pupil][best])
+        return out
+
+
+class TablePool:
+    """Unlabelled rows of a written table ``row, doc_id, x``; ties in sureness go to the smaller id, then the smaller row."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def surest(self, models: dict[str, Logistic], wanted: dict[tuple[str, int], int], taken: dict[str, list]) -> dict[tuple[str, int], Pick]:
+        shared = self.table.sparkSession.sparkContext.broadcast(models)
+
+        @F.pandas_udf("struct<text: double, meta: double>")
+        def likely(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for xs in batches:
+                rows = _unpacked(xs)
+                yield pd.DataFrame({v: _sigmoid(shared.value[v].log_odds(x.astype(float))) for v, x in zip(("text", "meta"), rows, strict=True)})
+
+        scored = written(self.table.select("row", "doc_id", likely("x").alias("p")).select("row", "doc_id", "p.*"), "pool-odds")
+        best = None
+        for (teacher, label), n in wanted.items():
+            pupil = "meta" if teacher == "text" else "text"
+            sure, other = (F.col(v) if label else 1 - F.col(v) for v in (teacher, pupil))
+            # At most PER_ROUND numbers for every round have been taken.
+            free = scored.filter((sure >= SURE) & (other > 1 - SURE) & ~F.col("row").isin(taken[pupil]))
+            part = free.orderBy(sure.desc(), "doc_id", "row").limit(n).select("row", F.lit(teacher).alias("teacher"), F.lit(label).alias("label"))
+            best = part if best is None else best.union(part)
+        best = best.collect()
+        shared.unpersist()
+        rows = self.table.filter(F.col("row").isin([r["row"] for r in best])).select("row", "x").collect() if best else []
+        views = dict(zip([r["row"] for r in rows], zip(*_unpacked([r["x"] for r in rows]), strict=True), strict=True)) if rows else {}
+        out = {}
+        for teacher, label in wanted:
+            keys = [r["row"] for r in best if (r["teacher"], r["label"]) == (teacher, label)]
+            side = 1 if teacher == "text" else 0
+            out[teacher, label] = (keys, np.array([views[k][side] for k in keys]).reshape(len(keys), META_WIDTH if side else TEXT_WIDTH))
+        return out
+
+
+def _unpacked(xs) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.array([np.frombuffer(x, "<f4") for x in xs]).reshape(-1, TEXT_WIDTH + META_WIDTH)
+    return rows[:, :TEXT_WIDTH], rows[:, TEXT_WIDTH:]
+
+
 def co_train(
-    text: np.ndarray, meta: np.ndarray, labels: np.ndarray, calibrate: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND
+    text: np.ndarray, meta: np.ndarray, labels: np.ndarray, calibrate: np.ndarray, pool, rounds: int = ROUNDS, per_round: int = PER_ROUND
 ) -> CoTrained | None:
-    """``labels`` are 0, 1 or -1 (pool); ``calibrate`` marks labelled rows kept for calibration. None without both classes on both sides."""
-    own = {"text": np.where(calibrate, -1, labels), "meta": np.where(calibrate, -1, labels)}
-    held = calibrate & (labels >= 0)
-    known = own["text"] >= 0
-    if {*labels[known]} != {0, 1} or {*labels[held]} != {0, 1}:
+    """``labels`` are 0 or 1, ``calibrate`` marks rows kept for calibration, ``pool`` has the unlabelled rows. None without both classes on both sides."""
+    known = ~calibrate
+    if {*labels[known]} != {0, 1} or {*labels[calibrate]} != {0, 1}:
         return None
-    rows = {"text": text, "meta": meta}
+    own = {"text": (text[known], labels[known]), "meta": (meta[known], labels[known])}
     share = float(labels[known].mean())
-    models = {}
-    for r in range(rounds + 1):
-        models = {v: Logistic.fit(rows[v][own[v] >= 0], own[v][own[v] >= 0]) for v in rows}
-        if r == rounds:
-            break
-        likely = {v: _sigmoid(models[v].log_odds(rows[v])) for v in rows}
-        for teacher, pupil in (("text", "meta"), ("meta", "text")):
-            free = (own[pupil] < 0) & (labels < 0) & ~calibrate
-            # Either class gets its share of the labels passed on, so that the pupil's balance stays.
-            for label, n in ((1, round(per_round * share)), (0, max(1, round(per_round * (1 - share))))):
-                sure = likely[teacher] if label else 1 - likely[teacher]
-                other = likely[pupil] if label else 1 - likely[pupil]
-                open_ = np.flatnonzero(free & (sure >= SURE) & (other > 1 - SURE))
-                best = open_[np.argsort(-sure[open_], kind="stable")[:n]]
-                own[pupil][best] = label
-    odds = {v: models[v].log_odds(rows[v])[held] for v in rows}
-    truth = labels[held]
+    # Either class gets its share of the labels passed on, so that the pupil's balance stays.
+    numbers = {1: round(per_round * share), 0: max(1, round(per_round * (1 - share)))}
+    taken: dict[str, list] = {"text": [], "meta": []}
+    models = {v: Logistic.fit(*own[v]) for v in own}
+    for _ in range(rounds):
+        picked = pool.surest(models, {(t, label): numbers[label] for t in ("text", "meta") for label in (1, 0)}, taken)
+        for (teacher, label), (keys, rows) in picked.items():
+            pupil = "meta" if teacher == "text" else "text"
+            taken[pupil] += keys
+            own[pupil] = (np.concatenate([own[pupil][0], rows]), np.append(own[pupil][1], np.full(len(keys), label)))
+        models = {v: Logistic.fit(*own[v]) for v in own}
+    odds = {"text": models["text"].log_odds(text[calibrate]), "meta": models["meta"].log_odds(meta[calibrate])}
+    truth = labels[calibrate]
     a, b = _calibration(odds["text"][:, None], truth), _calibration(odds["meta"][:, None], truth)
     both = np.c_[a[0] * odds["text"] + a[1], b[0] * odds["meta"] + b[1]]
     return CoTrained(models["text"], models["meta"], (a[0], a[1]), (b[0], b[1]), tuple(_calibration(both, truth)))
@@ -191,10 +253,13 @@ def _drawn(doc_id: str, salt: int) -> Column:
 
 def fit(
     docs: DataFrame, labels: DataFrame, addresses: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-    source: str = "source", lang: str = "lang", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS,
-    per_round: int = PER_ROUND,
+    source: str = "source", lang: str = "lang", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND,
 ) -> CoTrained | None:
-    """Fit on a sample. Labels other than 0 and 1, and ids with several labels, are left out; null texts are empty ones."""
+    """Fit on labelled rows and the whole pool of others.
+
+    Labels other than 0 and 1, and ids with several labels, are left out; their documents are in the pool. Null texts are empty ones, texts of any
+    length are read whole. Repeated rows are rows of their own. Without documents, or without both labels, there is no model.
+    """
     clean = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("lab_id")).agg(
         F.min(label).alias("lab"), F.max(label).alias("lab_max")
     ).filter("lab = lab_max").drop("lab_max")
@@ -206,27 +271,27 @@ def fit(
     marked = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"),
     ).join(F.broadcast(sample), F.col("doc_id") == F.col("lab_id"), "left")
-    taken = marked.filter(F.col("lab").isNotNull() | (_drawn("doc_id", 5) < min(1.0, max_pool / n_docs)))
-    taken = _with_address(taken, addresses)
+    taken = _with_address(marked, addresses)
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [
+    @F.pandas_udf("binary")
+    def features(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series([
                 np.concatenate([text_features(t), meta_features(layout_features(t), s, name, u)]).astype("<f4").tobytes()
-                for t, s, name, u in zip(b["text"], b["source"], b["lang"], b["url"], strict=True)
-            ]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lab": b["lab"].fillna(-1).astype("int64"), "fold": b["fold"], "x": rows})
+                for t, s, name, u in zip(*columns, strict=True)
+            ])
 
     fold = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(4)).cast("int")
-    drawn = taken.withColumn("fold", fold).select("doc_id", "text", "source", "lang", "url", F.col("lab").cast("long"), "fold").mapInPandas(
-        features, "doc_id long, lab long, fold int, x binary"
-    ).orderBy("doc_id", "x").collect()
+    featured = taken.select(
+        "doc_id", F.coalesce(F.col("lab").cast("long"), F.lit(-1)).alias("lab"), fold.alias("fold"), features("text", "source", "lang", "url").alias("x"),
+    )
+    table = written(featured.withColumn("row", F.monotonically_increasing_id()), "features")
+    drawn = table.filter("lab >= 0").orderBy("doc_id", "x").collect()
     if not drawn:
         return None
-    rows = np.array([np.frombuffer(r["x"], "<f4") for r in drawn])
-    found = np.array([r["lab"] for r in drawn])
+    text_rows, meta_rows = _unpacked([r["x"] for r in drawn])
     keep_out = np.array([r["fold"] for r in drawn]) == 0
-    return co_train(rows[:, :TEXT_WIDTH], rows[:, TEXT_WIDTH:], found, keep_out & (found >= 0), rounds, per_round)
+    return co_train(text_rows, meta_rows, np.array([r["lab"] for r in drawn]), keep_out, TablePool(table.filter("lab < 0")), rounds, per_round)
 
 
 def _with_address(df: DataFrame, addresses: DataFrame | None) -> DataFrame:

@@ -147,26 +147,47 @@ def test_co_training_uses_the_pool():
     truth = rng.integers(0, 2, 3000)
     text = rng.normal(truth[:, None] * 2.5, 1, (3000, 6)).astype(np.float32)
     meta = rng.normal(truth[:, None] * 1.5, 1, (3000, 4)).astype(np.float32)
-    labels = np.where(np.arange(3000) < 120, truth, -1)
-    calibrate = np.arange(3000) < 40
-    alone = cotrain.co_train(text, meta, labels, calibrate, rounds=0)
-    model = cotrain.co_train(text, meta, labels, calibrate, rounds=5, per_round=200)
+    calibrate, pool = np.arange(120) < 40, cotrain.ArrayPool(text[120:], meta[120:])
+    alone = cotrain.co_train(text[:120], meta[:120], truth[:120], calibrate, pool, rounds=0)
+    model = cotrain.co_train(text[:120], meta[:120], truth[:120], calibrate, pool, rounds=5, per_round=200)
 
     def accuracy(m, k):
         return ((m.calibrated(m.text.log_odds(text), m.meta.log_odds(meta))[k] >= 0.5) == truth)[120:].mean()
 
     assert accuracy(model, 1) >= accuracy(alone, 1) - 0.005 and accuracy(model, 2) > 0.97
-    assert cotrain.co_train(text, meta, np.full(3000, -1), calibrate) is None
+    assert cotrain.co_train(text[:120], meta[:120], np.ones(120, int), calibrate, pool) is None
+
+
+def test_pool_table_picks_what_a_plain_search_picks(spark):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(0, 1, (400, cotrain.TEXT_WIDTH + cotrain.META_WIDTH)).astype(np.float32)
+    rows[100:110] = rows[99]
+    table = spark.createDataFrame([(i, i, r.astype("<f4").tobytes()) for i, r in enumerate(rows)], "row long, doc_id long, x binary").repartition(3)
+    text, meta = rows[:, : cotrain.TEXT_WIDTH], rows[:, cotrain.TEXT_WIDTH :]
+    truth = (text[:, 0] + meta[:, 0] > 0).astype(int)
+    models = {"text": cotrain.Logistic.fit(text, truth), "meta": cotrain.Logistic.fit(meta, truth)}
+    wanted = {(t, label): n for t in ("text", "meta") for label, n in ((1, 30), (0, 7))}
+    taken = {"text": [3, 5, 8], "meta": list(range(50))}
+    got, want = cotrain.TablePool(table).surest(models, wanted, taken), cotrain.ArrayPool(text, meta).surest(models, wanted, taken)
+    for key in wanted:
+        assert got[key][0] == want[key][0] and len(want[key][0]) > 0
+        assert np.array_equal(got[key][1], want[key][1])
 
 
 def test_co_training_scores(spark, docs, odd, nothing):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     pages = cotrain.page_addresses(spark.createDataFrame([(1, "https://x.org/en/3?p=4"), (2, "https://x.org/a/3"), (3, None), (4, "none")], "page_id long, url string"))
     assert [tuple(r) for r in pages.collect()] == [(3, "https://x.org/a/3")]
-    model = cotrain.fit(docs, labels, pages)
-    rows = cotrain.scores(docs, model, pages).join(labels, "doc_id").collect()
-    assert np.mean([(r["score"] >= 0.5) == (r["quality"] == 1) for r in rows]) > 0.95
-    assert cotrain.scores(odd, model, pages).count() == 11 and cotrain.scores(nothing, model).count() == 0
+    # A third of the labels is never shown to the model.
+    shown = labels.filter("doc_id % 3 <> 0")
+    model = cotrain.fit(docs, shown, pages)
+    rows = cotrain.scores(docs, model, pages).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
+    assert len(rows) > 20 and np.mean([(r["score"] >= 0.5) == (r["quality"] == 1) for r in rows]) > 0.9
+    strange = cotrain.scores(odd, model, pages).collect()
+    assert len(strange) == 11 and all(0 <= r["score"] <= 1 for r in strange) and cotrain.scores(nothing, model).collect() == []
+    # Rows without an id and with odd texts are in the pool.
+    mixed = docs.unionByName(odd.drop("fingerprint"))
+    assert cotrain.fit(mixed, shown, pages, rounds=1) is not None
     assert cotrain.fit(nothing, labels) is None
     assert all(r["score"] is None for r in cotrain.scores(odd, None).collect())
 
@@ -184,25 +205,51 @@ def test_language_model_against_single_windows():
         float(network.log_probability(np.array([padded[i : i + lm.SIDE] + padded[i + lm.SIDE + 1 : i + 2 * lm.SIDE + 1]], np.uint8), text[i : i + 1])[0])
         for i in range(9)
     )
-    n, total, mean = lm.score_classes([np.empty(0, np.uint8), text], network)[1]
-    assert (n, total, mean) == (9, pytest.approx(want, rel=1e-4), pytest.approx(want / 9, rel=1e-4))
+    n, total = lm.score_classes([np.empty(0, np.uint8), text], network)[1]
+    assert (n, total) == (9, pytest.approx(want, rel=1e-4))
 
 
 def test_language_model_learns(spark, odd, nothing):
     rng = np.random.default_rng(6)
-    rows = [(i, " ".join(f"{w} {w}end stop" for w in rng.choice(["red", "blue", "green", "white"], 300))) for i in range(8)]
-    shuffled = [(100 + i, " ".join(rng.permutation(t.split()))) for i, t in rows]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    scorer = lm.train(table, rounds=4)
-    both = lm.with_score(spark.createDataFrame(rows + shuffled, "doc_id long, text string"), scorer).toPandas()
-    mean = pd.Series([x["mean"] for x in both["lm"]]).groupby(both["doc_id"] >= 100).mean()
+    rows = [(i, " ".join(f"{w} {w}end stop" for w in rng.choice(["red", "blue", "green", "white"], 400))) for i in range(200)]
+    shuffled = [(1000 + i, " ".join(rng.permutation(t.split()))) for i, t in rows[:20]]
+    scorer = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    both = lm.with_score(spark.createDataFrame(rows[:20] + shuffled, "doc_id long, text string"), scorer).toPandas()
+    mean = pd.Series([x["mean"] for x in both["lm"]]).groupby(both["doc_id"] >= 1000).mean()
     assert mean[False] > mean[True] + 0.2
-    got = {(r["doc_id"], r["n_tokens"], r["mean"]) for r in lm.corpus_scores(odd).collect() if r["doc_id"] in (2, 3, 4)}
-    assert got == {(2, 0, None), (3, 0, None), (4, 0, None)}
-    assert lm.corpus_scores(nothing).count() == 0
-
-
-def test_frequent_words_are_exact(docs, texts):
+    found = lm.corpus_scores(odd).collect()
+    assert len(found) == 11 and {(r["doc_id"], r["n_tokens"], r["mean"]) for r in found if r["doc_id"] in (2, 3, 4)} == {(2, 0, None), (3, 0, None), (4, 0, None)}
+    assert lm.corpus_scores(nothing).collect() == []
+
+
+def test_scores_tell_words_from_letters(spark, docs, texts):
+    """Real texts against random letters in words of the same lengths, and every score against plain counts."""
+    rng = np.random.default_rng(9)
+    scorer = lm.train(docs)
+    plain = [(i, t) for i, t in sorted(texts.items()) if t and 50 <= len(t.split()) <= 2000 and t.isascii()][:40]
+    noise = [(10_000 + i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), len(w))) for w in t.split())) for i, t in plain]
+    rows = {r["doc_id"]: r["lm"] for r in lm.with_score(spark.createDataFrame(plain + noise, "doc_id long, text string"), scorer).collect()}
+    assert np.mean([rows[i]["mean"] > rows[10_000 + i]["mean"] + 1 for i, _ in plain]) > 0.9
+    counts = Counter(w for t in texts.values() for w in lm.lm_words(t))
+    listed = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: lm.N_CLASSES - lm.RARE - 1]}
+    assert set(scorer.words) == listed and len(scorer.spelling.cells) >= len(counts)
+    n_cells, cells, sizes = len(scorer.spelling.cells), Counter(), Counter()
+    for w, n in counts.items():
+        if w not in listed:
+            cells[zlib.crc32(w.encode()) % n_cells] += n
+            sizes[min(len(w), lm.RARE)] += n
+    classes = lm.Classes(scorer.words)
+    for i, t in plain[:10] + noise[:10]:
+        words = lm.lm_words(t)
+        want = sum(
+            math.log(cells[zlib.crc32(w.encode()) % n_cells] + 0.5) - math.log(sizes[min(len(w), lm.RARE)] + 0.5 * n_cells) for w in words if w not in listed
+        )
+        own = lm.score_classes([classes.of(words)], scorer.network)[0][1]
+        assert rows[i]["log_probability"] == pytest.approx(own + want, rel=1e-4) and rows[i]["n_tokens"] == len(words)
+
+
+def test_word_counts_are_exact(docs, texts):
     counts = Counter(w for t in texts.values() for w in lm.lm_words(t))
-    want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:50]
-    assert lm.frequent_words(docs, n=50) == want
+    found = lm.word_counts(docs)
+    assert {r["word"]: r["n"] for r in found.collect()} == counts
+    assert lm.frequent_words(found, n=50) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:50]
