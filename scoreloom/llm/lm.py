@@ -6,19 +6,24 @@ name the token's class by two digits, the second given the first. So probabiliti
 softmaxes.
 
 Classes are words: the ``N_CLASSES - RARE - 1`` most frequent words of the corpus, counted over all documents, have a class each; the rest
-share ``RARE`` classes by length, and the last class pads the ends. Training is data-parallel over all windows of all documents: in each round every
-task takes the shared parameters, runs over its documents once, and gives its parameters; they are averaged, weighted by tokens, by an
-aggregate. What comes to the driver is the word list and one set of parameters, both of fixed size.
+share ``RARE`` classes by length, and the last class pads the ends. A word that shares its class has a probability of its own inside it, its count
+in the corpus over that of the class: all words are counted, in hashed cells whose number grows with the distinct words, up to ``2 ** MOST_BITS``.
+
+Training is data-parallel over all windows of all documents, dealt by a hash into splits of about ``SPLIT_TOKENS``: in each round every task takes the
+shared parameters, runs over its split once, and gives its parameters; they are averaged, weighted by tokens, by an aggregate, and the next
+round goes on from the average. What comes to the driver is the word list, the cells and one set of parameters, all of bounded size.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +33,10 @@ from scoreloom.llm.common import free_name, written
 DIGIT = 16
 N_CLASSES, RARE = DIGIT * DIGIT, 24
 SIDE, WIDTH = 2, 16
-BATCH, ROUNDS, RATE = 4096, 1, 0.5
+BATCH, ROUNDS, RATE = 4096, 2, 0.5
+SPLIT_TOKENS = 2_000_000
+#: Cells of the words without a class of their own: at least, and at most (64 MB), as powers of two.
+LEAST_BITS, MOST_BITS = 12, 24
 SEED = 8
 #: Distinct words a task counts before it passes its counts on.
 COUNTERS = 300_000
@@ -165,8 +173,8 @@ def _blocks(texts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def frequent_words(df: DataFrame, text: str = "text", n: int = N_CLASSES - RARE - 1) -> list[tuple[str, int]]:
-    """The ``n`` most frequent words of all documents with their counts, ties by word; counts are exact."""
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``word, n``: every word of all documents with its exact count."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -180,34 +188,83 @@ def frequent_words(df: DataFrame, text: str = "text", n: int = N_CLASSES - RARE
             yield pd.DataFrame(counts.items(), columns=["word", "n"])
 
     rows = df.select(F.col(text).alias("text")).mapInPandas(counted, "word string, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
-    return [(r["word"], r["n"]) for r in top.collect()]
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, n: int = N_CLASSES - RARE - 1) -> list[tuple[str, int]]:
+    """The ``n`` most frequent words with their counts, ties by word."""
+    return [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(n).collect()]
+
+
+def _cell(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+@dataclass
+class Spelling:
+    """Log-counts of the words without a class of their own, by hashed cell, and the log-totals of the rare classes."""
+
+    cells: np.ndarray
+    totals: np.ndarray
+
+    def log_probability(self, words: list[str], classes: np.ndarray) -> float:
+        """Sum over the words without a class of their own of their log-share in their class."""
+        at = np.flatnonzero(classes >= PAD - RARE)
+        hashed = np.fromiter(map(_cell, map(words.__getitem__, at.tolist())), np.int64, len(at)) & (len(self.cells) - 1)
+        return float((self.cells[hashed] - self.totals[classes[at] - (PAD - RARE)]).sum(dtype=np.float64))
+
+
+def spelling(counts: DataFrame, words: list[str]) -> Spelling:
+    """Counts of all words but ``words`` in cells: one for about every distinct word, up to ``2 ** MOST_BITS``; half a word is added to each."""
+    rest = counts.filter(~F.col("word").isin(words)) if words else counts
+    distinct = counts.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, distinct.bit_length()))
+    cells = np.full(1 << bits, 0.5)
+    hashed = rest.groupBy(F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit((1 << bits) - 1)).alias("cell")).agg(F.sum("n").alias("n"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [pa.array([np.asarray(batch.column(i)).astype("<i8").tobytes()], pa.binary()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["cell", "n"])
+
+    for row in hashed.mapInArrow(packed, "cell binary, n binary").toLocalIterator():
+        cells[np.frombuffer(row["cell"], "<i8")] += np.frombuffer(row["n"], "<i8")
+    totals = np.full(RARE, 0.5 * len(cells))
+    for row in rest.groupBy(F.least(F.char_length("word"), F.lit(RARE)).alias("size")).agg(F.sum("n").alias("n")).collect():
+        totals[row["size"] - 1] += row["n"]
+    return Spelling(np.log(cells).astype(np.float32), np.log(totals))
 
 
 @dataclass
 class Scorer:
     words: list[str]
+    spelling: Spelling
     network: Network
 
 
-def encoded(df: DataFrame, words: list[str], text: str = "text", name: str = "classes") -> DataFrame:
-    """``df`` with a text's classes, one byte per word, in place of the text."""
-    shared = df.sparkSession.sparkContext.broadcast(words)
+def encoded(df: DataFrame, words: list[str], spelled: Spelling, text: str = "text", name: str = "coded") -> DataFrame:
+    """``df`` with ``struct<classes, spelled>`` in place of the text: a class per word, one byte each, and the log-shares inside the rare classes."""
+    shared = df.sparkSession.sparkContext.broadcast((words, spelled))
 
-    @F.pandas_udf("binary")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        classes = Classes(shared.value)
+    @F.pandas_udf("struct<classes: binary, spelled: double>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        classes, table = Classes(shared.value[0]), shared.value[1]
         for texts in batches:
-            yield pd.Series([classes.of(lm_words(x)).tobytes() for x in texts])
+            split = (lm_words(x) for x in texts)
+            rows = [(found.tobytes(), table.log_probability(own, found)) for own in split for found in (classes.of(own),)]
+            yield pd.DataFrame(rows, columns=["classes", "spelled"])
 
     return df.withColumn(name, of(F.col(text))).drop(text)
 
 
-def fit(classes: DataFrame, start: Network, name: str = "classes", rounds: int = ROUNDS, rate: float = RATE) -> Network:
-    """Train on all windows of all encoded documents. An empty table gives ``start``."""
+def fit(coded: DataFrame, start: Network, n_tokens: int, rounds: int = ROUNDS, rate: float = RATE) -> Network:
+    """Train on all windows of the ``coded`` documents, in splits that follow from the rows alone. An empty table gives ``start``."""
     network = start
+    key = F.xxhash64(*[c for c in coded.columns if c != "coded"], "coded.classes")
+    n_splits = max(1, -(-n_tokens // SPLIT_TOKENS))
+    dealt = coded.select(key.alias("k"), F.col("coded.classes").alias("c")).repartition(n_splits, "k").sortWithinPartitions("k")
     for r in range(rounds):
-        shared = classes.sparkSession.sparkContext.broadcast(network)
+        shared = coded.sparkSession.sparkContext.broadcast(network)
 
         def fitted(batches: Iterator[pd.DataFrame], shared=shared, step=rate / (1 + r)) -> Iterator[pd.DataFrame]:
             own, seen = shared.value.copy(), 0
@@ -222,7 +279,7 @@ def fit(classes: DataFrame, start: Network, name: str = "classes", rounds: int =
                 at = range(0, len(values), 256)
                 yield pd.DataFrame({"i": [*at], "weight": float(seen), "x": [values[k : k + 256] for k in at]})
 
-        parts = classes.select(F.col(name).alias("c")).mapInPandas(fitted, "i long, weight double, x array<double>")
+        parts = dealt.select("c").mapInPandas(fitted, "i long, weight double, x array<double>")
         cells = parts.select("i", "weight", F.posexplode("x").alias("k", "v"))
         sums = cells.groupBy("i", "k").agg((F.sum("v") / F.sum("weight")).cast("float").alias("v"))
         got = sums.orderBy("i", "k").collect()
@@ -237,18 +294,23 @@ def train(df: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float =
 
 
 def _trained(df: DataFrame, rounds: int, rate: float, seed: int) -> tuple[Scorer, DataFrame]:
-    listed = frequent_words(df)
+    counts = written(word_counts(df), "words")
+    listed = frequent_words(counts)
     words = [w for w, _ in listed]
     frequency = np.zeros(N_CLASSES)
     frequency[: len(listed)] = [n for _, n in listed]
-    classes = written(encoded(df, words), "classes")
-    return Scorer(words, fit(classes, Network.fresh(frequency, seed), rounds=rounds, rate=rate)), classes
+    spelled = spelling(counts, words)
+    frequency[PAD - RARE : PAD] = np.exp(spelled.totals) - 0.5 * len(spelled.cells)
+    coded = written(encoded(df, words, spelled), "coded")
+    network = fit(coded, Network.fresh(frequency, seed), counts.agg(F.sum("n")).first()[0] or 0, rounds, rate)
+    return Scorer(words, spelled, network), coded
 
 
 SCORE = "struct<n_tokens: long, log_probability: double, mean: double>"
 
 
-def score_classes(texts: Iterator[np.ndarray], network: Network) -> list[tuple[int, float, float | None]]:
+def score_classes(texts: Iterator[np.ndarray], network: Network) -> list[tuple[int, float]]:
+    """Tokens of every text, and the sum of the log-probabilities of their classes."""
     out = []
     for block in _blocks(texts):
         context, target, owner = windows(block)
@@ -256,31 +318,33 @@ def score_classes(texts: Iterator[np.ndarray], network: Network) -> list[tuple[i
         for at in range(0, len(target), BATCH):
             logs[at : at + BATCH] = network.log_probability(context[at : at + BATCH], target[at : at + BATCH])
         sums = np.bincount(owner, weights=logs, minlength=len(block))
-        out += [(len(t), float(s), float(s) / len(t) if len(t) else None) for t, s in zip(block, sums, strict=True)]
+        out += [(len(t), float(s)) for t, s in zip(block, sums, strict=True)]
     return out
 
 
-def pseudo_likelihood(spark, network: Network, classes: Column) -> Column:
+def pseudo_likelihood(spark, network: Network, coded: str) -> Column:
     """``struct<n_tokens, log_probability, mean>`` of a column of encoded texts."""
     shared = spark.sparkContext.broadcast(network)
 
     @F.pandas_udf(SCORE)
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            found = score_classes((np.frombuffer(x, np.uint8) for x in texts), shared.value)
-            yield pd.DataFrame(found, columns=["n_tokens", "log_probability", "mean"])
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for classes, spelled in batches:
+            found = score_classes((np.frombuffer(x, np.uint8) for x in classes), shared.value)
+            rows = [(n, s + own, (s + own) / n if n else None) for (n, s), own in zip(found, spelled, strict=True)]
+            yield pd.DataFrame(rows, columns=["n_tokens", "log_probability", "mean"])
 
-    return scored(classes)
+    return scored(F.col(f"{coded}.classes"), F.col(f"{coded}.spelled"))
 
 
 def with_score(df: DataFrame, scorer: Scorer, text: str = "text", name: str = "lm") -> DataFrame:
     """``df`` with ``struct<n_tokens, log_probability, mean>``: the sum over all tokens, and per token.
 
-    Null and empty texts have no tokens, sum 0 and a null mean. Equal texts have equal scores.
+    Null and empty texts have no tokens, sum 0 and a null mean. Texts of any length are scored whole. Equal texts have equal scores, repeated rows
+    too; a word the corpus does not have counts as half a word. An empty table gives no rows. A column called ``name`` is replaced.
     """
-    body, classes = free_name(df, "__text"), free_name(df, "__classes")
-    coded = encoded(df.withColumn(body, F.col(text)), scorer.words, body, classes)
-    return coded.withColumn(name, pseudo_likelihood(df.sparkSession, scorer.network, F.col(classes))).drop(classes)
+    body, coded = free_name([*df.columns, name], "text"), free_name([*df.columns, name], "coded")
+    rows = encoded(df.withColumn(body, F.col(text)), scorer.words, scorer.spelling, body, coded)
+    return rows.withColumn(name, pseudo_likelihood(df.sparkSession, scorer.network, coded)).drop(coded)
 
 
 def corpus_scores(
@@ -291,5 +355,5 @@ def corpus_scores(
     Null and empty texts as in ``with_score``; repeated rows are trained on and scored as often as they occur; no rows give no rows.
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    scorer, classes = _trained(rows, rounds, rate, seed)
-    return classes.select("doc_id", pseudo_likelihood(df.sparkSession, scorer.network, F.col("classes")).alias("lm")).select("doc_id", "lm.*")
+    scorer, coded = _trained(rows, rounds, rate, seed)
+    return coded.select("doc_id", pseudo_likelihood(df.sparkSession, scorer.network, "coded").alias("lm")).select("doc_id", "lm.*")

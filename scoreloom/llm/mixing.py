@@ -187,19 +187,20 @@ def copies(
 
 
 def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it. Extra columns are carried through."""
+    """The rows of ``df``, each as often as the mix takes it. Extra columns of any name are carried through; an empty table stays empty."""
     decided = copies(df, doc_id, text, source, **how)
-    per_key = decided.groupBy("doc_id", "key", "source").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    times, rows = free_name(df, "__copies"), free_name(df, "__rows")
+    per_key = decided.groupBy("doc_id", "key", "source").agg(F.sum("copies").alias(times), F.count(F.lit(1)).alias(rows))
     stem, rank = free_name(df, "__key"), free_name(df, "__rank")
     keyed, names = with_keys(df, stem, [F.col(doc_id).cast("long"), text_key(F.col(text)), F.col(source).cast("string")])
     shares, _ = with_keys(per_key, stem, [F.col("doc_id"), F.col("key"), F.col("source")])
-    joined = keyed.join(shares.select(*names, "__copies", "__rows"), names)
+    joined = keyed.join(shares.select(*names, times, rows), names)
     # Repeated rows share their copies out: the first rows of a key get one more where they do not divide evenly.
     nth = Window.partitionBy(*names).orderBy(names[0])
     shared = joined.withColumn(rank, F.row_number().over(nth))
-    own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col(rank) <= F.col("__copies") % F.col("__rows")).cast("long")
-    times = F.when(own > 0, F.array_repeat(F.lit(0), own.cast("int")))
-    return shared.withColumn(rank, F.explode(times)).select(*df.columns)
+    own = F.floor(F.col(times) / F.col(rows)) + (F.col(rank) <= F.col(times) % F.col(rows)).cast("long")
+    repeats = F.when(own > 0, F.array_repeat(F.lit(0), own.cast("int")))
+    return shared.withColumn(rank, F.explode(repeats)).select(*df.columns)
 
 
 def mix_report(decided: DataFrame) -> DataFrame:
