@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import text as tx
 from scoreloom.functions.hashing import hash_unit, poisson_count, stable_hash
-from scoreloom.operators.groups import lookup_by_group, ranked, scalar_row
+from scoreloom.operators.groups import lookup_by_group, ranked, scalar_row, value_buckets
 from scoreloom.operators.joins import pos_bucket
 from scoreloom.operators.metrics import register_metric
 
@@ -233,10 +233,12 @@ def bootstrap_stderr(
     Every row gets a Poisson(1) count per replicate from a hash, which is the bootstrap for large tables without moving rows;
     ``statistic`` maps the count column to an aggregate.
     """
-    count = poisson_count(hash_unit(stable_hash(id_col, "__rep", seed=seed)))
-    reps = df.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("__w", count)
-    per = reps.groupBy(*keys, "__rep").agg(statistic(F.col("__w")).alias("__s"))
-    return per.groupBy(*keys).agg(F.stddev_samp("__s").alias("stderr"))
+    names = [f"__s{r}" for r in range(1, replicates + 1)]
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: poisson_count(hash_unit(stable_hash(F.col(id_col), r, seed=seed))))
+    # All replicates are aggregates of one pass: a task gives one row per key, whatever their number.
+    each = [statistic(F.get("__counts", F.lit(r))).alias(name) for r, name in enumerate(names)]
+    per = df.withColumn("__counts", drawn).groupBy(*keys).agg(*each)
+    return per.select(*keys, F.explode(F.array(*names)).alias("__s")).groupBy(*keys).agg(F.stddev_samp("__s").alias("stderr"))
 
 
 def pooled_stderr(subtasks: DataFrame, se: str = "stderr", size: str = "size", keys: Sequence[str] = ()) -> DataFrame:
@@ -322,11 +324,22 @@ def parse_step_log(lines: DataFrame, metric: str, share: str, extra: dict[str, s
     return rows.groupBy("step").agg(F.max_by(F.struct(*names), "__at").alias("r")).select("step", "r.*")
 
 
-def detrend(steps: DataFrame, window: int = 15, step: str = "step", value: str = "metric") -> DataFrame:
-    """Value minus its centred rolling median (G32); one row per step, so the ordered window runs over the step table."""
+def detrend(steps: DataFrame, window: int = 15, step: str = "step", value: str = "metric", block: int = 65536) -> DataFrame:
+    """Value minus its centred rolling median.
+
+    Rows are numbered in order and cut into blocks; a row near the edge of a block also goes to its neighbour, so a block sees the
+    ``window // 2`` rows on either side of it and no task sees more than a block and its edges.
+    """
     half = window // 2
-    w = Window.orderBy(step).rowsBetween(-half, half)
-    return steps.withColumn("detrended", F.col(value) - F.percentile(F.col(value), F.lit(0.5)).over(w))
+    if not half < block:
+        raise ValueError("the window must be shorter than a block")
+    place = F.col("__i") - 1
+    at = lambda shift: F.floor((place + shift) / block).cast("bigint")
+    rows = ranked(steps, [], [F.col(step)], value_buckets(F.col(step)), "__i").withColumn("__own", at(0))
+    near = rows.withColumn("__block", F.explode(F.array_distinct(F.array(at(-half), at(0), at(half)))))
+    w = Window.partitionBy("__block").orderBy("__i").rowsBetween(-half, half)
+    out = near.withColumn("detrended", F.col(value) - F.percentile(F.col(value), F.lit(0.5)).over(w))
+    return out.filter(F.col("__block") == F.col("__own")).drop("__i", "__own", "__block")
 
 
 def composition_regression(

@@ -15,6 +15,7 @@ from scoreloom.operators.groups import (
     scalar_row,
     value_buckets,
 )
+from scoreloom.operators.intervals import join_split
 from scoreloom.session import scratch_path
 
 POS_BLOCK = 65536
@@ -265,33 +266,50 @@ def box_iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(inter, va + vb - inter), F.lit(0.0))
 
 
+#: Gold boxes of a grid cell from which on the cell is cut along the next axis.
+CELL_BOXES = 256
+
+
 def box_edges(
-    pred: DataFrame, gold: DataFrame, keys: Sequence[str], pos: str = "pos", box: str = "bbox", threshold: float = 0.25
+    pred: DataFrame, gold: DataFrame, keys: Sequence[str], pos: str = "pos", box: str = "bbox", threshold: float = 0.25, cell_boxes: int = CELL_BOXES,
 ) -> DataFrame:
-    """Prediction-gold pairs whose overlap exceeds ``threshold``, found through a size-aware grid along x.
+    """Prediction-gold pairs whose overlap exceeds ``threshold``, found through a size-aware grid.
 
-    An overlap above t needs x extents within a factor 1/t and centres closer than the larger extent, so gold boxes are
-    filed under (size class, cell) and a prediction visits only the cells that can hold a match.
+    The overlap of two boxes is at most that of their extents on any axis. An overlap above t so needs extents within a factor 1/t and centres
+    closer than (1 - t) / (1 + t) of the mean extent. Gold boxes are filed under (size class, cell) of x, and a prediction visits the cells that can
+    hold a match. Cells with more than ``cell_boxes`` gold boxes, and only those, are cut the same way along y, and what is still crowded along z; boxes
+    that crowd a cell on all three axes are alike. Boxes without volume match nothing.
     """
     reach = 0
     while 0.5**reach > threshold:
         reach += 1
-    x, size = F.get(box, F.lit(0)), F.get(box, F.lit(3))
-    level = F.floor(F.log2(size)).cast("int")
-    g = gold.filter(size > 0).select(
-        *keys, F.col(pos).alias("g"), F.col(box).alias("gbox"), level.alias("lv"),
-        F.floor(x / F.pow(F.lit(2.0), level)).cast("bigint").alias("cell"),
-    )
-    p = pred.filter(size > 0).select(*keys, F.col(pos).alias("p"), F.col(box).alias("pbox"), x.alias("x"), size.alias("w"), level.alias("plv"))
-    p = p.withColumn("lv", F.explode(F.sequence(F.col("plv") - reach, F.col("plv") + reach)))
-    unit = F.pow(F.lit(2.0), F.col("lv"))
-    radius = F.greatest(F.col("w"), unit * 2)
-    cells = F.sequence(
-        F.floor((F.col("x") - radius) / unit).cast("bigint"), F.floor((F.col("x") + radius) / unit).cast("bigint")
-    )
-    p = p.withColumn("cell", F.explode(cells))
-    pairs = p.join(g, [*keys, "lv", "cell"]).withColumn("iou", box_iou(F.col("pbox"), F.col("gbox")))
-    return pairs.filter(F.col("iou") > threshold).select(*keys, "p", "g", "iou")
+    # A little more, so that rounding loses no pair.
+    near = (1 - threshold) / (1 + threshold) / 2 + 1e-6
+    solid = lambda df, name: df.filter(
+        (F.get(box, F.lit(3)) > 0) & (F.get(box, F.lit(4)) > 0) & (F.get(box, F.lit(5)) > 0)
+    ).select(*keys, F.col(pos).alias(name), F.col(box).alias(f"{name}box"))
+    golds, preds, cells, out = solid(gold, "g"), solid(pred, "p"), list(keys), None
+    for axis in range(3):
+        lv, cell = f"__lv{axis}", f"__cell{axis}"
+        level = lambda c, axis=axis: F.floor(F.log2(F.get(c, F.lit(axis + 3)))).cast("int")
+        golds = golds.withColumn(lv, level("gbox"))
+        golds = golds.withColumn(cell, F.floor(F.get("gbox", F.lit(axis)) / F.pow(F.lit(2.0), F.col(lv))).cast("bigint"))
+        middle, extent = F.get("pbox", F.lit(axis)), F.get("pbox", F.lit(axis + 3))
+        preds = preds.withColumn(lv, F.explode(F.sequence(level("pbox") - reach, level("pbox") + reach)))
+        unit = F.pow(F.lit(2.0), F.col(lv))
+        radius = (extent + 2 * unit) * near
+        preds = preds.withColumn(cell, F.explode(F.sequence(F.floor((middle - radius) / unit).cast("bigint"), F.floor((middle + radius) / unit).cast("bigint"))))
+        cells += [lv, cell]
+        if axis == 2:
+            now = join_split(preds, golds, cells)
+        else:
+            # The list of crowded cells has at most one entry for every `cell_boxes` gold boxes.
+            crowd = golds.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > cell_boxes).drop("__n")
+            now = preds.join(golds.join(F.broadcast(crowd), cells, "left_anti"), cells)
+            golds, preds = golds.join(F.broadcast(crowd), cells, "left_semi"), preds.join(F.broadcast(crowd), cells, "left_semi")
+        found = now.select(*keys, "p", "g", box_iou(F.col("pbox"), F.col("gbox")).alias("iou")).filter(F.col("iou") > threshold)
+        out = found if out is None else out.union(found)
+    return out
 
 
 def match_boxes(

@@ -222,8 +222,7 @@ def bootstrap_draws(
     df: DataFrame, keys: Sequence[str], pos: str, size: Column, draws: int, seed: int = 42
 ) -> DataFrame:
     """``draws`` samples with replacement of ``size`` rows per group, as rows (keys, draw, slot, drawn row)."""
-    spread = {"__pb": F.floor(F.col(pos) / 65536)}
-    rows = ranked(df, keys, [F.col(pos)], spread, "__rank")
+    rows = ranked(df, keys, [F.col(pos)], value_buckets(F.col(pos), "__pb"), "__rank")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     plan = (
         sizes.withColumn("__size", size)

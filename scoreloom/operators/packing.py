@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -120,14 +123,61 @@ def _snake(rank: Column, k: Column) -> Column:
     return F.when(turn % 2 == 0, seat).otherwise(k - 1 - seat).cast("bigint")
 
 
+def greedy_shares(loads: Sequence[int], counts: Sequence[int], k: int, equal_size: bool = False) -> list[list[int]]:
+    """How many items of each load go to each of ``k`` groups when items, largest first, each go to the group with the least load (ties: the first).
+
+    Equal items are dealt at once: below a common level every group is filled up in one step, and only what is left, less than an item a
+    group, is dealt one by one. ``equal_size``: a group with fewer items comes first, so sizes differ by at most one.
+    """
+    bias = sum(w * c for w, c in zip(loads, counts, strict=True)) + 1 if equal_size else 0
+    sums, out = [0] * k, []
+    for load, count in sorted(zip(loads, counts, strict=True), reverse=True):
+        weight, share, left = load + bias, [0] * k, count
+        if count > k and weight > 0:
+            # The level that the groups would reach if items were divisible; groups above it get none.
+            order, total, level = sorted(sums), 0, None
+            for m, low in enumerate(order, 1):
+                total += low
+                level = (count * weight + total) // m
+                if m == k or level <= order[m]:
+                    break
+            share = [max(0, (level - s) // weight) for s in sums]
+            left -= sum(share)
+        heap = [(s + n * weight, g) for g, (s, n) in enumerate(zip(sums, share, strict=True))]
+        heapq.heapify(heap)
+        for _ in range(left):
+            s, g = heap[0]
+            share[g] += 1
+            heapq.heapreplace(heap, (s + weight, g))
+        sums = [s + n * weight for s, n in zip(sums, share, strict=True)]
+        out.append(share)
+    return out
+
+
 def balance(df: DataFrame, k: int, length: str = "length", pos: str = "pos", equal_size: bool = False) -> DataFrame:
-    """Balanced groups (O3): rows dealt back and forth in order of length, so sizes differ by at most one."""
-    out = _length_rank(df, [], length, pos, "__r")
+    """Balanced groups (O3): rows, largest workload first, go to the group with the least of it.
+
+    The plan is made on the histogram of lengths, one row per distinct length, in one task; rows of a length are then dealt by their position, the
+    first ones to group 0. ``equal_size`` gives every group the same number of rows, an error if they do not divide. A null length counts as 0.
+    """
+    known = F.coalesce(F.col(length), F.lit(0)).cast("bigint")
+    keyed = df.withColumn("__length", known)
+    histogram = keyed.groupBy("__length").agg(F.count(F.lit(1)).alias("__size"), F.first(workload(F.col("__length"))).alias("__load"))
     if equal_size:
         total = scalar_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]
         fits = F.when(total % k == 0, F.lit(True)).otherwise(F.raise_error(F.lit("rows do not divide into equal groups")).cast("boolean"))
-        out = out.filter(fits)
-    return out.withColumn("group", _snake(F.col("__r"), F.lit(k))).drop("__r")
+        histogram = histogram.filter(fits)
+
+    def planned(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__load", ascending=False, kind="stable")
+        shares = greedy_shares(pdf["__load"].tolist(), pdf["__size"].tolist(), k, equal_size)
+        return pd.DataFrame({"__length": pdf["__length"], "__size": pdf["__size"], "__ends": [np.cumsum(x) for x in shares]})
+
+    plan = histogram.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(planned, "__length bigint, __size bigint, __ends array<bigint>")
+    ordered = ranked(keyed, ["__length"], [F.col(pos)], pos_bucket(pos), "__r")
+    placed = lookup_by_group(ordered, plan, ["__length"], "__size", "inner")
+    group = F.size(F.filter("__ends", lambda e: e < F.col("__r"))).cast("bigint")
+    return placed.withColumn("group", group).drop("__length", "__size", "__ends", "__r")
 
 
 def balance_by_uid(df: DataFrame, k: int, uid: str = "uid", length: str = "length", pos: str = "pos") -> DataFrame:

@@ -222,3 +222,16 @@ def _g32(spark, sf):
 @register("g32_composition_regression", "key:s slope:d r2:d mean_share:d")
 def _g32r(spark, sf):
     return cp.composition_regression(_steps(spark, sf), replicates=20)
+
+
+@register("g32_two_share_regression", "key:s slope:d r2:d mean_share:d", f"""
+WITH {_LOG_SQL}, d AS (SELECT step, metric - median(metric) OVER (ORDER BY step ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS y FROM m),
+x AS (SELECT d.step, y, (SELECT max(x) FROM sh WHERE sh.step = d.step) AS c FROM d),
+r AS (SELECT covar_pop(y, c) / var_pop(c) AS b, var_pop(c) AS vc, var_pop(y) AS vy, avg(c) AS mc FROM x)
+-- The two shares add up to one: of all solutions the smallest has opposite slopes, each half of the simple regression's.
+SELECT 'largest' AS key, b / 2 AS slope, b * b * vc / vy AS r2, mc AS mean_share FROM r
+UNION ALL SELECT 'rest', -b / 2, b * b * vc / vy, 1 - mc FROM r""")
+def _g32t(spark, sf):
+    largest = F.array_max(F.transform("shares", lambda e: e["x"]))
+    two = F.array(F.struct(F.lit("largest").alias("key"), largest.alias("x")), F.struct(F.lit("rest").alias("key"), (1 - largest).alias("x")))
+    return cp.composition_regression(_steps(spark, sf).withColumn("shares", two))

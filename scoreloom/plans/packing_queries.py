@@ -42,18 +42,27 @@ def _o2f(spark, sf):
     return pk.budget_chunks_floor(o, 20).select("pos", "chunk")
 
 
-_SNAKE = """
-r AS (SELECT doc_id AS pos, n_chars AS length, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents),
-g AS (SELECT *, CASE WHEN (r // 8) % 2 = 0 THEN r % 8 ELSE 7 - r % 8 END AS "group" FROM r)"""
-
-
-@register("o3_balance", "pos:l bin:l", f"""WITH {_SNAKE} SELECT pos, "group" AS bin FROM g""")
+# Item by item: each goes to the first of eight groups with the least workload; then rows of a length are dealt in order of position.
+_GREEDY = """
+r AS (SELECT doc_id AS pos, n_chars AS length, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i FROM documents),
+f AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS length, CAST(0 AS BIGINT) AS bin, list_transform(range(8), lambda x: CAST(0 AS BIGINT)) AS s
+  UNION ALL
+  SELECT r.i, r.length, list_position(f.s, list_min(f.s)) - 1,
+    list_transform(f.s, lambda x, j: CASE WHEN j = list_position(f.s, list_min(f.s)) THEN x + 24576 * r.length + r.length * r.length ELSE x END)
+  FROM f JOIN r ON r.i = f.i + 1),
+c AS (SELECT length, bin, sum(count(*)) OVER (PARTITION BY length ORDER BY bin) AS upto FROM f WHERE i > 0 GROUP BY length, bin),
+q AS (SELECT pos, length, row_number() OVER (PARTITION BY length ORDER BY pos) AS n FROM r),
+g AS (SELECT q.pos, q.length, min(c.bin) AS bin FROM q JOIN c ON q.length = c.length AND q.n <= c.upto GROUP BY q.pos, q.length)"""
+
+
+@register("o3_balance", "pos:l bin:l", f"""WITH RECURSIVE {_GREEDY} SELECT pos, bin FROM g""")
 def _o3(spark, sf):
     return pk.balance(_docs(spark, sf), 8).withColumnRenamed("group", "bin")
 
 
 @register("o3_imbalance", "min:l max:l minmax_diff:l balanced_min:l balanced_max:l mean:d", f"""
-WITH {_SNAKE}, b AS (SELECT (row_number() OVER (ORDER BY pos) - 1) // ((SELECT count(*) FROM g) // 8) AS blk, length FROM g), bs AS (SELECT sum(length) AS s FROM b GROUP BY blk), gs AS (SELECT sum(length) AS s FROM g GROUP BY "group")
+WITH RECURSIVE {_GREEDY}, b AS (SELECT (row_number() OVER (ORDER BY pos) - 1) // ((SELECT count(*) FROM g) // 8) AS blk, length FROM g), bs AS (SELECT sum(length) AS s FROM b GROUP BY blk), gs AS (SELECT sum(length) AS s FROM g GROUP BY bin)
 SELECT min(bs.s) AS min, max(bs.s) AS max, max(bs.s) - min(bs.s) AS minmax_diff, (SELECT min(s) FROM gs) AS balanced_min, (SELECT max(s) FROM gs) AS balanced_max, sum(bs.s) / 8 AS mean FROM bs""")
 def _o3i(spark, sf):
     return pk.imbalance(pk.balance(_docs(spark, sf), 8), 8)

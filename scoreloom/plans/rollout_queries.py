@@ -183,9 +183,8 @@ def _w10m(spark, sf):
 
 
 @register("w11_is_weights", "vec_id:l t:l is_weight:d", f"""
-WITH {TOKEN_SQL}, w AS (SELECT vec_id, t, m, least(exp(greatest(least(old_lp - roll_lp, 20), -20)) * m, 1.3::DOUBLE) AS w FROM tok),
-f AS (SELECT sum(w * m) / (sum(m) + 1e-8::DOUBLE) AS mean FROM w)
-SELECT vec_id, t, w / mean AS is_weight FROM w, f""")
+WITH {TOKEN_SQL}, w AS (SELECT vec_id, t, m, least(exp(greatest(least(old_lp - roll_lp, 20), -20)) * m, 1.3::DOUBLE) AS w FROM tok)
+SELECT vec_id, t, w / (sum(w * m) OVER () / (sum(m) OVER () + 1e-8::DOUBLE)) AS is_weight FROM w""")
 def _w11(spark, sf):
     df = ro.with_log_ratio(token_series(spark, sf))
     return per_token(ro.is_weights(df, "token", 1.3, normalize=True), "is_weight")

@@ -85,16 +85,30 @@ def _t2(spark, sf):
     return per.select("step", "name", (F.col("s") / F.col("n")).alias("mean"), (F.col("ws") / F.col("w")).alias("weighted_mean"), "min", "max", "last", "n")
 
 
-@register("t3_grow_dataset", "conv_id:l turn:l copy:l text:s", """
-SELECT conv_id, turn, c AS copy, text FROM conversations, range(0, 2) t(c) WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 60""")
+class _Copies:
+    """Two copies of every turn, and the number of turns the conversation has had in its batch."""
+
+    def __init__(self):
+        self.turns = 0
+
+    def eval(self, row):
+        self.turns += 1
+        for copy in (0, 1):
+            yield row["conv_id"], row["turn"], copy, row["text"], self.turns
+
+
+@register("t3_grow_dataset", "conv_id:l turn:l copy:l text:s nth:l", """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations)
+SELECT conv_id, turn, c AS copy, text, nth FROM t, range(0, 2) r(c) WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 60""")
 def _t3(spark, sf):
     c = table(spark, sf, "conversations")
     out = scratch_path(spark, "grown")
-    st.grow(
-        _replayed(spark, c, "conv_id", 3), out, scratch_path(spark, "grown-checkpoint"),
-        lambda b: b.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), pp.token_count(F.col("text")), 60,
-    )
-    return spark.read.parquet(out).select("conv_id", "turn", "copy", "text")
+    # A conversation lies in one file, so in one batch.
+    path = st.replay_files(c, "conv_id", 3, together="conv_id")
+    stream = st.rollout_stream(spark, path, spark.read.parquet(path).schema)
+    generate = st.table_generator(_Copies, "conv_id bigint, turn bigint, copy int, text string, nth int", ["conv_id"], ["turn"])
+    st.grow(stream, out, scratch_path(spark, "grown-checkpoint"), generate, pp.token_count(F.col("text")), 60)
+    return spark.read.parquet(out).select("conv_id", "turn", "copy", "text", "nth")
 
 
 @register("t4_adaptive_kl", "name:s step:l coef:d coef_after:d", f"""

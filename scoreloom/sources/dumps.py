@@ -109,8 +109,8 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dump_rollouts(df: DataFrame, out: str, step: str = "step") -> None:
-    """Rollouts as JSON lines, one folder per step."""
-    df.write.mode("append").partitionBy(step).json(out)
+    """Rollouts as JSON lines, one folder per step (S5). A step that is written again replaces its folder; other steps stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(step).json(out)
 
 
 def dump_samples(df: DataFrame, out: str, tag: str = "failure_reason") -> None:

@@ -104,6 +104,23 @@ def grow(
     query.awaitTermination()
 
 
+def table_generator(handler: type, schema: str, partition_by: list[str] | None = None, order_by: list[str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A generator for :func:`grow` from a table function: ``handler.eval(row)`` yields tuples of ``schema`` for every row.
+
+    With ``partition_by`` the rows of a key go to one handler object, in the order of ``order_by``, and ``handler.terminate()`` may yield more
+    when they end. Without it any task takes any rows.
+    """
+    function = F.udtf(handler, returnType=schema)
+
+    def generate(batch: DataFrame) -> DataFrame:
+        if partition_by is None:
+            return function(batch.asTable())
+        rows = batch.asTable().partitionBy(*partition_by)
+        return function(rows.orderBy(*order_by) if order_by else rows)
+
+    return generate
+
+
 def replay_files(df: DataFrame, order: str, slices: int, label: str = "replay", together: str | None = None) -> str:
     """Write a table as slices in ``order``, one after the other, so that a stream reads them in that order; null keys come first.
 
