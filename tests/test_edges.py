@@ -87,6 +87,8 @@ def test_singletons(spark):
 
 
 def test_registry_rejects_a_second_meaning():
+    import scoreloom.operators.corpus  # noqa: F401
+
     with pytest.raises(ValueError):
         adv.register_estimator("grpo")(lambda df: df)
     with pytest.raises(ValueError):
