@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,15 +22,15 @@ def read_tables(
 ) -> DataFrame:
     """Parquet, JSON array or JSONL files concatenated by column name (S1); any other format is an error.
 
-    Rows carry ``source_no``, the place of their path in the list, and for parquet ``row_no`` inside the file. ``max_rows``
-    keeps the first lines of every JSONL file.
+    Rows carry ``source_no``, the place of their path in the list, and for parquet ``row_no``, counted from 0 through all files of the path in the
+    order of their names. ``max_rows`` keeps the first lines of every JSONL file.
     """
 
     def one(no: int, path: str) -> DataFrame:
         kind = fmt or path.rstrip("/").rsplit(".", 1)[-1]
         reader = spark.read if schema is None else spark.read.schema(schema)
         if kind == "parquet":
-            df = reader.parquet(path).select("*", F.col("_metadata.row_index").alias("row_no"))
+            df = _numbered(reader.parquet(path))
         elif kind == "json":
             documents = JsonDocuments(spark, path)
             # An array is cut into its records, in many tasks. A document that is one object is one row.
@@ -50,6 +50,17 @@ def read_tables(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(i, p) for i, p in enumerate(paths)])
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with ``row_no``: the row's index in its file, shifted by the rows of the files before it (a list with one entry per file)."""
+    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    earlier = Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)
+    files = df.groupBy(path.alias("__path")).agg(F.count(F.lit(1)).alias("__rows"))
+    shifts = files.select("__path", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__shift"))
+    rows = df.select("*", path.alias("__of"), index.alias("row_no"))
+    out = rows.join(F.broadcast(shifts), F.col("__of") == F.col("__path"))
+    return out.select(*df.columns, (F.col("row_no") + F.col("__shift")).alias("row_no"))
+
+
 @dataclass(frozen=True)
 class MixSource:
     """A named dataset: how to read it, its identity column, and the labels its rows get."""
