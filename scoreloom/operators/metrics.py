@@ -221,17 +221,22 @@ def best_at_n(df: DataFrame, source: str = "data_source", uid: str = "uid", vari
 def bootstrap_draws(
     df: DataFrame, keys: Sequence[str], pos: str, size: Column, draws: int, seed: int = 42
 ) -> DataFrame:
-    """``draws`` samples with replacement of ``size`` rows per group, as rows (keys, draw, slot, drawn row)."""
+    """``draws`` samples with replacement of ``size`` rows per group, as rows (keys, draw, slot, drawn row).
+
+    A group becomes ``draws * size`` rows, which Spark's estimates do not see: groups are dealt over all tasks before, and the join with the
+    rows is a sort-merge join, never a broadcast of the draws.
+    """
     rows = ranked(df, keys, [F.col(pos)], value_buckets(F.col(pos), "__pb"), "__rank")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plan = (
-        sizes.withColumn("__size", size)
+        sizes.repartition(parts, *keys, "__n").withColumn("__size", size)
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
         .withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("__size").cast("int"))))
         .withColumn("__rank", F.pmod(hash_int(stable_hash(*keys, "draw", "slot", seed=seed)), F.col("__n")) + 1)
         .drop("__n", "__size")
     )
-    return join_null_safe(plan, rows, [*keys, "__rank"], "inner").drop("__rank")
+    return join_null_safe(plan.hint("merge"), rows, [*keys, "__rank"], "inner").drop("__rank")
 
 
 def bootstrap_best(
