@@ -1,8 +1,9 @@
 """Joins of points with intervals of any length (survey row J11), and a join that splits hot keys of both sides.
 
-An interval is cut into the nodes of an implicit tree over the values between the smallest start and the largest end: whole subtrees that cover
-it exactly, a few per level. A point lies below one node of every level. Both meet on (level, node), so a point is compared with the
-intervals that hold it and with no others, whatever their lengths.
+The values between the smallest start and the largest end are the leaves of an implicit tree. An interval is filed under the nodes it touches on the
+one level whose nodes are as long as itself or shorter, up to ``2 ** BITS`` times: five of them at most. A point lies below one node of each level, and visits only
+levels that some interval uses. Both meet on (level, node), so a point is compared with intervals that hold it or end within their own
+length of it, whatever the lengths of the others.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.operators.groups import ROWS_PER_TASK, join_null_safe, spread_hash
-from scoreloom.session import scratch_path
 
 #: A node has ``2 ** BITS`` children. More bits mean fewer levels for a point and more nodes for an interval.
 BITS = 2
+#: Ranges of key hashes that are counted to find out where a hot key can be.
+RANGES = 65_536
 #: Steps of the tree for fractional values, as a power of two: what a double can tell apart.
 _STEPS = 52
 
@@ -36,13 +38,22 @@ def join_split(left: DataFrame, right: DataFrame, keys: Sequence[str], rows_per_
     """Inner join of two tables that may both have many rows of a key; null keys match nothing.
 
     A key with more than ``rows_per_task`` rows on a side is dealt over a grid: its rows of one side into rows of the grid, those of the other
-    into columns, each repeated along the other direction. The broadcast list has at most rows / ``rows_per_task`` entries.
+    into columns, each repeated along the other direction. The broadcast list has at most rows / ``rows_per_task`` entries. Spark's estimates do
+    not see how often a row was repeated before, so the join is a sort-merge join, never a broadcast of a side.
     """
-    n_left, n_right, s_left, s_right, i, j = free_names([*left.columns, *right.columns], "n_left", "n_right", "s_left", "s_right", "cell_i", "cell_j")
-    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_left)).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_right)), list(keys))
-    hot = F.broadcast(sizes.filter((F.col(n_left) > rows_per_task) | (F.col(n_right) > rows_per_task)).select(
-        *keys, F.ceil(F.col(n_left) / rows_per_task).cast("int").alias(s_left), F.ceil(F.col(n_right) / rows_per_task).cast("int").alias(s_right),
-    ))
+    n, part, s_left, s_right, i, j = free_names([*left.columns, *right.columns], "n", "range", "s_left", "s_right", "cell_i", "cell_j")
+
+    def hot_keys(df: DataFrame) -> DataFrame:
+        # Only hash ranges with so many rows can hold a hot key; keys are counted one by one in those alone.
+        own = df.select(*keys).dropna().withColumn(part, F.pmod(F.xxhash64(*keys), F.lit(RANGES)))
+        busy = own.groupBy(part).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > rows_per_task).select(part)
+        counts = own.join(F.broadcast(busy), part, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+        return counts.filter(F.col(n) > rows_per_task).select(*keys, F.ceil(F.col(n) / rows_per_task).cast("int").alias(n))
+
+    sides = hot_keys(left).select(*keys, F.col(n).alias(s_left), F.lit(1).alias(s_right)).union(
+        hot_keys(right).select(*keys, F.lit(1).alias(s_left), F.col(n).alias(s_right))
+    )
+    hot = F.broadcast(sides.groupBy(*keys).agg(F.max(s_left).alias(s_left), F.max(s_right).alias(s_right)))
 
     def dealt(df: DataFrame, own: str, splits: str, other: str, copies: str) -> DataFrame:
         tagged = join_null_safe(df, hot, keys, "left")
@@ -50,7 +61,7 @@ def join_split(left: DataFrame, right: DataFrame, keys: Sequence[str], rows_per_
         repeat = F.when(F.col(copies).isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col(copies) - 1))
         return tagged.withColumn(own, place).withColumn(other, F.explode(repeat)).drop(s_left, s_right)
 
-    both = dealt(left, i, s_left, j, s_right).join(dealt(right, j, s_right, i, s_left), [*keys, i, j])
+    both = dealt(left, i, s_left, j, s_right).hint("merge").join(dealt(right, j, s_right, i, s_left), [*keys, i, j])
     return both.drop(i, j)
 
 
@@ -90,6 +101,11 @@ def tree_nodes(low: Column, high: Column, levels: int, bits: int = BITS) -> Colu
     return F.concat(*[of(level) for level in range(levels)])
 
 
+def level_of(length: Column, bits: int = BITS) -> Column:
+    """The level whose nodes, ``2 ** (bits * level)`` long, are the longest that are no longer than ``length`` (a whole number, zero included)."""
+    return F.floor((F.length(F.bin(length)) - 1) / bits).cast("int")
+
+
 def interval_join(
     points: DataFrame, intervals: DataFrame, key: Sequence[str], point: str, start: str, end: str, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
@@ -98,11 +114,10 @@ def interval_join(
     Values are numbers or times, of one kind on both sides. Null values, null keys and intervals that end before they start match
     nothing. Ends may be infinite; NaN counts as larger than any number. Repeated rows give repeated pairs.
     """
-    spark = points.sparkSession
     kinds = {dict(points.dtypes)[point], dict(intervals.dtypes)[start], dict(intervals.dtypes)[end]}
     if len({_is_time(k) for k in kinds}) > 1:
         raise ValueError(f"points and intervals are of different kinds: {sorted(kinds)}")
-    level, node, nodes, place_, low_, high_ = free_names([*points.columns, *intervals.columns], "level", "node", "nodes", "place", "low", "high")
+    level, node, place_, low_, high_ = free_names([*points.columns, *intervals.columns], "level", "node", "place", "low", "high")
     value = lambda df, c: _number(F.col(c), dict(df.dtypes)[c])
     whole = all(_is_time(k) or k in ("tinyint", "smallint", "int", "bigint") for k in kinds)
     proper = intervals.filter(F.col(start) <= F.col(end))
@@ -123,19 +138,14 @@ def interval_join(
         factor = F.lit(float(steps)) / F.greatest(F.lit(float(high) - float(low)), F.lit(5e-324))
         share = lambda c: F.floor(F.least(F.greatest((c.cast("double") - float(low)) * factor, F.lit(0.0)), F.lit(float(steps))))
         place = lambda c: F.when(F.isnan(c.cast("double")), F.lit(steps)).otherwise(share(c)).cast("bigint")
-    levels = max(1, -(-steps.bit_length() // BITS))
-    path = scratch_path(spark, "interval-nodes")
-    bounds = proper.withColumn(low_, place(s)).withColumn(high_, place(e))
-    covered = bounds.select(*intervals.columns, F.explode(tree_nodes(F.col(low_), F.col(high_), levels)).alias(nodes))
-    covered.select(*intervals.columns, F.col(f"{nodes}.level").alias(level), F.col(f"{nodes}.node").alias(node)).write.parquet(path)
-    covered = spark.read.parquet(path)
+    at = lambda x, lv: F.call_function("shiftright", x, lv * F.lit(BITS))
+    bounds = proper.withColumn(low_, place(s)).withColumn(high_, place(e)).withColumn(level, level_of(F.col(high_) - F.col(low_)))
+    covered = bounds.withColumn(node, F.explode(F.sequence(at(F.col(low_), F.col(level)), at(F.col(high_), F.col(level))))).drop(low_, high_)
     # At most one number per level comes to the driver.
-    used = sorted(r[0] for r in covered.select(level).distinct().collect())
+    used = sorted(r[0] for r in bounds.select(level).distinct().collect())
     inside = points.filter(value(points, point).between(F.lit(least), F.lit(most))) if used else points.limit(0)
-    above = F.array(*[
-        F.struct(F.lit(n).alias("level"), F.shiftright(F.col(place_), BITS * n).alias("node")) for n in used
-    ]) if used else F.array().cast("array<struct<level:int,node:bigint>>")
-    placed = inside.withColumn(place_, place(value(points, point))).select(*points.columns, F.explode(above).alias(nodes))
-    placed = placed.select(*points.columns, F.col(f"{nodes}.level").alias(level), F.col(f"{nodes}.node").alias(node))
+    levels = F.array(*[F.lit(n) for n in used]) if used else F.array().cast("array<int>")
+    placed = inside.withColumn(place_, place(value(points, point))).withColumn(level, F.explode(levels))
+    placed = placed.withColumn(node, at(F.col(place_), F.col(level))).drop(place_)
     pairs = join_split(placed, covered, [*key, level, node], rows_per_task)
     return pairs.filter(F.col(point).between(F.col(start), F.col(end))).drop(level, node)
