@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Callable, Sequence
@@ -12,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import text as tx
-from scoreloom.functions.hashing import hash_unit, poisson_count, stable_hash
 from scoreloom.operators.groups import lookup_by_group, ranked, scalar_row, value_buckets
 from scoreloom.operators.joins import pos_bucket
 from scoreloom.operators.metrics import register_metric
@@ -225,6 +225,32 @@ def stderr(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg((F.stddev_samp(v) / F.sqrt(F.count(v))).alias("stderr"))
 
 
+def _poisson_draws(replicates: int, seed: int):
+    """Arrow batch function: the Poisson(1) counts of an id for all replicates, those of ``poisson_count(hash_unit(stable_hash(id, replicate)))``.
+
+    The replicates of an id share the state of their common prefix, and all counts of a batch are read off the distribution at once.
+    """
+    totals, mass = [], math.exp(-1)
+    for k in range(1, 19):
+        totals.append((totals[-1] if totals else 0.0) + mass)
+        mass /= k
+    steps, ends = np.array(totals), [str(r).encode() for r in range(1, replicates + 1)]
+
+    @F.pandas_udf("array<int>")
+    def of(ids: pd.Series) -> pd.Series:
+        heads = []
+        for i in ids:
+            prefix = hashlib.md5(f"{seed}/".encode() if i is None else f"{seed}/{i}/".encode(), usedforsecurity=False)
+            for end in ends:
+                one = prefix.copy()
+                one.update(end)
+                heads.append(b"\0\0" + one.digest()[:6])
+        units = np.frombuffer(b"".join(heads), ">u8").astype(np.float64) / float(1 << 48)
+        return pd.Series(list(np.searchsorted(steps, units, side="right").astype(np.int32).reshape(-1, replicates)))
+
+    return of
+
+
 def bootstrap_stderr(
     df: DataFrame, id_col: str, statistic: Callable[[Column], Column], replicates: int = 100, seed: int = 0, keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -234,7 +260,7 @@ def bootstrap_stderr(
     ``statistic`` maps the count column to an aggregate.
     """
     names = [f"__s{r}" for r in range(1, replicates + 1)]
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: poisson_count(hash_unit(stable_hash(F.col(id_col), r, seed=seed))))
+    drawn = _poisson_draws(replicates, seed)(F.col(id_col).cast("string"))
     # All replicates are aggregates of one pass: a task gives one row per key, whatever their number.
     each = [statistic(F.get("__counts", F.lit(r))).alias(name) for r, name in enumerate(names)]
     per = df.withColumn("__counts", drawn).groupBy(*keys).agg(*each)

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from scoreloom.functions.hashing import hash_unit, poisson_count, stable_hash
+from scoreloom.operators import corpus as cp
+from scoreloom.operators import intervals as iv
 from scoreloom.operators import metrics as mt
 from scoreloom.sources import tables
 
@@ -22,3 +25,24 @@ def test_row_numbers_run_through_all_files_of_a_path(spark, tmp_path):
     rows = got.collect()
     assert sorted(r["row_no"] for r in rows) == sorted([*range(100)] * 2)
     assert all(r["row_no"] == r["id"] for r in rows)
+
+
+def test_counts_of_a_bootstrap_are_those_of_the_hashes(spark):
+    df = spark.range(300).select(F.when(F.col("id") > 0, F.col("id")).alias("id"))
+    own = F.array(*[poisson_count(hash_unit(stable_hash("id", F.lit(r), seed=3))) for r in range(1, 6)])
+    rows = df.select(cp._poisson_draws(5, 3)(F.col("id").cast("string")).alias("a"), own.alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and max(max(r["a"]) for r in rows) > 3
+    boot = cp.bootstrap_stderr(df, "id", lambda w: F.sum(w), replicates=5, seed=3)
+    # No draw may be hashed again for each comparison of the distribution.
+    assert boot._jdf.queryExecution().optimizedPlan().toString().count("md5") <= 1
+
+
+def test_intervals_are_filed_under_few_nodes(spark):
+    points = spark.range(1000).withColumnRenamed("id", "at")
+    spans = spark.range(1000).select(F.col("id").alias("span_id"), F.col("id").alias("start"), (F.col("id") + 700).alias("end"))
+    got = iv.interval_join(points, spans, [], "at", "start", "end")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "ExistenceJoin" not in plan
+    assert got.count() == sum(min(i + 700, 999) - i + 1 for i in range(1000))
+    nodes = spark.range(1, 5000).select(iv.level_of(F.col("id")).alias("v"), F.col("id").alias("n"))
+    assert all((1 << 2 * r["v"]) <= r["n"] < (4 << 2 * r["v"]) for r in nodes.collect())
