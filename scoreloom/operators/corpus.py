@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -101,27 +100,64 @@ def document_frequency(grams: DataFrame, id_col: str) -> DataFrame:
     return once.groupBy("k", "gram").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _matches(orders: int, characters: bool):
-    """Arrow batch function: for every order the n-grams of a text, of its references together, and those found in both.
+#: Rows whose n-grams are counted at a time.
+MATCH_ROWS = 256
+
+
+def match_numbers(hyps: Sequence, refs: Sequence, orders: int, characters: bool) -> np.ndarray:
+    """For every row and order the n-grams of the text, of its references together, and those found in both: (rows, 3 * orders).
 
-    A text's count of an n-gram is clipped by the largest count in any one reference. Nothing but these numbers leaves a row.
+    An n-gram is one whole number: its row, then its units, most significant first. Where the bits run out the numbers so far are replaced by their ranks.
     """
+    known: dict[str, int] = {}
+
+    def units(text: str | None) -> np.ndarray:
+        words = (text or "").split()
+        if characters:
+            return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        return np.array([known.setdefault(w, len(known)) for w in words], np.uint64)
+
+    texts = [(row, side, units(t)) for row, (h, rs) in enumerate(zip(hyps, refs, strict=True)) for side, t in enumerate([h, *rs])]
+    rows, sides, sizes = (np.array(x, np.int64) for x in zip(*[(r, s, len(u)) for r, s, u in texts], strict=True))
+    alphabet, unit = np.unique(np.concatenate([u for *_, u in texts]), return_inverse=True)
+    unit, unit_bits = unit.astype(np.uint64), int(len(alphabet)).bit_length()
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(unit))
+    side, at = np.repeat(sides, sizes), np.arange(len(unit))
+    code, bits = np.repeat(rows, sizes).astype(np.uint64), int(len(hyps)).bit_length()
+    # The least number a row's n-grams can have; numbers of later rows are larger.
+    base, out = np.arange(len(hyps) + 1).astype(np.uint64), np.zeros((len(hyps), 3 * orders), np.int64)
+    for k in range(1, orders + 1):
+        fits = left[at] >= k
+        at, code = at[fits], code[fits]
+        if bits + unit_bits > 64:
+            ranks, code = np.unique(code, return_inverse=True)
+            base, code, bits = np.searchsorted(ranks, base).astype(np.uint64), code.astype(np.uint64), int(len(ranks)).bit_length()
+        code = (code << np.uint64(unit_bits)) | unit[at + k - 1]
+        base, bits = base << np.uint64(unit_bits), bits + unit_bits
+        own, counts = np.unique(code[side[at] == 0], return_counts=True)
+        caps = np.zeros(len(own), np.int64)
+        for s in range(1, int(sides.max()) + 1):
+            other, n = np.unique(code[side[at] == s], return_counts=True)
+            if len(other):
+                place = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                np.maximum(caps, np.where(other[place] == own, n[place], 0), out=caps)
+        found = np.append(0, np.cumsum(np.minimum(counts, caps)))
+        ends = np.searchsorted(own, base)
+        grams = np.maximum(sizes - k + 1, 0)
+        out[:, 3 * k - 3] = grams[sides == 0]
+        out[:, 3 * k - 2] = np.bincount(rows[sides > 0], grams[sides > 0], len(hyps))
+        out[:, 3 * k - 1] = found[ends[1:]] - found[ends[:-1]]
+    return out
 
-    def counts(units, k: int) -> Counter:
-        return Counter(tuple(units[i : i + k]) for i in range(len(units) - k + 1))
+
+def _matches(orders: int, characters: bool):
+    """Arrow batch function: :func:`match_numbers` of every row as an array. A text's count of an n-gram is clipped by the largest count in any one
+    reference. Nothing but these numbers leaves a row."""
 
     @F.pandas_udf("array<bigint>")
     def of(hyp: pd.Series, refs: pd.Series) -> pd.Series:
-        out = []
-        for h, rs in zip(hyp, refs):
-            split = (lambda x: "".join((x or "").split())) if characters else (lambda x: (x or "").split())
-            text, others, row = split(h), [split(r) for r in rs], []
-            for k in range(1, orders + 1):
-                own, caps = counts(text, k), [counts(r, k) for r in others]
-                shared = sum(min(c, max((cap[g] for cap in caps), default=0)) for g, c in own.items())
-                row += [sum(own.values()), sum(sum(cap.values()) for cap in caps), shared]
-            out.append(row)
-        return pd.Series(out)
+        parts = [match_numbers(hyp[i : i + MATCH_ROWS], refs[i : i + MATCH_ROWS], orders, characters) for i in range(0, len(hyp), MATCH_ROWS)]
+        return pd.Series([row for part in parts for row in part])
 
     return of
 

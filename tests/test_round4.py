@@ -1,5 +1,9 @@
 """Draws that are not broadcast, row numbers through several files, and other faults of the third review."""
 
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions.hashing import hash_unit, poisson_count, stable_hash
@@ -46,3 +50,19 @@ def test_intervals_are_filed_under_few_nodes(spark):
     assert got.count() == sum(min(i + 700, 999) - i + 1 for i in range(1000))
     nodes = spark.range(1, 5000).select(iv.level_of(F.col("id")).alias("v"), F.col("id").alias("n"))
     assert all((1 << 2 * r["v"]) <= r["n"] < (4 << 2 * r["v"]) for r in nodes.collect())
+
+
+@pytest.mark.parametrize("characters", [True, False])
+def test_matches_of_many_rows_at_once(characters):
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choice(["a", "b", " ", "\n", "\u00e9", "\U0001f600", chr(rng.randint(97, 60000) % 55000 + 97)]) for _ in range(rng.randint(0, 60)))
+    hyps = [rng.choice([None, "", text()]) for _ in range(300)]
+    refs = [[rng.choice([None, h, text(), (h or "")[3:]]) for _ in range(rng.randint(0, 3))] for h in hyps]
+    got = cp.match_numbers(hyps, refs, 6, characters)
+    split = lambda x: list("".join((x or "").split())) if characters else (x or "").split()
+    for h, rs, row in zip(hyps, refs, got.tolist()):
+        for k in range(1, 7):
+            grams = lambda x, k=k: Counter(tuple(split(x)[i : i + k]) for i in range(len(split(x)) - k + 1))
+            own, caps = grams(h), [grams(r) for r in rs]
+            assert row[3 * k - 3] == sum(own.values()) and row[3 * k - 2] == sum(sum(c.values()) for c in caps)
+            assert row[3 * k - 1] == sum(min(n, max((c[g] for c in caps), default=0)) for g, n in own.items())
