@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scoreloom.functions import text as tx
 from scoreloom.operators.groups import lookup_by_group, ranked, scalar_row, value_buckets
@@ -65,15 +67,6 @@ def ngrams(tokens: Column, n: int) -> Column:
         F.array().cast("array<string>"))
 
 
-def _all_grams(tokens: Column, orders: int) -> Column:
-    """Every n-gram up to ``orders`` as (k, gram)."""
-
-    def of_order(k: int) -> Column:
-        return F.transform(ngrams(tokens, k), lambda g: F.struct(F.lit(k).alias("k"), g.alias("gram")))
-
-    return F.concat(*[of_order(k) for k in range(1, orders + 1)])
-
-
 def caption_tokens(df: DataFrame, pred: str, refs: str, iou: str | None = None, min_iou: float = 0.5) -> DataFrame:
     """Predictions and references in the caption form; a prediction is blanked when its box overlaps too little."""
     p = F.col(pred)
@@ -86,18 +79,90 @@ def caption_tokens(df: DataFrame, pred: str, refs: str, iou: str | None = None,
     return df.withColumn("hyp", form(p)).withColumn("ref_list", F.transform(F.col(refs), form))
 
 
-def gram_counts(df: DataFrame, id_col: str, n: int = 4, hyp: str = "hyp", refs: str = "ref_list") -> DataFrame:
-    """n-gram counts per row and text: (id, ref, k, gram, c) with ref -1 for the prediction."""
-    texts = df.select(id_col, F.posexplode(F.concat(F.array(F.col(hyp)), F.col(refs))).alias("p", "t"))
-    texts = texts.select(id_col, (F.col("p") - 1).alias("ref"), tx.words(F.col("t")).alias("w"))
-    flat = texts.select(id_col, "ref", F.explode(_all_grams(F.col("w"), n)).alias("e"))
-    return flat.groupBy(id_col, "ref", F.col("e.k").alias("k"), F.col("e.gram").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+#: Characters of predictions in one task of :func:`_by_id`, and n-grams that are tallied before they leave it.
+TASK_CHARS, TALLY = 1 << 21, 1 << 17
+
+
+def _counted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[object, dict[tuple[int, str], list[int]]]]:
+    """(id, counts of its n-grams per text) of sorted rows (id, texts as words); rows of one id are added up text by text."""
+    grams, last = None, None
+    for batch in batches:
+        for name, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if grams is None or name != last:
+                if grams is not None:
+                    yield last, grams
+                grams, last = {}, name
+            for side, words in enumerate(texts):
+                for k in range(1, n + 1):
+                    for i in range(len(words or ()) - k + 1):
+                        own = grams.setdefault((k, " ".join(words[i : i + k])), [])
+                        if len(own) <= side:
+                            own.extend([0] * (side + 1 - len(own)))
+                        own[side] += 1
+    if grams is not None:
+        yield last, grams
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch], n: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """One row per id and n-gram: its counts in the prediction and in each reference."""
+    names = ["id", "k", "gram", "c"]
+    rows: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [kind, pa.int32(), pa.string(), pa.list_(pa.int64())], strict=True)], names)
+
+    for name, grams in _counted(batches, n):
+        rows.extend((name, k, gram, c) for (k, gram), c in grams.items())
+        if len(rows) >= TALLY:
+            yield made()
+            rows = []
+    if rows:
+        yield made()
+
+
+def _gram_tally(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Number of ids with each n-gram, and with it in a reference, added up over some ids at a time."""
+    tally: dict[tuple[int, str], list[int]] = {}
+
+    def made() -> pa.RecordBatch:
+        columns = [[k for k, _ in tally], [g for _, g in tally], [v[0] for v in tally.values()], [v[1] for v in tally.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["k", "gram", "ids", "df"])
+
+    for _, grams in _counted(batches, n):
+        for key, c in grams.items():
+            own = tally.setdefault(key, [0, 0])
+            own[0] += 1
+            own[1] += any(c[1:])
+        if len(tally) >= TALLY:
+            yield made()
+            tally = {}
+    if tally:
+        yield made()
+
+
+def _by_id(df: DataFrame, id_col: str, hyp: str, refs: str) -> tuple[DataFrame, int]:
+    """Rows (id, texts as words), rows of an id next to each other, in tasks whose size does not grow with the table, and the number of tasks."""
+    texts = F.transform(F.concat(F.array(F.col(hyp)), F.col(refs)), tx.words)
+    chars = df.agg(F.sum(F.length(hyp))).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
+    dealt = df.select(F.col(id_col).alias("id"), hyp, refs).repartition(parts, "id").sortWithinPartitions("id")
+    return dealt.select("id", texts.alias("texts")), parts
+
+
+def text_frequency(df: DataFrame, id_col: str, n: int = 4, hyp: str = "hyp", refs: str = "ref_list") -> DataFrame:
+    """For every n-gram the number of ids that have it (``ids``), and that have it in a reference (``df``).
+
+    Tasks add up n-grams before these leave them; the rest is dealt over as many tasks, so that none holds more of them as the table grows.
+    """
+    rows, parts = _by_id(df, id_col, hyp, refs)
+    tally = rows.mapInArrow(lambda it: _gram_tally(it, n), "k int, gram string, ids long, df long")
+    return tally.repartition(parts, "k", "gram").groupBy("k", "gram").agg(F.sum("ids").alias("ids"), F.sum("df").alias("df"))
 
 
-def document_frequency(grams: DataFrame, id_col: str) -> DataFrame:
-    """Number of rows whose references contain each n-gram."""
-    once = grams.filter(F.col("ref") >= 0).select(id_col, "k", "gram").distinct()
-    return once.groupBy("k", "gram").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(df: DataFrame, id_col: str, n: int = 4, hyp: str = "hyp", refs: str = "ref_list") -> DataFrame:
+    """Number of ids whose references contain each n-gram."""
+    return text_frequency(df, id_col, n, hyp, refs).filter("df > 0").select("k", "gram", "df")
 
 
 #: Rows whose n-grams are counted at a time.
@@ -197,33 +262,42 @@ def corpus_chrf(df: DataFrame, id_col: str, order: int = 6, beta: float = 2.0, h
 
 
 def cider(df: DataFrame, id_col: str, n: int = 4, sigma: float = 6.0, hyp: str = "hyp", refs: str = "ref_list") -> DataFrame:
-    """CIDEr per row (G25): tf-idf weighted n-gram cosine against each reference with a length penalty."""
-    grams = gram_counts(df, id_col, n, hyp, refs)
-    dfreq = document_frequency(grams, id_col)
-    rows = scalar_row(df.agg(F.log(F.count(F.lit(1)).cast("double")).alias("logn")))["logn"]
+    """CIDEr per id (G25): tf-idf weighted n-gram cosine against each reference with a length penalty. Rows of one id count as one text, as often as
+    they are."""
+    rows, parts = _by_id(df, id_col, hyp, refs)
+    kind = df.schema[id_col].dataType
+    arrow = to_arrow_type(kind)
+    grams = rows.mapInArrow(lambda it: _gram_rows(it, n, arrow), f"id {kind.simpleString()}, k int, gram string, c array<long>")
+    logn = scalar_row(df.agg(F.log(F.count(F.lit(1)).cast("double")).alias("logn")))["logn"]
     # A frequent n-gram occurs in many rows: its look-up is split like any hot key.
-    used = grams.groupBy("k", "gram").agg(F.count(F.lit(1)).alias("__size"))
-    side = used.join(dfreq, ["k", "gram"], "left")
-    weighted = lookup_by_group(grams, side, ["k", "gram"], "__size", "left")
-    idf = rows - F.log(F.greatest(F.coalesce(F.col("df"), F.lit(0)), F.lit(1)).cast("double"))
-    weighted = weighted.withColumn("w", F.col("c") * idf).drop("__size", "df")
-    norms = weighted.groupBy(id_col, "ref", "k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    lengths = grams.groupBy(id_col, "ref").agg(F.sum(F.when(F.col("k") == 2, F.col("c")).otherwise(0)).alias("len"))
-    h = weighted.filter("ref = -1").select(id_col, "k", "gram", F.col("w").alias("hw"))
-    r = weighted.filter("ref >= 0").select(id_col, "ref", "k", "gram", F.col("w").alias("rw"))
-    dots = h.join(r, [id_col, "k", "gram"]).groupBy(id_col, "ref", "k").agg(
-        F.sum(F.least("hw", "rw") * F.col("rw")).alias("dot"))
-    hn = norms.filter("ref = -1").select(id_col, "k", F.col("norm").alias("hn"))
-    dots = dots.join(norms.withColumnRenamed("norm", "rn"), [id_col, "ref", "k"]).join(hn, [id_col, "k"])
-    val = F.when((F.col("hn") != 0) & (F.col("rn") != 0), F.col("dot") / (F.col("hn") * F.col("rn"))).otherwise(F.col("dot"))
-    hl = lengths.filter("ref = -1").select(id_col, F.col("len").alias("hl"))
-    dots = dots.join(lengths.withColumnRenamed("len", "rl"), [id_col, "ref"]).join(hl, id_col)
-    delta = (F.col("hl") - F.col("rl")).cast("double")
-    dots = dots.withColumn("s", val * F.exp(-(delta * delta) / F.lit(2 * sigma * sigma)))
-    per = dots.groupBy(id_col).agg(F.sum("s").alias("s"))
-    base = df.select(id_col, F.size(refs).alias("nr"))
-    out = base.join(per, id_col, "left")
-    return out.select(id_col, (F.coalesce("s", F.lit(0.0)) / n / F.col("nr") * 10.0).alias("cider"))
+    side = text_frequency(df, id_col, n, hyp, refs).hint("merge")
+    idf = logn - F.log(F.greatest(F.col("df"), F.lit(1)).cast("double"))
+    weighted = lookup_by_group(grams, side, ["k", "gram"], "ids", "inner").select("id", "k", "c", idf.alias("idf"))
+    # One short row per n-gram and reference goes back to its id.
+    h = F.coalesce(F.get("c", F.lit(0)), F.lit(0))
+    flat = weighted.select("id", "k", (h * F.col("idf")).alias("hw"), "idf", F.posexplode("c").alias("p", "rc"))
+    rw, hw = F.col("rc") * F.col("idf"), F.col("hw")
+    shared = (hw != 0) & (F.col("rc") > 0)
+    per = flat.groupBy("id", "k", "p").agg(
+        F.sum(rw * rw).alias("r2"), F.sum(F.when(shared, F.least(hw, rw) * rw).otherwise(0.0)).alias("dot"),
+        F.sum(F.when(F.col("k") == 2, F.col("rc")).otherwise(0)).alias("len"),
+    )
+    texts = per.groupBy("id").agg(F.collect_list(F.struct("k", "p", "r2", "dot", "len")).alias("l"))
+    hyps = F.filter("l", lambda e: e["p"] == 0)
+    total = lambda xs: F.coalesce(F.array_max(F.transform(xs, lambda e: e["len"])), F.lit(0))
+
+    def score(e: Column) -> Column:
+        hn = F.coalesce(F.get(F.transform(F.filter(hyps, lambda x: x["k"] == e["k"]), lambda x: F.sqrt(x["r2"])), F.lit(0)), F.lit(0.0))
+        rn = F.sqrt(e["r2"])
+        delta = (total(hyps) - total(F.filter("l", lambda x: x["p"] == e["p"]))).cast("double")
+        value = F.when((hn != 0) & (rn != 0), e["dot"] / (hn * rn)).otherwise(e["dot"])
+        return value * F.exp(-(delta * delta) / F.lit(2 * sigma * sigma))
+
+    scores = F.transform(F.filter("l", lambda e: e["p"] > 0), score)
+    out = texts.select("id", F.aggregate(scores, F.lit(0.0), lambda a, x: a + x).alias("s"))
+    base = df.groupBy(F.col(id_col).alias("id")).agg(F.sum(F.lit(1)).alias("times"), F.max(F.size(refs)).alias("nr"))
+    joined = base.join(out.hint("merge"), "id", "left")
+    return joined.select(F.col("id").alias(id_col), (F.coalesce("s", F.lit(0.0)) * F.col("times") / n / F.col("nr") * 10.0).alias("cider"))
 
 
 def rouge_l(hyp: Column, refs: Column, beta: float = 1.2) -> Column:

@@ -62,7 +62,7 @@ def _captions(spark, sf):
 @register("g25_ngram_document_frequency", "k:l gram:s df:l", f"""
 WITH {_CAP_SQL} SELECT k, gram, count(DISTINCT id) AS df FROM gc WHERE ref >= 0 GROUP BY k, gram""")
 def _g25(spark, sf):
-    return cp.document_frequency(cp.gram_counts(_captions(spark, sf), "id"), "id")
+    return cp.document_frequency(_captions(spark, sf), "id")
 
 
 @register("g25_corpus_bleu", "bleu_1:d bleu_2:d bleu_3:d bleu_4:d", f"""

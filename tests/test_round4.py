@@ -66,3 +66,16 @@ def test_matches_of_many_rows_at_once(characters):
             own, caps = grams(h), [grams(r) for r in rs]
             assert row[3 * k - 3] == sum(own.values()) and row[3 * k - 2] == sum(sum(c.values()) for c in caps)
             assert row[3 * k - 1] == sum(min(n, max((c[g] for c in caps), default=0)) for g, n in own.items())
+
+
+def test_document_frequency_in_bounded_tasks_counts_an_id_once(spark, monkeypatch):
+    monkeypatch.setattr(cp, "TASK_CHARS", 40)
+    monkeypatch.setattr(cp, "TALLY", 3)
+    rows = [(1, "a b c", ["a b", "b c"]), (2, "a b", ["a b a b", ""]), (1, "x", ["b c", None]), (3, "q " * 60, ["a"])]
+    df = spark.createDataFrame(rows, "id long, hyp string, ref_list array<string>").repartition(3)
+    assert cp._by_id(df, "id", "hyp", "ref_list")[1] > 4 or spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    got = {(r["k"], r["gram"]): r["df"] for r in cp.document_frequency(df, "id", 2).collect()}
+    assert got == {(1, "a"): 3, (1, "b"): 2, (1, "c"): 1, (2, "a b"): 2, (2, "b c"): 1, (2, "b a"): 1}
+    plan = cp.document_frequency(df, "id", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 0
+    assert sorted(r["id"] for r in cp.cider(df, "id").collect()) == [1, 2, 3]
