@@ -24,6 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingle sets of Jaccard similarity 0.8 or more.
 
+    Candidates come from SimHash components, and from MinHash bands for pairs beyond the radius; each is verified on the sets.
     The one with the smallest id stays, null last, then the smallest text hash; different texts under one id are documents of their own, of
     fully repeated rows one stays. Texts without words are one group.
     """
@@ -53,7 +54,7 @@ STAGES = [
     ("language", language), ("near duplicates", near_duplicates), ("decontamination", decontaminate), ("mix", mix), ("tokens", tokens),
 ]
 
-#: Stages 1, 2, 4 and 5 (k-means, MinHash, random rounding, a tokenizer) cannot be written in SQL; tests use brute force instead.
+#: Stages 1, 2, 4 and 5 (k-means, SimHash and MinHash, random rounding, a tokenizer) cannot be written in SQL; tests use brute force instead.
 ORACLE_SQL = None
 
 

@@ -1,13 +1,14 @@
 """Near duplicates by word-shingle sets: texts whose sets have Jaccard similarity ``least`` or more are linked.
 
-Texts with the same set are one class. Candidates are classes that share a band of MinHash values; a pair of similarity ``s`` shares none with
-probability ``(1 - s**ROWS)**BANDS``, 5 in a million at 0.8 and less above. Every candidate pair is verified on the sets themselves, so no pair
-below ``least`` is linked.
-
-Pairs inside one component need no comparison. Two turns compare the members of a band with one member of its largest component, which settles
-large groups of copies with two pairs per member. What is left, bands with several components, is compared tile against tile: a task takes the
-sets of two tiles, counts all common hashes by one matrix product over those that several sets have, and gives a spanning forest of the links
-it finds, never all pairs.
+Texts with the same set are one class. Candidates are classes in one SimHash component (``simhash.fingerprint_links``: no pair within the radius is
+missed), and, as that radius reaches few pairs near ``least``, classes that share a band of MinHash values; a pair of similarity ``s`` shares none
+with probability ``(1 - s**ROWS)**BANDS``, 5 in a million at 0.8 and less above. Every candidate pair is verified on the sets themselves, so no
+pair below ``least`` is linked.
+
+A component or a band is a group. Pairs inside one component of verified links need no comparison. Two turns compare the members of a group with
+one member of its largest component, which settles large groups of copies with two pairs per member. What is left, groups with several components,
+is compared tile against tile, but for tiles of the largest one: a task takes the sets of two tiles, counts all common hashes by one matrix product
+over those that several sets have, and gives a spanning forest of the links it finds, never all pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.common import text_key, written
 from scoreloom.llm.components import components
-from scoreloom.llm.simhash import SEED, run_hashes
+from scoreloom.llm.simhash import PIECES, RADIUS, SEED, fingerprint_links, majority, run_hashes
 
 #: The rule of the corpus pipeline: words of a shingle, and the least similarity of near copies, as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
@@ -36,7 +37,7 @@ TILE, DENSE, COLUMNS = 1024, 8, 4096
 TEXTS = 256
 
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PRINTS = "doc_id long, text_key long, fingerprint long, n long, bands array<long>"
+_PRINTS = "doc_id long, text_key long, fingerprint long, n long, bands array<long>, simhash long"
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -63,16 +64,28 @@ def bands(runs: np.ndarray) -> list[int]:
 def _prints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
         ids, keys, texts = batch.columns
-        sets = [shingle_set(x, shingle) for x in texts.to_pylist()]
+        sets, bits = [], []
+        for x in texts.to_pylist():
+            hashes = run_hashes(x, shingle, SEED)
+            sets.append(np.unique(hashes))
+            bits.append(majority(hashes))
         yield pa.RecordBatch.from_arrays(
             [
                 ids, keys, pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
+                pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array(bits, pa.int64()),
             ],
-            names=["doc_id", "text_key", "fingerprint", "n", "bands"],
+            names=["doc_id", "text_key", "fingerprint", "n", "bands", "simhash"],
         )
 
 
+def simhash_groups(prints: DataFrame, radius: int = RADIUS, pieces: int = PIECES) -> DataFrame:
+    """``(fingerprint, n, key)``: classes of ``prints(fingerprint, n, simhash)`` by their SimHash component; all within ``radius`` bits share a key."""
+    seen = written(prints.filter("n > 0").select("fingerprint", "n", "simhash").distinct(), "simhash-seen")
+    roots = components(fingerprint_links(seen.select("simhash").distinct(), "simhash", radius, pieces))
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("root", "simhash")).alias("key")
+    return seen.join(roots, F.col("simhash") == F.col("node"), "left").select("fingerprint", "n", key).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The ``pairs(a, b)`` whose sets are similar enough, in whole numbers: common / (n + m - common) >= least."""
     a, b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("fingerprint", "runs")]) for x in "ab")
@@ -98,12 +111,19 @@ def set_links(members: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAS
         links = written(found if links is None else links.union(found), "set-links")
         roots = components(links)
         placed = members.join(roots, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint")).drop("node")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
-    mixed = mixed.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    left = placed.join(mixed, "key").select("key", "fingerprint", "root", "tiles")
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("tiles")).cast("int")
+    # Members of a key's largest component have no pair to compare among themselves: their tiles, the last ones, only meet those of the rest.
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("key").agg(
+        F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size"),
+    ).filter("most < size")
+    mixed = mixed.select(
+        "key", "main", F.ceil((F.col("size") - F.col("most")) / TILE).cast("int").alias("rest"), F.ceil(F.col("most") / TILE).cast("int").alias("mains"),
+    )
+    left = placed.join(mixed, "key")
+    inner, spot = F.col("root") == F.col("main"), F.xxhash64("fingerprint")
+    own = F.when(inner, F.col("rest") + F.pmod(spot, F.col("mains"))).otherwise(F.pmod(spot, F.col("rest"))).cast("int")
     cells = F.transform(
-        F.sequence(F.lit(0), F.col("tiles") - 1),
+        F.sequence(F.lit(0), F.when(inner, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1),
         lambda t: F.struct(F.least(own, t).alias("ti"), F.greatest(own, t).alias("tj"), (own > t).cast("int").alias("side")),
     )
     dealt = left.select("key", "fingerprint", "root", F.inline(cells)).join(sets, "fingerprint")
@@ -194,6 +214,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     )
     # One row of a class: its bands, once for each text of it.
     members = prints.join(classes.select("fingerprint", "text_key"), ["fingerprint", "text_key"]).select("fingerprint", "n", F.explode("bands").alias("key")).distinct()
+    members = members.union(simhash_groups(prints))
     shared = members.groupBy("key").agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high")).filter("low <> high").select("key")
     members = written(members.join(shared, "key"), "set-members")
     wanted = classes.join(members.select("fingerprint").distinct(), "fingerprint").select(F.col("text_key").alias("__key"))

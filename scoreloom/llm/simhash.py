@@ -53,7 +53,11 @@ def run_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Signed 64-bit SimHash of one text; zero for a text without words."""
-    values = run_hashes(text, shingle, seed)
+    return majority(run_hashes(text, shingle, seed))
+
+
+def majority(values: np.ndarray) -> int:
+    """Signed 64-bit SimHash of run hashes, repeats included: the bits that more than half of them have."""
     if not len(values):
         return 0
     ones = np.zeros(64, np.int64)
