@@ -160,6 +160,7 @@ def resample_weights(df: DataFrame, how: str = "pow", power: float = 2.0, score:
 
 
 BIN_RUN = 10_000
+UNITS = 10**12
 
 
 def resample_weighted(df: DataFrame, pos: str, weight: str = "weight", seed: int = 0) -> DataFrame:
@@ -169,9 +170,10 @@ def resample_weighted(df: DataFrame, pos: str, weight: str = "weight", seed: int
     average; bins crowded by many light rows are cut into finer ones. Running weights are decimals with twelve places, so that one row's end
     is exactly the next row's start and every draw meets one row. Output: ``draw`` and the drawn row.
     """
-    exact = F.col(weight).cast("decimal(26,12)")
-    cum = running_sum(df, [], [F.col(pos)], exact, pos_bucket(pos), "__hi").withColumn("__lo", (F.col("__hi") - exact).cast("double"))
-    cum = cum.withColumn("__hi", F.col("__hi").cast("double"))
+    # Whole numbers of units: sums of decimals with a fraction lose places as their type grows.
+    exact = (F.col(weight).cast("decimal(26,12)") * F.lit(UNITS)).cast("decimal(26,0)")
+    cum = running_sum(df, [], [F.col(pos)], exact, pos_bucket(pos), "__hi").withColumn("__lo", (F.col("__hi") - exact).cast("double") / UNITS)
+    cum = cum.withColumn("__hi", F.col("__hi").cast("double") / UNITS)
     totals = scalar_row(cum.agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("__hi").alias("w")))
     spans = cum.withColumn("__t", totals)
     n, total = F.col("__t.n"), F.col("__t.w")

@@ -271,3 +271,12 @@ def test_ranks_of_any_key_distribution(spark):
         assert all(r["rn"] in want[r["v"]] for r in got) and len({r["rn"] for r in got}) == 506
         stats = order_statistics(df, [], "v", {"mid": F.floor(F.col("n") / 2)}).first()
         assert stats["mid"] == sorted(x for (x,) in values if x is not None)[505 // 2]
+
+
+def test_light_weights_draw_as_many_rows(spark):
+    """Weights with more decimals than sums used to keep: every draw meets one row, light as the rows are."""
+    from scoreloom.operators import sampling
+
+    rows = spark.createDataFrame([(i, 1.3e-11 * (1 + i % 7)) for i in range(500)], "pos long, weight double")
+    drawn = [r["draw"] for r in sampling.resample_weighted(rows, "pos").collect()]
+    assert sorted(drawn) == list(range(500))
