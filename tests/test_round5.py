@@ -47,3 +47,14 @@ def test_composition_regression_query_is_least_squares(spark):
         assert got[k]["slope"] == pytest.approx(slope, abs=1e-5)
         assert got[k]["mean_share"] == pytest.approx(mean, abs=1e-6)
         assert got[k]["r2"] == pytest.approx(1 - (y - c @ coef).var() / y.var(), abs=1e-5)
+
+
+def test_two_share_regression_query_has_opposite_slopes(spark):
+    got = {r["key"]: r for r in load_catalog()["g32_two_share_regression"].build(spark, SF_DIR).collect()}
+    y = [(r["detrended"], max(e["x"] for e in r["shares"])) for r in _steps(spark, SF_DIR).collect()]
+    t, x = (np.array(v) for v in zip(*y, strict=True))
+    slope = np.polyfit(x, t, 1)[0]
+    assert sorted(got) == ["largest", "rest"]
+    assert got["largest"]["slope"] == pytest.approx(slope / 2, abs=1e-5) and got["rest"]["slope"] == pytest.approx(-slope / 2, abs=1e-5)
+    assert got["largest"]["r2"] == got["rest"]["r2"] == pytest.approx(np.corrcoef(x, t)[0, 1] ** 2, abs=1e-5)
+    assert got["largest"]["mean_share"] == pytest.approx(x.mean(), abs=1e-6)
