@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,7 +13,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from scoreloom.functions import text as tx
 from scoreloom.functions.hashing import hash_unit, poisson_count, stable_hash
@@ -104,24 +105,6 @@ def _counted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[object
         yield last, grams
 
 
-def _gram_rows(batches: Iterator[pa.RecordBatch], n: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """One row per id and n-gram: its counts in the prediction and in each reference."""
-    names = ["id", "k", "gram", "c"]
-    rows: list[tuple] = []
-
-    def made() -> pa.RecordBatch:
-        columns = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [kind, pa.int32(), pa.string(), pa.list_(pa.int64())], strict=True)], names)
-
-    for name, grams in _counted(batches, n):
-        rows.extend((name, k, gram, c) for (k, gram), c in grams.items())
-        if len(rows) >= TALLY:
-            yield made()
-            rows = []
-    if rows:
-        yield made()
-
-
 def _gram_tally(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Number of ids with each n-gram, and with it in a reference, added up over some ids at a time."""
     tally: dict[tuple[int, str], list[int]] = {}
@@ -262,43 +245,121 @@ def corpus_chrf(df: DataFrame, id_col: str, order: int = 6, beta: float = 2.0, h
     return pr.select((F.coalesce(score, F.lit(0.0)) * 100).alias("chrf"))
 
 
+#: Characters of predictions and references in one part of :func:`cider`.
+PART_CHARS = 1 << 21
+
+
+def _runs(words: Sequence[str] | None, k: int) -> Iterator[str]:
+    """The ``k``-grams of a text, repeats included."""
+    return map(" ".join, zip(*((words or ())[i:] for i in range(k)), strict=False))
+
+
+def _ids(table: pa.Table) -> Iterator[tuple[list[int], Iterator[list]]]:
+    """(row numbers, texts of every row as words) of every id of a part."""
+    rows: dict[object, list[int]] = {}
+    for at, name in enumerate(table["id"].to_pylist()):
+        rows.setdefault(name, []).append(at)
+    texts = table["texts"]
+    for own in rows.values():
+        yield own, (texts[i].as_py() for i in own)
+
+
+def _dealt(table: pa.Table, n: int, parts: int) -> tuple[dict[str, int], dict[int, list[str]]]:
+    """The n-grams of a part with the number of ids that have them in a reference, and their sorted lists by the place where they are added up."""
+    tally: dict[str, int] = {}
+    for _, rows in _ids(table):
+        hyps, refs = set(), set()
+        for hyp, *others in rows:
+            for k in range(1, n + 1):
+                hyps.update(_runs(hyp, k))
+                for x in others:
+                    refs.update(_runs(x, k))
+        for gram in refs:
+            tally[gram] = tally.get(gram, 0) + 1
+        for gram in hyps - refs:
+            tally.setdefault(gram, 0)
+    lists: dict[int, list[str]] = {}
+    for gram in sorted(tally):
+        lists.setdefault(zlib.crc32(gram.encode()) % parts, []).append(gram)
+    return tally, lists
+
+
+def _part_grams(table: pa.Table, n: int, parts: int) -> pa.Table:
+    """One row per place: the part's n-grams that belong there, one a line, packed, and their document frequencies inside the part."""
+    tally, lists = _dealt(table, n, parts)
+    return pa.table({
+        "place": pa.array(lists, pa.int32()), "part": pa.array([table["part"][0].as_py()] * len(lists), pa.int32()),
+        "grams": pa.array([zlib.compress("\n".join(x).encode(), 1) for x in lists.values()], pa.binary()),
+        "df": pa.array([[tally[g] for g in x] for x in lists.values()], pa.list_(pa.int64())),
+    })
+
+
+def _place_sums(table: pa.Table) -> pa.Table:
+    """The rows of a place with the frequencies of all parts together, in the order of their n-grams, which stay behind."""
+    total: dict[str, int] = {}
+    lists = [zlib.decompress(x).decode().split("\n") for x in table["grams"].to_pylist()]
+    for grams, df in zip(lists, table["df"].to_pylist(), strict=True):
+        for g, x in zip(grams, df, strict=True):
+            total[g] = total.get(g, 0) + x
+    sums = pa.array([[total[g] for g in grams] for grams in lists], pa.list_(pa.int64()))
+    return pa.table({"part": table["part"], "place": table["place"], "df": sums})
+
+
+def _similarity(sides: Sequence[Sequence[Counter]], idf: dict[str, float], sigma: float) -> float:
+    """Sum over references and orders of the clipped tf-idf cosine with the length penalty, from counts per text and order."""
+    sizes = [counts[1].total() if len(counts) > 1 else 0 for counts in sides]
+    weights = [[{g: c * idf[g] for g, c in one.items()} for one in counts] for counts in sides]
+    norms = [[math.sqrt(sum(w * w for w in one.values())) for one in own] for own in weights]
+    out = 0.0
+    for p in range(1, len(sides)):
+        penalty = math.exp(-((sizes[0] - sizes[p]) ** 2) / (2 * sigma * sigma))
+        for h, r, hn, rn in zip(weights[0], weights[p], norms[0], norms[p], strict=True):
+            dot = sum(min(h[g], w) * w for g, w in r.items() if g in h)
+            out += (dot / (hn * rn) if hn and rn else dot) * penalty
+    return out
+
+
+def _part_scores(table: pa.Table, sums: pa.Table, n: int, sigma: float, parts: int, rows: int, name: str) -> pa.Table:
+    """CIDEr of the ids of a part from the frequencies that came back for its n-grams."""
+    _, lists = _dealt(table, n, parts)
+    logn, idf = math.log(rows), {}
+    for place, df in zip(sums["place"].to_pylist(), sums["df"].to_pylist(), strict=True):
+        idf.update((g, logn - math.log(max(x, 1))) for g, x in zip(lists.pop(place), df, strict=True))
+    firsts, scores = [], []
+    for own, each in _ids(table):
+        sides: list[list[Counter]] = []
+        for texts in each:
+            sides.extend([Counter() for _ in range(n)] for _ in range(len(texts) - len(sides)))
+            for counts, words in zip(sides, texts, strict=False):
+                for k, one in enumerate(counts, 1):
+                    one.update(_runs(words, k))
+        firsts.append(own[0])
+        named, refs = table["id"][own[0]].is_valid, len(sides) - 1
+        scores.append((_similarity(sides, idf, sigma) if named else 0.0) * len(own) / n / refs * 10.0 if refs else None)
+    return pa.table({name: table["id"].take(pa.array(firsts, pa.int64())), "cider": pa.array(scores, pa.float64())})
+
+
 def cider(df: DataFrame, id_col: str, n: int = 4, sigma: float = 6.0, hyp: str = "hyp", refs: str = "ref_list") -> DataFrame:
     """CIDEr per id (G25): tf-idf weighted n-gram cosine against each reference with a length penalty. Rows of one id count as one text, as often as
-    they are."""
-    rows, parts = _by_id(df, id_col, hyp, refs)
-    kind = df.schema[id_col].dataType
-    arrow = to_arrow_type(kind)
-    grams = rows.mapInArrow(lambda it: _gram_rows(it, n, arrow), f"id {kind.simpleString()}, k int, gram string, c array<long>")
-    logn = scalar_row(df.agg(F.log(F.count(F.lit(1)).cast("double")).alias("logn")))["logn"]
-    # A frequent n-gram occurs in many rows: its look-up is split like any hot key.
-    side = text_frequency(df, id_col, n, hyp, refs).hint("merge")
-    idf = logn - F.log(F.greatest(F.col("df"), F.lit(1)).cast("double"))
-    weighted = lookup_by_group(grams, side, ["k", "gram"], "ids", "inner").select("id", "k", "c", idf.alias("idf"))
-    # One short row per n-gram and reference goes back to its id.
-    h = F.coalesce(F.get("c", F.lit(0)), F.lit(0))
-    flat = weighted.select("id", "k", (h * F.col("idf")).alias("hw"), "idf", F.posexplode("c").alias("p", "rc"))
-    rw, hw = F.col("rc") * F.col("idf"), F.col("hw")
-    shared = (hw != 0) & (F.col("rc") > 0)
-    per = flat.groupBy("id", "k", "p").agg(
-        F.sum(rw * rw).alias("r2"), F.sum(F.when(shared, F.least(hw, rw) * rw).otherwise(0.0)).alias("dot"),
-        F.sum(F.when(F.col("k") == 2, F.col("rc")).otherwise(0)).alias("len"),
-    )
-    texts = per.groupBy("id").agg(F.collect_list(F.struct("k", "p", "r2", "dot", "len")).alias("l"))
-    hyps = F.filter("l", lambda e: e["p"] == 0)
-    total = lambda xs: F.coalesce(F.array_max(F.transform(xs, lambda e: e["len"])), F.lit(0))
-
-    def score(e: Column) -> Column:
-        hn = F.coalesce(F.get(F.transform(F.filter(hyps, lambda x: x["k"] == e["k"]), lambda x: F.sqrt(x["r2"])), F.lit(0)), F.lit(0.0))
-        rn = F.sqrt(e["r2"])
-        delta = (total(hyps) - total(F.filter("l", lambda x: x["p"] == e["p"]))).cast("double")
-        value = F.when((hn != 0) & (rn != 0), e["dot"] / (hn * rn)).otherwise(e["dot"])
-        return value * F.exp(-(delta * delta) / F.lit(2 * sigma * sigma))
-
-    scores = F.transform(F.filter("l", lambda e: e["p"] > 0), score)
-    out = texts.select("id", F.aggregate(scores, F.lit(0.0), lambda a, x: a + x).alias("s"))
-    base = df.groupBy(F.col(id_col).alias("id")).agg(F.sum(F.lit(1)).alias("times"), F.max(F.size(refs)).alias("nr"))
-    joined = base.join(out.hint("merge"), "id", "left")
-    return joined.select(F.col("id").alias(id_col), (F.coalesce("s", F.lit(0.0)) * F.col("times") / n / F.col("nr") * 10.0).alias("cider"))
+    they are; an id without references has none.
+
+    Ids are dealt to parts of bounded size. A part sends each of its n-grams once, whatever the number of its ids and texts that have it, to the
+    place where its frequencies are added up; only numbers come back, and the part, read again, scores its ids. An n-gram without text, id or
+    count crosses the network twice at most, so disk does not grow with the rows that share one.
+    """
+    own_refs = F.coalesce(F.col(refs), F.array().cast("array<string>"))
+    length = F.coalesce(F.length(hyp), F.lit(0)) + F.aggregate(own_refs, F.lit(0), lambda a, x: a + F.coalesce(F.length(x), F.lit(0)))
+    size = df.agg(F.sum(length).alias("chars"), F.count(F.lit(1)).alias("rows")).first()
+    chars, rows = size["chars"] or 0, size["rows"]
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
+    part = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
+    dealt = df.select(part.alias("part"), F.col(id_col).alias("id"), F.col(hyp).alias("h"), own_refs.alias("r")).repartitionById(parts, "part")
+    texts = dealt.select("part", "id", F.transform(F.concat(F.array("h"), "r"), tx.words).alias("texts")).groupBy("part")
+    sent = texts.applyInArrow(lambda t: _part_grams(t, n, parts), "place int, part int, grams binary, df array<long>")
+    sums = sent.repartitionById(parts, "place").groupBy("place").applyInArrow(_place_sums, "part int, place int, df array<long>")
+    back = sums.repartitionById(parts, "part").groupBy("part")
+    kind = df.schema[id_col].dataType.simpleString()
+    return texts.cogroup(back).applyInArrow(lambda t, s: _part_scores(t, s, n, sigma, parts, rows, id_col), f"`{id_col}` {kind}, cider double")
 
 
 def rouge_l(hyp: Column, refs: Column, beta: float = 1.2) -> Column:
